@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, warc
+from . import bpe, chat, mixing, perplexity, secrets, warc
 from .common import table
+from .fingerprint_queries import op4_simhash
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -47,6 +48,11 @@ from e group by conv_id
 """
 
 
+def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = perplexity.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return rows.select("doc_id", *perplexity.STATS, "base_failed", "kept", "score")
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -77,6 +83,16 @@ left join x on d.o = x.o and d.t = x.t and d.source is not distinct from x.sourc
 """
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("secret_spans", lambda x: x["kind"] == k)).cast("long")
+    base = F.filter("secret_spans", lambda x: x["kind"] < 4)
+    return rows.select(
+        "doc_id", count(1).alias("n_assign"), count(2).alias("n_access"), count(3).alias("n_hex"),
+        F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("secret_spans")).alias("spans"),
+    )
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -90,5 +106,5 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_chat": op1_chat, "op5_mix": op5_mix, "op8_bpe": op8_bpe, "op9_warc": op9_warc}
+QUERIES = {"op1_chat": op1_chat, "op2_perplexity": op2_perplexity, "op4_simhash": op4_simhash, "op6_secrets": op6_secrets, "op5_mix": op5_mix, "op8_bpe": op8_bpe, "op9_warc": op9_warc}
 ORACLES = {"op1_chat": OP1_SQL, "op5_mix": OP5_SQL}
