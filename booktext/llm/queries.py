@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, perplexity, secrets, warc
+from . import bpe, chat, jaccard, mixing, perplexity, secrets, warc
 from .common import table
 from .fingerprint_queries import op4_simhash
 
@@ -53,6 +53,10 @@ def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *perplexity.STATS, "base_failed", "kept", "score")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -106,5 +110,5 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_perplexity": op2_perplexity, "op4_simhash": op4_simhash, "op6_secrets": op6_secrets, "op5_mix": op5_mix, "op8_bpe": op8_bpe, "op9_warc": op9_warc}
+QUERIES = {"op1_chat": op1_chat, "op2_perplexity": op2_perplexity, "op3_jaccard": op3_jaccard, "op4_simhash": op4_simhash, "op6_secrets": op6_secrets, "op5_mix": op5_mix, "op8_bpe": op8_bpe, "op9_warc": op9_warc}
 ORACLES = {"op1_chat": OP1_SQL, "op5_mix": OP5_SQL}
