@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, mixing, perplexity, secrets, warc
+from . import bpe, chat, jaccard, licenses, mixing, perplexity, pii, secrets, warc
 from .common import table
 from .fingerprint_queries import op4_simhash
 
@@ -97,6 +97,18 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array(*[F.lit(k) for k in pii.NAMES])
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    item = lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])
+    text = lambda c: F.array_join(F.transform(c, item), ",")
+    return rows.select(
+        "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)],
+        F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.concat("base", "added")).alias("spans"),
+    )
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -110,5 +122,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_perplexity": op2_perplexity, "op3_jaccard": op3_jaccard, "op4_simhash": op4_simhash, "op6_secrets": op6_secrets, "op5_mix": op5_mix, "op8_bpe": op8_bpe, "op9_warc": op9_warc}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {
+    "op1_chat": op1_chat, "op2_perplexity": op2_perplexity, "op3_jaccard": op3_jaccard, "op4_simhash": op4_simhash, "op5_mix": op5_mix,
+    "op6_secrets": op6_secrets, "op7_pii": op7_pii, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_licenses": op10_licenses,
+}
 ORACLES = {"op1_chat": OP1_SQL, "op5_mix": OP5_SQL}

@@ -1,8 +1,69 @@
-"""Corpus pipeline; see STAGES."""
-STAGES = []
+"""A corpus pipeline of five operators, each stage working on all rows that the one before kept."""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from booktext.llm import bpe, jaccard, mixing, perplexity, secrets
+from booktext.llm.common import shared_dir
+from booktext.llm.queries import VOCABULARY
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the base rules and the perplexity bands keep."""
+    bad = perplexity.judge(docs.select("doc_id", "text", "lang")).filter("not kept").select(F.col("doc_id").alias("_d"))
+    # a null id cannot be looked up: such rows are judged but stay
+    return docs.join(bad.distinct(), F.col("doc_id") == F.col("_d"), "left_anti").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the smallest id of each component; rows without words stay, each for itself."""
+    found = jaccard.link(docs.select("doc_id", "text"))
+    gone = found.filter("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_d")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_d"), "left_anti").select(*COLUMNS)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with each secret replaced by a mark."""
+    return secrets.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the mix takes, once for each epoch that takes them."""
+    mixed = mixing.mix(docs.select(*COLUMNS))
+    return mixed.filter("epochs > 0").withColumn("_e", F.explode(F.sequence(F.lit(1), "epochs"))).select(*COLUMNS)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, and digests of the ids and of the bytes decoded from them."""
+    out = bpe.digests(docs.select("doc_id", "text"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secret_scan),
+    ("mixing sources", mix),
+    ("byte-level BPE", tokenize),
+]
+#: SQL can express neither the model of the first stage nor the vocabulary of the last.
 ORACLE_SQL = None
-def run(spark, sf_dir):
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, f in STAGES:
-        docs = f(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
