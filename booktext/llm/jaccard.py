@@ -3,7 +3,7 @@
 A document's set is its distinct 5-word shingles (64-bit hashes). Documents with equal sets are one class. Elements
 are ordered rare first, by a count sketch of all documents' shingles (any fixed order is valid; this one keeps
 passages that many documents share out of the prefixes). Classes with equal prefixes and sizes are one group. Groups
-that share a prefix element are candidates, filtered by size, then expanded and verified with whole sets.
+that share a prefix element are candidates, filtered by size and by the element's places, then expanded and verified with whole sets.
 
 Candidates never grow with the square of a family of near copies: in each round every group is only paired with
 the most central group under each of its prefix elements; verified links are made components; a pair in one
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, materialize, mix, shingles, slices
@@ -177,7 +177,7 @@ def link(docs: DataFrame, similarity: int = SIMILARITY, k: int = K, rounds: int
     # one document of each group carries its prefix
     carrier = classes.groupBy("grp").agg(F.min("doc_id").alias("doc_id"))
     whole = rows.select("doc_id", "grp", "prefix").join(carrier, ["doc_id", "grp"], "left_semi").dropDuplicates(["grp"])
-    posts = whole.select("grp", F.explode("prefix").alias("e"))
+    posts = whole.select("grp", F.posexplode("prefix").alias("pos", "e"))
     hot = posts.groupBy("e").agg(F.count("*").alias("df")).filter("df > 1").select("e")
     posts = materialize(posts.join(hot, "e").join(groups.select("grp", "n", "head"), "grp"), "jac-posts")
     # classes that take part: groups with a shared element, and groups of several classes
@@ -195,24 +195,23 @@ def link(docs: DataFrame, similarity: int = SIMILARITY, k: int = K, rounds: int
         p = posts if comp is None else _labelled(posts, members, comp)
         if comp is None:
             # pivots: the most central group under each element
-            best = p.groupBy("e").agg(F.max(F.struct("grp", "head", "n")).alias("top"))
+            best = p.groupBy("e").agg(F.max(F.struct("grp", "head", "n", "pos")).alias("top"))
             c = p.join(best, "e").filter(F.col("grp") != F.col("top")["grp"])
-            cand = c.select("grp", "n", F.col("top")["head"].alias("b"), F.col("top")["n"].alias("m")).distinct()
-            cand = cand.filter((F.col("n") * 100 >= F.col("m") * similarity) & (F.col("m") * 100 >= F.col("n") * similarity))
+            c = c.select("grp", "n", "pos", F.col("top")["head"].alias("b"), F.col("top")["n"].alias("m"), F.col("top")["pos"].alias("at"))
+            cand = c.filter(_near(similarity)).select("grp", "b").distinct()
             # expand the group's members
             cand = cand.join(members.select("grp", "cls"), "grp").select(F.col("cls").alias("a"), "b").unionByName(heads)
         else:
             mixed = p.groupBy("e").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("e")
             q = p.join(mixed, "e")
             if last:
-                o = q.select("e", F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("n").alias("m"))
+                o = q.select("e", F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("n").alias("m"), F.col("pos").alias("at"))
                 cand = q.join(o, "e").filter((F.col("root") < F.col("rb")) & (F.col("cls") != F.col("b")))
             else:
                 # another pivot each round: the class with the greatest hash for this round under each element
-                best = q.groupBy("e").agg(F.max(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("n").alias("m"))).alias("t"))
-                cand = q.join(best.select("e", "t.b", "t.rb", "t.m"), "e").filter("root <> rb")
-            cand = cand.filter((F.col("n") * 100 >= F.col("m") * similarity) & (F.col("m") * 100 >= F.col("n") * similarity))
-            cand = cand.select(F.col("cls").alias("a"), "b")
+                best = q.groupBy("e").agg(F.max(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("n").alias("m"), F.col("pos").alias("at"))).alias("t"))
+                cand = q.join(best.select("e", "t.b", "t.rb", "t.m", "t.at"), "e").filter("root <> rb")
+            cand = cand.filter(_near(similarity)).select(F.col("cls").alias("a"), "b")
         cand = cand.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
             cand = cand.join(tried, ["a", "b"], "left_anti")
@@ -231,7 +230,15 @@ def link(docs: DataFrame, similarity: int = SIMILARITY, k: int = K, rounds: int
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _near(similarity: int) -> Column:
+    """Can sets of n and m elements that share the one at places pos and at be a link? Their overlap must reach
+    similarity / (100 + similarity) of n + m, so some shared element lies in both prefixes that this leaves."""
+    least = F.ceil(F.lit(similarity) * (F.col("n") + F.col("m")) / F.lit(100 + similarity))
+    sizes = (F.col("n") * 100 >= F.col("m") * similarity) & (F.col("m") * 100 >= F.col("n") * similarity)
+    return sizes & (F.col("pos") <= F.col("n") - least) & (F.col("at") <= F.col("m") - least)
+
+
 def _labelled(posts: DataFrame, members: DataFrame, comp: DataFrame) -> DataFrame:
     """Postings of classes (groups expanded) with their component. A group of several components needs a
     check between its members too, which share all elements."""
-    return posts.select("e", "grp").join(members.join(comp, "cls"), "grp").select("e", "cls", "n", "root")
+    return posts.select("e", "pos", "grp").join(members.join(comp, "cls"), "grp").select("e", "pos", "cls", "n", "root")
