@@ -21,8 +21,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import shared_dir
+from .common import materialize, shared_dir
 
 #: Bytes of a block that one record holds at most; longer blocks go on in continuation records.
 SEGMENT_BYTES = 48 * 1024
@@ -193,25 +194,35 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content").mapInPandas(parsed, RECORD)
 
 
+@F.pandas_udf(T.StructType().add("payload_bytes", T.LongType()).add("payload_digest", T.StringType()).add("ok", T.BooleanType()))
+def decoded(blocks: pd.Series) -> pd.DataFrame:
+    """Size and digest of each block's payload; null and not ok where there is none or its framing is broken."""
+    rows = []
+    for block in blocks:
+        try:
+            head, _, body = bytes(block).partition(b"\r\n\r\n")
+            payload = dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
+            rows.append((len(payload), sha1_base32(payload), True))
+        except (ValueError, TypeError):  # no block, or broken framing
+            rows.append((None, None, False))
+    out = pd.DataFrame(rows, columns=["payload_bytes", "payload_digest", "ok"])
+    return out.astype({"payload_bytes": "Int64", "ok": "bool"})
+
+
+def decode_singles(records: DataFrame) -> DataFrame:
+    """records with d, the decoded payload of unsegmented responses; only segments keep their block."""
+    alone = (F.col("segment") == 0) & (F.col("warc_type") == "response")
+    rows = records.withColumn("d", decoded(F.when(alone, F.col("block"))))
+    return rows.withColumn("block", F.when(F.col("segment") > 0, F.col("block")))
+
+
 def payloads(records: DataFrame) -> DataFrame:
     """One row a page: record_id, warc_type, refers_to, digest, payload_bytes, payload_digest, ok.
 
     Single records are decoded where they are; only segments are shuffled, by origin identifier."""
 
-    @F.pandas_udf("payload_bytes long, payload_digest string, ok boolean")
-    def decoded(blocks: pd.Series) -> pd.DataFrame:
-        rows = []
-        for block in blocks:
-            try:
-                head, _, body = bytes(block).partition(b"\r\n\r\n")
-                payload = dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
-                rows.append((len(payload), sha1_base32(payload), True))
-            except (ValueError, TypeError):
-                rows.append((None, None, False))
-        out = pd.DataFrame(rows, columns=["payload_bytes", "payload_digest", "ok"])
-        return out.astype({"payload_bytes": "Int64", "ok": "bool"})
-
-    single = records.filter("segment = 0 and warc_type = 'response'").select("record_id", "warc_type", "refers_to", "digest", "block")
+    records = records if "d" in records.columns else decode_singles(records)
+    single = records.filter("segment = 0 and warc_type = 'response'").select("record_id", "warc_type", "refers_to", "digest", "d")
     parts = records.filter("segment > 0").withColumn("origin", F.coalesce("origin", "record_id"))
     whole = parts.groupBy("origin").agg(
         F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"),
@@ -224,14 +235,14 @@ def payloads(records: DataFrame) -> DataFrame:
     whole = whole.withColumn("block", F.when(F.col("n") == F.col("last"), joined))
     good = F.col("total") == F.length("block")
     whole = whole.select(F.col("origin").alias("record_id"), F.lit("response").alias("warc_type"), F.lit(None).cast("string").alias("refers_to"), "digest", F.when(good, F.col("block")).alias("block"))
-    rows = single.unionByName(whole).withColumn("d", decoded("block"))
+    rows = single.unionByName(whole.withColumn("d", decoded("block")).drop("block"))
     rows = rows.select("record_id", "warc_type", "refers_to", "digest", "d.*")
     return rows.withColumn("ok", F.col("ok") & F.col("payload_digest").eqNullSafe(F.col("digest")))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, ok; revisits take the size from their response."""
-    records = read(spark, path)
+    records = materialize(decode_singles(read(spark, path)), "warc-records")  # archives are parsed once
     found = payloads(records)
     ident = lambda c: F.expr(f"try_cast(split({c}, ':')[2] as bigint)")
     revisits = records.filter("warc_type = 'revisit'").select("record_id", "refers_to", "digest")
