@@ -7,8 +7,9 @@ that share a prefix element are candidates, filtered by size and by the element'
 
 Candidates never grow with the square of a family of near copies: in each round every group is only paired with
 the most central group under each of its prefix elements; verified links are made components; a pair in one
-component needs no check. After the pivot rounds, all pairs of groups that still share an element across
-components are verified, so no component is missed.
+component needs no check. After the pivot rounds, the pairs of classes that still share an element across
+components are verified, so no component is missed; inside that join, parity bitmaps of the sets leave out pairs
+whose difference is provably too large (a necessary condition, so no link is lost).
 
 Hashes of 64 bits stand for shingles and sets; at 10**9 classes the chance of any false match is about 3 %.
 Nulls: null and empty texts have empty sets and link with nothing; a row with a null id is linked to rows with an
@@ -34,6 +35,9 @@ SIMILARITY = 80
 SKETCH_BITS = 20
 SKETCH_CHUNK = 4096
 PIVOT_ROUNDS = 3
+#: 64-bit words of a set's parity bitmap.
+BITMAP_WORDS = 16
+BITS = [f"b{i}" for i in range(BITMAP_WORDS)]
 
 
 def sets(batches: Iterator[pa.RecordBatch], k: int = K) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
@@ -128,26 +132,40 @@ def prefixes(docs: DataFrame, counts: np.ndarray, similarity: int = SIMILARITY,
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, grp long, prefix array<int>")
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bitmap whose bit i is the parity of the elements that fall on it: two sets' bitmaps differ in at most as many
+    bits as the sets differ in elements."""
+    odd = np.bincount((s & np.uint64(64 * BITMAP_WORDS - 1)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def set_table(docs: DataFrame, wanted: DataFrame, k: int = K) -> DataFrame:
-    """cls, items BINARY (sorted hashes) of the classes in wanted(cls), one row each; sets are made anew from the texts of
-    the classes' smallest documents."""
+    """cls, items BINARY (sorted hashes) and the bitmap's words of the classes in wanted(doc_id, cls), one row each; sets are
+    made anew from the texts of the classes' smallest documents."""
+
+    def batch(cls: list, items: list, bits: list) -> pa.RecordBatch:
+        words = np.array(bits, np.int64).reshape(-1, BITMAP_WORDS)
+        arrays = [pa.array(cls, pa.int64()), pa.array(items, pa.binary()), *[pa.array(words[:, i].copy()) for i in range(BITMAP_WORDS)]]
+        return pa.RecordBatch.from_arrays(arrays, ["cls", "items", *BITS])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls, items, size = [], [], 0
+        cls, items, bits, size = [], [], [], 0
         for part, i, s in sets(batches, k):
             mark = part.column("cls")[i].as_py()
             if class_mark(s) != mark:  # another text under the same id
                 continue
             cls.append(mark)
             items.append(s.tobytes())
+            bits.append(parity(s))
             size += len(s)
             if size > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(items, pa.binary())], ["cls", "items"])
-                cls, items, size = [], [], 0
+                yield batch(cls, items, bits)
+                cls, items, bits, size = [], [], [], 0
         if cls:
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(items, pa.binary())], ["cls", "items"])
+            yield batch(cls, items, bits)
 
     rows = docs.select("doc_id", "text").join(wanted.select("doc_id", "cls"), "doc_id")
-    return rows.mapInArrow(run, "cls long, items binary").dropDuplicates(["cls"])
+    return rows.mapInArrow(run, ", ".join(["cls long, items binary", *[f"{b} long" for b in BITS]])).dropDuplicates(["cls"])
 
 
 def verify(pairs: DataFrame, items: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -205,8 +223,9 @@ def link(docs: DataFrame, similarity: int = SIMILARITY, k: int = K, rounds: int
             mixed = p.groupBy("e").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("e")
             q = p.join(mixed, "e")
             if last:
-                o = q.select("e", F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("n").alias("m"), F.col("pos").alias("at"))
-                cand = q.join(o, "e").filter((F.col("root") < F.col("rb")) & (F.col("cls") != F.col("b")))
+                q = q.join(items.select("cls", *BITS), "cls")
+                o = q.select("e", F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("n").alias("m"), F.col("pos").alias("at"), *[F.col(c).alias(f"o{c}") for c in BITS])
+                cand = q.join(o, "e").filter((F.col("root") < F.col("rb")) & (F.col("cls") != F.col("b")) & _alike(similarity))
             else:
                 # another pivot each round: the class with the greatest hash for this round under each element
                 best = q.groupBy("e").agg(F.max(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("n").alias("m"), F.col("pos").alias("at"))).alias("t"))
@@ -238,6 +257,13 @@ def _near(similarity: int) -> Column:
     return sizes & (F.col("pos") <= F.col("n") - least) & (F.col("at") <= F.col("m") - least)
 
 
+def _alike(similarity: int) -> Column:
+    """Do the bitmaps allow sets of n and m elements to be a link? They may differ in n + m - 2 * overlap elements."""
+    least = F.ceil(F.lit(similarity) * (F.col("n") + F.col("m")) / F.lit(100 + similarity))
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o{c}"))) for c in BITS), F.lit(0))
+    return apart <= F.col("n") + F.col("m") - 2 * least
+
+
 def _labelled(posts: DataFrame, members: DataFrame, comp: DataFrame) -> DataFrame:
     """Postings of classes (groups expanded) with their component. A group of several components needs a
     check between its members too, which share all elements."""

@@ -363,3 +363,13 @@ def test_licenses(spark):
     got = {r["doc_id"]: r for r in licenses.scan(docs(spark, texts)).collect()}
     assert [got[i]["license"] for i in range(6)] == ["MIT", "MIT-text", None, None, None, "CC-BY-NC-4.0"]
     assert (got[0]["first_word"], got[0]["end_word"], got[5]["n_matches"]) == (50, 55, 2)
+
+
+def test_parity_bitmaps_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        pool = rng.integers(0, 2**64, rng.integers(1, 1500), dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, len(pool) + 1))) for _ in range(2))
+        apart = int(np.bitwise_count((jaccard.parity(a) ^ jaccard.parity(b)).view(np.uint64)).sum())
+        assert apart <= len(np.setxor1d(a, b))
+        assert not jaccard.parity(a[:0]).any()
