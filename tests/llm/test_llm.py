@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from booktext.llm import bpe, chat, components, fingerprints, jaccard, licenses, mixing, perplexity, pii, secrets, warc
-from booktext.llm.common import table
+from booktext.llm.common import materialize, table
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, extra string"
@@ -373,3 +373,39 @@ def test_parity_bitmaps_never_exceed_the_difference():
         apart = int(np.bitwise_count((jaccard.parity(a) ^ jaccard.parity(b)).view(np.uint64)).sum())
         assert apart <= len(np.setxor1d(a, b))
         assert not jaccard.parity(a[:0]).any()
+
+
+# pipeline
+
+
+def test_pipeline_stages(spark):
+    """Every stage against brute force on the rows that it was given."""
+    import corpus_pipeline
+
+    def step(i, given):
+        return materialize(corpus_pipeline.STAGES[i][1](spark, given, SF), "stage")
+
+    def ids(df):
+        return sorted(r["doc_id"] for r in df.select("doc_id").collect())
+
+    given = table(spark, SF, "documents")
+    good = step(0, given)
+    for r in given.join(good.select("doc_id"), "doc_id", "left_semi").collect():
+        s = dict(zip(perplexity.STATS, stats(r["text"])))
+        assert s["n_words"] >= 10 and 100 * s["n_repeat_words"] <= 20 * s["n_words"]
+    assert good.count() > 100
+    single = step(1, good)
+    rows = good.orderBy("doc_id").collect()
+    found = brute_components([r["text"] for r in rows])
+    assert ids(single) == [rows[i]["doc_id"] for i, (_, root) in enumerate(found) if root == i]
+    clean = step(2, single)
+    assert ids(clean) == ids(single)
+    assert secrets.base_spans(clean.select(F.col("doc_id").alias("id"), F.lit(0).alias("mark"), "text")).isEmpty()
+    mixed = step(3, clean)
+    assert mixed.columns == given.columns and max(Counter(ids(mixed)).values()) <= 2
+    assert set(ids(mixed)) <= set(ids(clean))
+    text = {r["doc_id"]: r["text"] for r in clean.collect()}
+    last = step(4, mixed)
+    assert ids(last) == ids(mixed)
+    for r in last.collect():
+        assert r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest()
