@@ -8,6 +8,9 @@ hashes in sorted order with their values beside them. They are broadcast if they
 entries; beyond that, documents' n-grams are joined to the tables by hash, with the same results, because
 log probabilities are integers (ten-thousandths of a bit).
 
+No document is scored by a model that counted it: documents are dealt to folds by the hash of their text (so equal texts
+share one), and each fold is scored by the counts of all documents of the other folds.
+
 A document's score is its mean bits a word (log2 of the perplexity by words), in hundredths. Bands are language-specific:
 Tukey fences round the quartiles of the language's scores, wider for short texts; documents outside are
 rejected.
@@ -33,6 +36,8 @@ ORDER = 5
 UNIT = 10_000
 #: Entries (16 bytes each) that a broadcast may have.
 BROADCAST_ENTRIES = 12_000_000
+#: Parts that documents are dealt to; each is scored by the counts of the others.
+FOLDS = 2
 #: Interquartile ranges below the lower and above the upper quartile that a score may lie.
 LOWER, UPPER = 4.0, 4.0
 #: Words at which the band of a short text is wider by the square root of two.
@@ -342,9 +347,34 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
+def _key(fold: Column, rest: Column) -> Column:
+    """The name of a fold's model of a language: the fold, then "=" and the language if it is not null."""
+    return F.concat(fold.cast("string"), rest)
+
+
+def held_out(counts: DataFrame, folds: int) -> DataFrame:
+    """From counts(lang, gram, n) whose lang names the fold counted, the counts of all other folds under each fold's name."""
+    own, rest = F.regexp_extract("lang", "^[0-9]+", 0).cast("int"), F.regexp_replace("lang", "^[0-9]+", "")
+    rows = counts.select(own.alias("own"), rest.alias("rest"), "gram", "n")
+    rows = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).filter("fold <> own")
+    return rows.groupBy(_key(F.col("fold"), F.col("rest")).alias("lang"), "gram").agg(F.sum("n").alias("n"))
+
+
+def score_held_out(docs: DataFrame, folds: int = FOLDS, **options) -> DataFrame:
+    """score() of docs(text, lang, ...), each by a model of its language without its fold."""
+    fold = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(folds)).cast("int")
+    rows = docs.withColumn("_fold", fold).withColumn("_lang", F.col("lang"))
+    rows = rows.withColumn("lang", _key(F.col("_fold"), F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))))
+    probs, backs = model(materialize(held_out(count(rows), folds), "kn-counts"))
+    out = None
+    for i in range(folds):  # one fold's model at a time is broadcast
+        mine = F.col("lang").rlike(f"^{i}(=|$)")
+        part = materialize(score(rows.filter(F.col("_fold") == i), probs.filter(mine), backs.filter(mine), **options), "kn-scored")
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("lang", F.col("_lang")).drop("_fold", "_lang")
+
+
 def judge(docs: DataFrame, **options) -> DataFrame:
     """docs(doc_id, text, lang, ...) without text, with STATS, score, low, high, in_band, base_failed and kept."""
-    probs, backs = model(materialize(count(docs), "kn-counts"))
-    scored = materialize(score(docs, probs, backs, **options), "kn-scored")
-    rows = banded(scored).withColumn("base_failed", base_failed())
+    rows = banded(score_held_out(docs, **options)).withColumn("base_failed", base_failed())
     return rows.withColumn("kept", ~F.col("base_failed") & F.col("in_band"))

@@ -115,6 +115,23 @@ def test_stats_and_model(spark, edge):
     assert sum(r["kept"] for r in judged.values()) > 100
 
 
+def test_random_text_is_rejected(spark):
+    """No document may be scored by its own n-grams, nor by those of its copies, with either way to look them up."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    kinds = [(letters, 11), (letters + letters.upper() + "0123456789+/", 12), (letters + letters.upper() + "0123456789", 14)]
+    noise = [" ".join("".join(rng.choices(a, k=n)) for _ in range(300)) for a, n in kinds]
+    prose = table(spark, SF, "documents").filter("lang = 'en'").select("doc_id", "text", "lang")
+    rows = [(-1 - i, t, "en") for i, t in enumerate(noise)] * 2
+    given = prose.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = perplexity.judge(given).collect()
+    assert len(got) == prose.count() + 6
+    assert not any(r["in_band"] or r["base_failed"] for r in got if r["doc_id"] < 0)
+    assert sum(r["in_band"] for r in got) >= 0.9 * prose.count()
+    joined = perplexity.judge(given, broadcast_entries=0).collect()
+    assert sorted((r["doc_id"], r["score"]) for r in joined) == sorted((r["doc_id"], r["score"]) for r in got)
+
+
 # op3
 
 
