@@ -80,10 +80,10 @@ class Graph:
         for i, w in enumerate(words):
             norm = re.sub("[^0-9a-z@]", "", w.lower())
             digits = re.sub("[^0-9]", "", w)
-            for key in {norm, digits[-7:] if len(digits) >= 7 else norm}:
-                if key in seen and seen[key] != i - 1:
-                    self.skip.append((seen[key], i))
-                seen[key] = i
+            keys = {norm, digits[-7:] if len(digits) >= 7 else norm}
+            # neighbouring words share a chain edge already
+            self.skip += [(j, i) for j in sorted({seen[k] for k in keys if k in seen}) if tokens[i][0] != tokens[j][0] + 1]
+            seen |= dict.fromkeys(keys, i)
 
     def labels(self, spans: list[tuple[int, int, int]]) -> np.ndarray:
         """0 for O, or 1 + the kind of the first span that a token meets."""

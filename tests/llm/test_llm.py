@@ -287,6 +287,28 @@ def test_skip_chain_is_exact_on_trees():
     assert np.allclose(m.marginals(g), p / p.sum(1, keepdims=True), atol=1e-2)
 
 
+def test_a_repeated_token_with_words_between_gets_a_skip_edge():
+    assert pii.Graph("555-1234-99 is what they wrote 555-1234-99").skip == [(0, 1)]
+    assert pii.Graph("a@b.co a@b.co").skip == []
+    g = pii.Graph("555-1234-99 was written and 7 555-1234-99")
+    assert g.chain == [(1, 2)] and g.skip == [(0, 2)]
+    rng = np.random.default_rng(1)
+    chain = np.zeros((pii.L, pii.L))
+    chain[:, 2] = 2.0  # the chain alone would give the second occurrence another label
+    weights = rng.normal(size=(pii.L, pii.FEATURES)) * 0.1
+    weights[1, 0] += 1.0
+    m = pii.SkipChain(weights, chain, 4.0 * np.eye(pii.L))
+    alone = pii.SkipChain(weights, chain, np.zeros((pii.L, pii.L))).marginals(g).argmax(1)
+    assert alone[0] != alone[2]
+    u, p = g.x @ m.weights.T, np.zeros((3, pii.L))
+    for y in np.ndindex(*[pii.L] * 3):
+        w = np.exp(sum(u[i, y[i]] for i in range(3)) + m.chain[y[1], y[2]] + m.skip[y[0], y[2]])
+        for i in range(3):
+            p[i, y[i]] += w
+    got = m.marginals(g)
+    assert np.allclose(got, p / p.sum(1, keepdims=True), atol=1e-2) and got.argmax(1)[0] == got.argmax(1)[2]
+
+
 def test_pii_scan(spark):
     texts = ["call +1 (389) 555-5010 now", "4539578763621486 in", None, "", "plain", "mail a@b.co then a@b.co"] * 5
     rows = pii.scan(docs(spark, texts)).collect()
