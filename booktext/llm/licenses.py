@@ -4,9 +4,11 @@ Words that stand once in the window of the text and once in the template are anc
 subsequence of their places is kept, and the gaps between anchors are aligned recursively (after
 matching equal words at a gap's two ends). Coverage is the share of the template's words that are aligned.
 
-A template can stand anywhere and more than once in a text. Windows are laid round every place of the
-template's word that is rarest in the text; a text is skipped for a template only if the multiset of words
-that they share is too small to reach the least coverage, so no match above it is skipped by this bound.
+A template can stand anywhere and more than once in a text. A match misses at most so many of the template's words as
+the least coverage allows; so windows are laid round every place of one word more than that, those rarest in the
+text, and any match holds one of them. Windows grow in steps up to the width that DENSITY allows, and the word that a
+window is laid round is aligned with its place in the template. Of overlapping matches of one template the best is kept.
+A text is skipped for a template only if the multiset of words that they share is too small to reach the least coverage.
 
 Nulls: a null text has no license; null ids are kept; repeated rows are scanned alike. Ties of coverage go to the
 template listed first, then to the earlier place. Extra columns are not touched.
@@ -45,6 +47,19 @@ TEMPLATES = {
     "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
     "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
     "General Public License for more details.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+    "that the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
+    "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright "
+    "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with "
+    "the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+    "promote products derived from this software without specific prior written permission.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+    "that the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
+    "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright "
+    "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with "
+    "the distribution.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+    "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
     "granted, provided that the above copyright notice and this permission notice appear in all copies.",
 }
@@ -109,6 +124,27 @@ class Scanner:
         self.coverage, self.density = coverage, density
         self.vocabulary = {w for _, t, _ in self.templates for w in t if w}
 
+    def around(self, seq: list[str], t: list[str], p: int, at: int, least: int) -> Iterator[tuple[int, int, int]]:
+        """(aligned words, first word, word after the last) of matches that align word p with the template's word at."""
+        span = int(len(t) / self.density) - 1  # words of a match besides p
+        # words that must be aligned on one side leave less for the other
+        before, after = span - max(0, least - 1 - at), span - max(0, least - len(t) + at)
+        slack = 0
+        while True:
+            a, b = max(0, p - min(at + slack, before)), min(len(seq), p + 1 + min(len(t) - 1 - at + slack, after))
+            # the left side reversed, so that both sides are matched outwards from p
+            left = [(p - 1 - i, at - 1 - k) for i, k in patience(seq[a:p][::-1], t[:at][::-1])]
+            right = [(p + 1 + i, at + 1 + k) for i, k in patience(seq[p + 1 : b], t[at + 1 :])]
+            places = [i for i, _ in left] + [p] + [i for i, _ in right]
+            n, first, last = len(places), min(places), max(places) + 1
+            if n >= least and n >= self.density * (last - first):
+                yield n, first, last
+                if n == len(t):
+                    return
+            if (a == 0 or at + slack >= before) and (b == len(seq) or len(t) - 1 - at + slack >= after):
+                return
+            slack = 2 * slack + 1
+
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(template, coverage, first word, word after the last) of each match, best first."""
         low = _WORD.findall(text.lower())
@@ -121,21 +157,19 @@ class Scanner:
             return []
         out, seq = [], None
         for name, t, counted in self.templates:
-            if sum(min(len(found.get(w, ())), c) for w, c in counted.items()) < self.coverage * len(t):
+            size = len(t)
+            least = next(g for g in range(size + 1) if g / size >= self.coverage)
+            if sum(min(len(found.get(w, ())), c) for w, c in counted.items()) < least:
                 continue
             seq = seq or [w.strip(_EDGE) for w in low]
-            rare = min((w for w in counted if w in found), key=lambda w: (len(found[w]), t.index(w)))
-            slack, best = len(t) // 4 + 2, {}
-            for p in found[rare]:
-                for at in (n for n, w in enumerate(t) if w == rare):
-                    a, b = max(0, p - at - slack), min(len(seq), p + len(t) - at + slack)
-                    got = patience(seq[a:b], t)
-                    share = len(got) / len(t)
-                    if not got or share < self.coverage or len(got) < self.density * (got[-1][0] - got[0][0] + 1):
-                        continue
-                    first, last = a + got[0][0], a + got[-1][0] + 1
-                    best[first] = max(best.get(first, (0.0, 0)), (share, last))
-            out += [(name, share, first, last) for first, (share, last) in sorted(best.items())]
+            # any match aligns one of these places of the template
+            rare = sorted(range(size), key=lambda n: (len(found.get(t[n], ())), n))[: size - least + 1]
+            got = {m for at in rare for p in found.get(t[at], ()) for m in self.around(seq, t, p, at, least)}
+            kept: list[tuple[int, int, int]] = []
+            for n, first, last in sorted(got, key=lambda m: (-m[0], m[2] - m[1], m[1])):
+                if all(last <= a or b <= first for _, a, b in kept):
+                    kept.append((n, first, last))
+            out += [(name, n / size, first, last) for n, first, last in sorted(kept, key=lambda m: m[1])]
         rank = {n: i for i, (n, _, _) in enumerate(self.templates)}
         return sorted(out, key=lambda x: (-x[1], rank[x[0]], x[2]))
 

@@ -404,6 +404,29 @@ def test_licenses(spark):
     assert (got[0]["first_word"], got[0]["end_word"], got[5]["n_matches"]) == (50, 55, 2)
 
 
+def test_license_matches_without_the_rarest_word():
+    scan = licenses.Scanner().scan
+    found = lambda text, name: [x[1:] for x in scan(text) if x[0] == name]
+    notice = "Licensed under the Apache License, Version 2"
+    assert found(f"{notice} {'x ' * 100} HTTP 2.0 {'y ' * 100} {notice}", "Apache-2.0") == [(6 / 7, 0, 6), (6 / 7, 209, 215)]
+    # a changed word that stands elsewhere, and words put in as far as DENSITY allows
+    mit = licenses.words(licenses.TEMPLATES["MIT-text"])
+    changed = [*mit[:20], "other", *mit[21:]]
+    assert [x[1:] for x in found(" ".join([*changed, *["z"] * 300, mit[20]]), "MIT-text")] == [(0, len(mit))]
+    wide = [*mit[:40], *["z"] * (len(mit) // 2), *mit[40:]]
+    assert found(" ".join(["q"] * 30 + wide), "MIT-text") == [(1.0, 30, 30 + len(wide))]
+    # every placed notice is found, whichever fifth of its words is changed
+    rng = random.Random(8)
+    for _ in range(100):
+        t = licenses.words(rng.choice(list(licenses.TEMPLATES.values())))
+        name = next(k for k, v in licenses.TEMPLATES.items() if licenses.words(v) == t)
+        lost = set(rng.sample(range(1, len(t) - 1), len(t) // 5 if len(t) > 9 else 1))
+        body = [f"v{i}" if i in lost else w for i, w in enumerate(t)]
+        noise = [rng.choice(t) for _ in range(60)]
+        text = ["u"] * 200 + body + ["u"] * 200 + noise
+        assert any(first <= 200 + len(t) and last > 200 for _, first, last in found(" ".join(text), name)), (name, lost)
+
+
 def test_parity_bitmaps_never_exceed_the_difference():
     rng = np.random.default_rng(5)
     for _ in range(200):
