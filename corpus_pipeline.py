@@ -5,28 +5,44 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from booktext.llm import bpe, jaccard, mixing, perplexity, secrets
-from booktext.llm.common import shared_dir
+from booktext.llm.common import WORD, shared_dir
 from booktext.llm.queries import VOCABULARY
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def text_mark() -> Column:
+    """A hash of the text; a null text is empty."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the base rules and the perplexity bands keep."""
-    bad = perplexity.judge(docs.select("doc_id", "text", "lang")).filter("not kept").select(F.col("doc_id").alias("_d"))
-    # a null id cannot be looked up: such rows are judged but stay
-    return docs.join(bad.distinct(), F.col("doc_id") == F.col("_d"), "left_anti").select(*COLUMNS)
+    """Rows that the base rules and the perplexity bands keep. A row is known by its id, language and text's hash."""
+    rows = docs.select(*COLUMNS).withColumn("_mark", text_mark())
+    bad = perplexity.judge(rows.select("doc_id", "text", "lang", "_mark")).filter("not kept")
+    bad = bad.select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l"), F.col("_mark").alias("_m")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("lang").eqNullSafe(F.col("_l")) & (F.col("_mark") == F.col("_m"))
+    return rows.join(bad, same, "left_anti").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each component; rows without words stay, each for itself."""
-    found = jaccard.link(docs.select("doc_id", "text"))
-    gone = found.filter("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_d"), "left_anti").select(*COLUMNS)
+    """One row of each component: the first by id (null last), text's hash and the other columns; rows without words
+    stay, each for itself."""
+    rows = docs.select(*COLUMNS).withColumn("_mark", text_mark())
+    # rows with one id and text share a number, and no other rows do
+    rows = rows.withColumn("_row", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_mark"))
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    some = rows.filter(worded)
+    found = jaccard.link(some.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    ids = some.select("_row", "doc_id", "_mark").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_mark", "_row")).alias("first")
+    first = ids.join(found, "_row").groupBy("component_id").agg(first).select("first._row")
+    kept = some.join(first, "_row").groupBy("_row").agg(F.min(F.struct("doc_id", "lang", "source", "n_chars", "text")).alias("x")).select("x.*")
+    return kept.select(*COLUMNS).unionByName(rows.filter(~worded).select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -471,3 +471,26 @@ def test_pipeline_stages(spark):
     assert ids(last) == ids(mixed)
     for r in last.collect():
         assert r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest()
+
+
+def test_pipeline_nulls_and_repeated_rows(spark):
+    """Verdicts hold for each row, whatever its id; one row of each component stays."""
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    given = table(spark, SF, "documents").filter("lang = 'en'").select("doc_id", "text", "lang", "source", "n_chars")
+    texts = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality(spark, given, SF).collect()}
+    one, two = sorted(texts)[:2]
+    junk = "bad " * 200
+    extra = [(None, junk, "en", "s", 800), (one, junk, "en", "s", 800), (None, texts[two], "en", None, 1), (None, None, None, None, None), (None, None, None, None, None)]
+    good = corpus_pipeline.quality(spark, given.unionByName(spark.createDataFrame(extra, kind)), SF).collect()
+    assert junk not in [r["text"] for r in good]
+    assert sum(r["doc_id"] == one and r["text"] == texts[one] for r in good) == 1
+    assert sum(r["doc_id"] is None for r in good) == 1
+    word = lambda a, n=40: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(1, word("a")), (1, word("a")), (None, word("a") + " z"), (None, word("b")), (None, word("b")), (None, word("b") + " z"),
+            (2, word("c")), (2, word("d")), (3, word("d") + " z"), (None, None), (None, None), (4, " ")]
+    df = spark.createDataFrame([(i, t, None if n % 2 else "en", "s", n) for n, (i, t) in enumerate(rows)], kind)
+    out = corpus_pipeline.near_duplicates(spark, df, SF).collect()
+    got = sorted((r["doc_id"] or -1, (r["text"] or "none")[:1]) for r in out)
+    assert got == [(-1, "b"), (-1, "n"), (-1, "n"), (1, "a"), (2, "c"), (2, "d"), (4, " ")]
