@@ -70,7 +70,7 @@ def sketch(docs: DataFrame, k: int = K, bits: int = SKETCH_BITS) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([kind.itemsize], pa.int32()), pa.array([part.astype(kind).tobytes()], pa.binary())], ["at", "width", "counts"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(SKETCH_CHUNK, np.int64)
+        total = np.zeros(min(SKETCH_CHUNK, n), np.int64)
         for width, counts in zip(rows["width"], rows["counts"]):
             total += np.frombuffer(counts, dtype=f"u{width}").astype(np.int64)
         return pd.DataFrame({"at": rows["at"][:1], "counts": [total.tobytes()]})
@@ -185,24 +185,26 @@ def verify(pairs: DataFrame, items: DataFrame, similarity: int = SIMILARITY) ->
     return pairs.join(left, "a").join(right, "b").filter(linked("x", "y")).select("a", "b")
 
 
-def link(docs: DataFrame, similarity: int = SIMILARITY, k: int = K, rounds: int = PIVOT_ROUNDS) -> DataFrame:
+def link(docs: DataFrame, similarity: int = SIMILARITY, k: int = K, rounds: int = PIVOT_ROUNDS, bits: int = SKETCH_BITS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs(doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    rows = materialize(prefixes(docs, sketch(docs, k), similarity, k), "jac-rows")
+    rows = materialize(prefixes(docs, sketch(docs, k, bits), similarity, k, bits), "jac-rows")
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("grp").alias("grp"))
     classes = materialize(classes, "jac-classes")
     groups = classes.groupBy("grp").agg(F.min("cls").alias("head"), F.first("n").alias("n"), F.count("*").alias("members"))
     # one document of each group carries its prefix
     carrier = classes.groupBy("grp").agg(F.min("doc_id").alias("doc_id"))
     whole = rows.select("doc_id", "grp", "prefix").join(carrier, ["doc_id", "grp"], "left_semi").dropDuplicates(["grp"])
-    posts = whole.select("grp", F.posexplode("prefix").alias("pos", "e"))
-    hot = posts.groupBy("e").agg(F.count("*").alias("df")).filter("df > 1").select("e")
-    posts = materialize(posts.join(hot, "e").join(groups.select("grp", "n", "head"), "grp"), "jac-posts")
+    posts = whole.join(groups.select("grp", "members"), "grp").select("grp", "members", F.posexplode("prefix").alias("pos", "e"))
+    # the first element of a group of several classes stays even if no other group has it: its members meet under it
+    hot = posts.groupBy("e").agg(F.count("*").alias("df"), F.max(F.when(F.col("pos") == 0, F.col("members"))).alias("own"))
+    hot = hot.filter("df > 1 or own > 1").select("e")
+    posts = materialize(posts.drop("members").join(hot, "e").join(groups.select("grp", "n", "head"), "grp"), "jac-posts")
     # classes that take part: groups with a shared element, and groups of several classes
     near = posts.select("grp").distinct().unionByName(groups.filter("members > 1").select("grp")).distinct()
     asked = classes.join(near, "grp", "left_semi")
     items = materialize(set_table(docs, asked, k), "jac-sets")
-    # inside a group: members against its head, then the rest by components below
+    # inside a group: members against its head, then the rest by components below, under the group's first element at least
     inner = classes.join(groups.filter("members > 1").select("grp", "head"), "grp").filter("cls <> head")
     heads = inner.select(F.col("cls").alias("a"), F.col("head").alias("b"))
     members = asked.select("grp", "cls", "n")

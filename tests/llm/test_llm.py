@@ -168,6 +168,38 @@ def test_jaccard_components(spark, seed):
     assert [got[i] for i in range(len(texts))] == brute_components(texts)
 
 
+def test_jaccard_links_inside_groups(spark):
+    """Two edits of one base that link with it and not with each other, all three in one group."""
+    import pyarrow as pa
+
+    from booktext.llm.common import Words, shingles
+
+    elements = lambda text: np.unique(shingles(Words(pa.array([text]), lower=True).hash, 5))
+    rng = random.Random(12)
+    texts = []
+    while len(texts) < 12:
+        base = [f"b{rng.getrandbits(32)}" for _ in range(64)]  # 60 shingles
+        whole = elements(" ".join(base))
+        edits = []
+        for at in range(4, 60, 5):
+            gone = np.setdiff1d(whole, elements(" ".join(base[:at] + ["?"] + base[at + 1 :])))
+            for _ in range(20 if gone.min() > whole[12] else 0):
+                e = " ".join([*base[:at], f"e{rng.getrandbits(32)}", *base[at + 1 :]])
+                if (elements(e)[:13] == whole[:13]).all():  # an equal prefix: 60 - 48 + 1 elements
+                    edits.append(e)
+                    break
+        if len(edits) >= 2:
+            texts += [" ".join(base), *edits[:2]]
+    # of the sketch's two slots, that of the small hashes is the rarer one
+    filler = (" ".join(f"f{rng.getrandbits(32)}" for _ in range(5)) for _ in range(600))
+    texts += [t for t in filler if elements(t)[0] >> np.uint64(63)][:200]
+    given = docs(spark, texts)
+    groups = jaccard.prefixes(given, jaccard.sketch(given, bits=1), bits=1).groupBy("grp").agg(F.countDistinct("cls").alias("n"))
+    assert groups.filter("n = 3").count() == 4
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link(given, bits=1).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)
+
+
 def test_jaccard_empty(spark):
     assert jaccard.link(docs(spark, ["", None])).count() == 2
     assert jaccard.link(docs(spark, EDGES).limit(0)).count() == 0
