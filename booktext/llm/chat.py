@@ -10,7 +10,8 @@ inside roles also ":" as \\c. So a split at "</turn>\\n" is always a turn's end
 
 Nulls: a null role, text or score counts as empty or 0; a message whose parent is absent is a root; a null
 tree_id is a tree of its own. msg_id must be unique and not null within its tree (rows without are left
-out); a cycle of parents has no root and gives no path. Ties of branches go to the smaller leaf id.
+out); a cycle of parents has no root, so neither it nor what hangs below it gives a path. Ties of branches go to the smaller
+leaf id. Empty tables give empty results. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,25 +44,26 @@ def paths(messages: DataFrame) -> DataFrame:
     m = messages.filter("msg_id is not null").select("tree_id", "msg_id", "parent_id")
     ids = m.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("p"))
     same = F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("parent_id") == F.col("p"))
-    up = m.join(ids, same, "left").select("tree_id", "msg_id", F.col("p").alias("above"))
-    up = materialize(up, "chat-up")
-    parents = up.filter("above is not null").select(F.col("tree_id").alias("t"), F.col("above").alias("p")).distinct()
-    leaf = F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("msg_id") == F.col("p"))
-    found = up.join(parents, leaf, "left_anti").select("tree_id", F.col("msg_id").alias("leaf_id"), "msg_id", F.lit(0).alias("up"))
-    found = materialize(found, "chat-path")
-    step, left = 1, found.count()
-    while True:
-        jump = up.filter("above is not null").select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), "above")
-        on = F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("msg_id") == F.col("m"))
-        more = found.join(jump, on).select("tree_id", "leaf_id", F.col("above").alias("msg_id"), (F.col("up") + step).alias("up"))
-        grown = materialize(found.unionByName(more), "chat-path")
-        n = grown.count()
-        if n == left:
-            return grown
-        found, left, step = grown, n, step * 2
-        on = F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("above") == F.col("m"))
-        nxt = jump.select("t", "m", F.col("above").alias("above2"))
-        up = materialize(up.filter("above is not null").join(nxt, on).select("tree_id", "msg_id", F.col("above2").alias("above")), "chat-up")
+    up = materialize(m.join(ids, same).select("tree_id", "msg_id", F.col("p").alias("above")), "chat-up")
+    deepest = m.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0
+    # ups[k]: each message's ancestor 2**k above it, as long as any message has one
+    ups, on = [], F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("above") == F.col("m"))
+    while not up.isEmpty() and 2 ** len(ups) < deepest:
+        ups.append(up)
+        nxt = up.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), F.col("above").alias("above2"))
+        up = materialize(up.join(nxt, on).select("tree_id", "msg_id", F.col("above2").alias("above")), "chat-up")
+    below = F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("msg_id") == F.col("p"))
+    parents = m.filter("parent_id is not null").select(F.col("tree_id").alias("t"), F.col("parent_id").alias("p")).distinct()
+    found = m.select("tree_id", "msg_id").join(parents, below, "left_anti")
+    # an ancestor that is as far away as the tree has messages lies on a cycle
+    endless = up.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("p"))
+    found = found.join(endless, below, "left_anti").select("tree_id", F.col("msg_id").alias("leaf_id"), "msg_id", F.lit(0).alias("up"))
+    for k, above in enumerate(ups):
+        found = materialize(found, "chat-path")
+        jump = above.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("p"), "above")
+        more = found.join(jump, below).select("tree_id", "leaf_id", F.col("above").alias("msg_id"), (F.col("up") + 2**k).alias("up"))
+        found = found.unionByName(more)
+    return materialize(found, "chat-path")
 
 
 def choose(path: DataFrame, messages: DataFrame, branches: int | None) -> DataFrame:

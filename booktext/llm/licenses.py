@@ -11,7 +11,7 @@ window is laid round is aligned with its place in the template. Of overlapping m
 A text is skipped for a template only if the multiset of words that they share is too small to reach the least coverage.
 
 Nulls: a null text has no license; null ids are kept; repeated rows are scanned alike. Ties of coverage go to the
-template listed first, then to the earlier place. Extra columns are not touched.
+template listed first, then to the earlier place. Empty tables give empty results. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -153,7 +153,7 @@ class Scanner:
         for n, w in enumerate(low):
             if w in vocabulary or (w := w.strip(_EDGE)) in vocabulary:
                 found.setdefault(w, []).append(n)
-        if len(found) < 2:
+        if not found:
             return []
         out, seq = [], None
         for name, t, counted in self.templates:
@@ -189,4 +189,5 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, license string, coverage double, first_word long, end_word long, n_matches long")
+    ident = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {ident}, license string, coverage double, first_word long, end_word long, n_matches long")

@@ -10,7 +10,8 @@ log-odds of label pairs. Labels are those of the base patterns in at most `train
 id has the smallest hash): a bounded sample by design. Inference covers every whole text.
 
 Nulls: a null text is empty; null ids are kept and repeated rows scanned alike. Ties of labels go to O, then to the
-kind listed first. Positions are code points, end exclusive. Extra columns are not touched.
+kind listed first. Positions are code points, end exclusive. Patterns and graphs take time linear in a text's length. Empty
+tables give empty results. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,14 +24,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import SPACES
+
 # The base patterns.
 KINDS = ["email", "ip", "card", "phone"]
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++")
+LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
+NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 TRAIN_ROWS = 4_000
+#: Characters that training takes of a row at most.
+TRAIN_CHARS = 10_000
 #: Nodes that training uses at most, in the order of the sample.
 TRAIN_NODES = 50_000
 #: Marginal that a label needs.
@@ -50,15 +56,41 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+`, in linear time: the local part is all that fits before
+    an at sign, down to the end of the match before."""
+    past, at = 0, text.find("@")
+    while at >= 0:
+        local = LOCAL.match(text[past:at][::-1]).end()
+        m = DOMAIN.match(text, at + 1) if local else None
+        past = m.end() if m else at + 1
+        if m:
+            yield at - local, m.end()
+        at = text.find("@", past)
+
+
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of `[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)` with parts of at most 255, in linear time: each four numbers of a
+    run of dotted numbers."""
+    for m in NUMBERS.finditer(text):
+        parts, at = m[0].split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in four):
+                yield at, end
+            at = end + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end) of the base patterns' matches that pass their check, by kind, then start."""
-    out: list[tuple[int, int, int]] = []
-    if "@" in text:
-        out += [(0, *m.span()) for m in EMAIL.finditer(text)]
+    out: list[tuple[int, int, int]] = [(0, *x) for x in emails(text)]
     if not re.search("[0-9]", text):
         return out
-    out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(1, *x) for x in addresses(text)]
     for m in CARD.finditer(text):
+        if m.end() - m.start() > 37:  # 19 digits with a sign between any two
+            continue
         digits = re.sub("[^0-9]", "", m[0])
         if 16 <= len(digits) <= 19 and luhn(digits):
             out.append((2, *m.span()))
@@ -73,6 +105,7 @@ class Graph:
     def __init__(self, text: str) -> None:
         tokens = [(n, m.start(), m.end()) for n, m in enumerate(TOKEN.finditer(text)) if _NODE.search(m[0])]
         self.spans = [(a, b) for _, a, b in tokens]
+        self.starts, self.ends = np.array(self.spans, dtype=int).reshape(-1, 2).T
         words = [text[a:b] for a, b in self.spans]
         self.x = np.array([features(w) for w in words]).reshape(-1, FEATURES)
         self.chain = [(i - 1, i) for i in range(1, len(tokens)) if tokens[i][0] == tokens[i - 1][0] + 1]
@@ -89,9 +122,8 @@ class Graph:
         """0 for O, or 1 + the kind of the first span that a token meets."""
         out = np.zeros(len(self.spans), dtype=int)
         for kind, s, e in sorted(spans, reverse=True):
-            for i, (a, b) in enumerate(self.spans):
-                if a < e and s < b:
-                    out[i] = kind + 1
+            # tokens that end after s and start before e
+            out[np.searchsorted(self.ends, s, "right") : np.searchsorted(self.starts, e, "left")] = kind + 1
         return out
 
 
@@ -145,25 +177,30 @@ class SkipChain:
     def marginals(self, g: Graph) -> np.ndarray:
         """Each node's label probabilities by loopy belief propagation, damped, in log space."""
         unary = g.x @ self.weights.T
-        edges = np.array(g.chain + g.skip, dtype=int).reshape(-1, 2)
-        pot = np.array([self.chain] * len(g.chain) + [self.skip] * len(g.skip)).reshape(-1, L, L)
-        src, dst = np.r_[edges[:, 0], edges[:, 1]], np.r_[edges[:, 1], edges[:, 0]]
-        pot = np.concatenate([pot, pot.transpose(0, 2, 1)])
-        e = len(edges)
-        back = np.r_[np.arange(e, 2 * e), np.arange(e)]
-        msg = np.zeros((2 * e, L))
-        for _ in range(ROUNDS if e else 0):
-            belief = unary.copy()
-            np.add.at(belief, dst, msg)
-            cavity = belief[src] - msg[back]
-            new = np.logaddexp.reduce(cavity[:, :, None] + pot, axis=1)
-            new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
-            change = np.abs(new - msg).max()
-            msg = 0.5 * msg + 0.5 * new
+        kinds = [(np.array(edges, dtype=int).reshape(-1, 2), np.exp(table)) for edges, table in ((g.chain, self.chain), (g.skip, self.skip))]
+        # a message of each edge in either direction
+        ways = [(e[:, 0], e[:, 1], t) for e, t in kinds] + [(e[:, 1], e[:, 0], t.T) for e, t in kinds]
+        msg = [np.zeros((len(src), L)) for src, _, _ in ways]
+
+        def believed() -> np.ndarray:
+            out = unary.copy()
+            for (_, dst, _), m in zip(ways, msg):
+                np.add.at(out, dst, m)
+            return out
+
+        for _ in range(ROUNDS if g.chain or g.skip else 0):
+            belief, change, new = believed(), 0.0, []
+            for n, (src, _, table) in enumerate(ways):
+                cavity = belief[src] - msg[(n + 2) % 4]  # less what came the other way
+                top = cavity.max(axis=1, keepdims=True)
+                m = np.log(np.exp(cavity - top) @ table)
+                m -= np.logaddexp.reduce(m, axis=1, keepdims=True)
+                change = max(change, np.abs(m - msg[n]).max(initial=0.0))
+                new.append(0.5 * msg[n] + 0.5 * m)
+            msg = new
             if change < 1e-4:
                 break
-        belief = unary.copy()
-        np.add.at(belief, dst, msg)
+        belief = believed()
         return np.exp(belief - np.logaddexp.reduce(belief, axis=1, keepdims=True))
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -188,13 +225,16 @@ class SkipChain:
 
 
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> SkipChain:
-    rows = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]"))
-    # only pieces of the sample's texts round its nodes reach the driver
-    sample = rows.orderBy(F.xxhash64("doc_id", "text")).limit(train_rows).select(
-        F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"(?:[^\x20\x09-\x0D]+\s)?[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*"), F.lit(0)), 1, 200), "\n").alias("text")
-    )
+    """A model from the pieces of text round the nodes of about train_rows rows, those whose hash lies in the share of its range
+    that gives so many. Only the nodes, each with the word before it, reach the driver, TRAIN_CHARS of a row at most."""
+    total, key = docs.count(), F.xxhash64("doc_id", "text")
+    rows = docs if total <= train_rows else docs.filter(F.pmod(key, F.lit(1 << 30)) < F.lit(int((1 << 30) * train_rows / total)))
+    words, node = F.split("text", SPACES), lambda w: F.coalesce(w, F.lit("")).rlike("[0-9@]")
+    near = F.transform(words, lambda w, i: F.when(node(w) | node(F.get(words, i + 1)), w).otherwise("\n"))
+    pieces = F.substring(F.regexp_replace(F.array_join(near, " "), r"(?: ?\n)+ ?", "\n"), 1, TRAIN_CHARS)
+    sample = rows.filter(F.col("text").rlike("[0-9@]")).select(key.alias("key"), pieces.alias("text")).dropDuplicates(["key"]).orderBy("key").limit(2 * train_rows)
     graphs, n = [], 0
-    for r in sample.collect():
+    for r in sample.collect():  # at most 2 * train_rows * TRAIN_CHARS characters
         g = Graph(r["text"])
         graphs.append((g, g.labels(base_spans(r["text"]))))
         n += len(g.spans)
@@ -222,4 +262,5 @@ def scan(docs: DataFrame, model: SkipChain | None = None, train_rows: int = TRAI
             yield pd.DataFrame({"doc_id": b["doc_id"], "base": show(base), "added": show(added)})
 
     item = "array<struct<kind:int,start:bigint,end:bigint>>"
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id long, base {item}, added {item}")
+    ident = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {ident}, base {item}, added {item}")

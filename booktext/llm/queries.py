@@ -22,9 +22,10 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.row_number().over(W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text"))
     messages = rows.select(
         F.col("conv_id").alias("tree_id"), place.cast("long").alias("msg_id"), (place - 1).cast("long").alias("parent_id"),
-        "role", "text", F.lit(0.0).alias("score"),
+        "role", "text", F.coalesce(F.length("text"), F.lit(0)).cast("double").alias("score"),
     )
-    out = chat.format_trees(messages).withColumn("turns", chat.read_back(F.col("formatted")))
+    # each conversation is a tree of one branch; its best branch is all of it
+    out = chat.format_trees(messages, branches=1).withColumn("turns", chat.read_back(F.col("formatted")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = chat.loss_text(F.col("formatted"), F.col("loss_spans"))
     return out.select(
@@ -94,6 +95,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", count(1).alias("n_assign"), count(2).alias("n_access"), count(3).alias("n_hex"),
         F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("secret_spans")).alias("spans"),
+        F.size("secret_spans").cast("long").alias("n_found"),
     )
 
 
@@ -106,6 +108,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)],
         F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.concat("base", "added")).alias("spans"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_found"),
     )
 
 

@@ -1,15 +1,19 @@
 """Secret scans, in DataFrame operations only.
 
-Base rules are patterns. Beside them every candidate token (a run of 20 or more of the characters that
-keys are written in, with a digit or mixed case inside) is scored by two character Markov models, one of
-random strings and one of ordinary identifiers: the log-likelihood ratio of its character pairs, with
-character classes as states. Both are trained from labelled samples of the corpus: the values that base rules
-found are random strings, words of letters are ordinary ones. Training takes the `train_rows` rows with the
-smallest hash of their id (a bounded sample by design); scoring covers every whole text.
+Base rules are patterns. Beside them every candidate token (a run of 16 or more of the characters that
+keys are written in) is scored by two character Markov models, one of random strings and one of ordinary
+identifiers: the log-likelihood ratio of its character pairs, a state for each character. Both are trained from labelled
+samples of the corpus: the values that base rules found are random strings, all other tokens of 8 or more characters are
+ordinary ones. Training takes the rows (or values) whose hash lies in the share that gives about `train_rows` of
+them: a bounded sample by design, taken where the rows are; scoring covers every whole text.
 
 Weights are rounded to thousandths and summed as integers, so results do not depend on the order of rows.
+All steps are linear in a text's length and its number of spans: tokens are scored as arrays, overlaps are found by running
+maxima, and redacted texts are put together from blocks.
+
 Nulls: a null text is empty; null ids are kept. Rows are told apart by id and a hash of the text, and
-repeated rows get the same spans. Positions are code points, end exclusive.
+repeated rows get the same spans. Positions are code points, end exclusive. Empty tables give empty results. Other columns
+are kept; one called secret_spans (or one that starts with _secret) raises ValueError.
 """
 
 from __future__ import annotations
@@ -25,8 +29,14 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ["assign", "access", "hex", "markov"]
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Rows whose tokens train the two models.
+CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+#: Tokens that train the model of ordinary identifiers, unless a base rule found them.
+ORDINARY = r"[A-Za-z0-9+/_=-]{8,}"
+#: States: the characters from "+" to "z", of which 68 can stand in a token.
+FIRST, STATES, LETTERS = ord("+"), 80, 68
+#: Pairs' worth of weight that a second character's own probability has.
+BACKOFF = 5
+#: Rows (and values) that train the two models, about.
 TRAIN_ROWS = 20_000
 #: Thousandths of log-likelihood ratio a character pair that a random string reaches.
 THRESHOLD = 700
@@ -57,58 +67,89 @@ def base_spans(rows: DataFrame) -> DataFrame:
     )
 
 
-def _class(c: Column) -> Column:
-    """A character's state: one of 9 classes."""
-    vowel, mark = c.rlike("[aeiouAEIOU]"), c.rlike("[+/_=.-]")
-    return (
-        F.when(c.rlike("[0-9]"), F.lit(0)).when(mark, F.lit(1))
-        .when(c.rlike("[a-f]"), F.when(vowel, F.lit(2)).otherwise(F.lit(3)))
-        .when(c.rlike("[g-z]"), F.when(vowel, F.lit(4)).otherwise(F.lit(5)))
-        .when(vowel, F.lit(6)).when(c.rlike("[A-Z]"), F.lit(7)).otherwise(F.lit(8))
-    )
+def steps(token: Column) -> Column:
+    """ARRAY<INT>: each neighbouring pair of characters of a token as one number."""
+    at = F.transform(F.slice(F.split(token, ""), F.lit(1), F.length(token)), lambda c: F.ascii(c) - FIRST)
+    n = F.greatest(F.length(token) - 1, F.lit(0))
+    return F.zip_with(F.slice(at, F.lit(1), n), F.slice(at, F.lit(2), n), lambda a, b: a * STATES + b)
+
+
+def train(random: DataFrame, ordinary: DataFrame, token: str = "value") -> list[int]:
+    """Thousandths of log P_random(b|a) - log P_ordinary(b|a) for all pairs of states, as one list.
+
+    A pair's probability is interpolated with its second character's, which has add-one smoothing: a model without samples is
+    uniform."""
+    rows = random.select(F.explode(steps(F.col(token))).alias("k"), F.lit(1).alias("r")).unionByName(ordinary.select(F.explode(steps(F.col(token))).alias("k"), F.lit(0).alias("r")))
+    counted = rows.groupBy("k").agg(F.sum("r").alias("nr"), F.sum(1 - F.col("r")).alias("no"))
+    every = random.sparkSession.range(STATES * STATES).select(F.col("id").cast("int").alias("k"))
+    full = every.join(counted, "k", "left").fillna(0)
+    first, second = W.partitionBy(F.floor(F.col("k") / STATES)), W.partitionBy(F.col("k") % STATES)
+
+    def log(c: str) -> Column:
+        alone = (F.sum(c).over(second) + 1) / (F.sum(c).over(W.partitionBy()) + LETTERS)
+        return F.log((F.col(c) + BACKOFF * alone) / (F.sum(c).over(first) + BACKOFF))
 
+    weights = full.select("k", F.round((log("nr") - log("no")) * 1000).cast("int").alias("weight"))
+    return [r["weight"] for r in weights.orderBy("k").collect()]  # STATES * STATES numbers
 
-def pairs(tokens: DataFrame, token: str = "value") -> DataFrame:
-    """tokens with a row for each neighbouring pair of characters: columns a and b (their states)."""
-    at = F.explode(F.sequence(F.lit(1), F.length(token) - 1)).alias("_i")
-    rows = tokens.filter(F.length(token) > 1).select("*", at)
-    char = lambda n: F.substring(token, F.col("_i") + n, F.lit(1))
-    return rows.withColumn("a", _class(char(0))).withColumn("b", _class(char(1))).drop("_i")
 
+def ratio(token: Column, weights: list[int]) -> Column:
+    """A token's log-likelihood ratio in thousandths, summed over its pairs of characters."""
+    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")  # a constant
+    return F.aggregate(steps(token), F.lit(0).cast("long"), lambda a, k: a + F.get(table, k))
 
-def train(random: DataFrame, ordinary: DataFrame, token: str = "value") -> DataFrame:
-    """a, b, weight LONG: thousandths of log P_random(b|a) - log P_ordinary(b|a), for all 81 pairs of states.
 
-    Add-one smoothing, so a class without samples is uniform."""
-    every = random.sparkSession.range(81).select((F.col("id") / 9).cast("int").alias("a"), (F.col("id") % 9).cast("int").alias("b"))
-    counted = pairs(random.select(token, F.lit(1).alias("r")).unionByName(ordinary.select(token, F.lit(0).alias("r"))), token)
-    counted = counted.groupBy("a", "b").agg(F.sum("r").alias("nr"), F.sum(1 - F.col("r")).alias("no"))
-    full = every.join(counted, ["a", "b"], "left").fillna(0)
-    by_a = W.partitionBy("a")
-    log = lambda c: F.log((F.col(c) + 1) / (F.sum(c).over(by_a) + 9))
-    return full.select("a", "b", F.round((log("nr") - log("no")) * 1000).cast("long").alias("weight"))
+def _share(key: Column, rows: int, total: int) -> Column:
+    """Does the hash of the key lie in the share of its range that gives about so many of the total?"""
+    return F.lit(True) if total <= rows else F.pmod(key, F.lit(1 << 30)) < F.lit(int((1 << 30) * rows / total))
 
 
-def scan(docs: DataFrame, train_rows: int = TRAIN_ROWS, threshold: int = THRESHOLD) -> DataFrame:
-    """docs(doc_id, text) -> id, mark, spans ARRAY<STRUCT<start, kind INT, end>> sorted, for texts with a span."""
-    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
+def learn(rows: DataFrame, base: DataFrame, train_rows: int = TRAIN_ROWS) -> list[int]:
+    """The models' weights from rows(id, mark, text) and their base spans."""
+    key = F.xxhash64("id", "mark")
+    words = rows.filter(_share(key, train_rows, rows.count())).select("id", "mark", F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0)).alias("w")).dropDuplicates(["id", "mark"])
+    words = words.select(F.explode("w").alias("value"))
+    values = base.select(F.explode(F.regexp_extract_all("value", F.lit(ORDINARY), F.lit(0))).alias("value")).distinct()
+    ordinary = words.join(values, "value", "left_anti")
+    picked = base.filter(_share(F.xxhash64("id", "mark", "start"), train_rows, base.count())).select("value")
+    return train(picked, ordinary)
+
+
+def spans_table(rows: DataFrame, train_rows: int = TRAIN_ROWS, threshold: int = THRESHOLD, weights: list[int] | None = None) -> DataFrame:
+    """id, mark, kind, start, end of all spans of rows(id, mark, text)."""
     base = materialize(base_spans(rows), "secret-base")
-    tokens = materialize(spans_of(rows, CANDIDATE, "markov").filter(F.col("value").rlike("[0-9]") | F.col("value").rlike("[a-z][A-Z]")), "secret-tokens")
-    sample = rows.orderBy(F.xxhash64("id", "mark")).limit(train_rows).select("text")
-    words = sample.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z_-]{7,}"), F.lit(0))).alias("value"))
-    picked = base.orderBy(F.xxhash64("id", "mark", "start")).limit(train_rows).select("value")
-    model = materialize(train(picked, words), "secret-model")  # 81 rows
-    scored = pairs(tokens).join(F.broadcast(model), ["a", "b"])
-    found = scored.groupBy("id", "mark", "kind", "start", "end").agg(F.sum("weight").alias("score"), F.count("*").alias("n"))
-    found = found.filter(F.col("score") >= F.lit(threshold) * F.col("n"))
-    # a token inside or across a base span is that span's
-    over = base.select(F.col("id").alias("i"), F.col("mark").alias("m"), F.col("start").alias("s"), F.col("end").alias("e"))
-    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")) & (F.col("start") < F.col("e")) & (F.col("s") < F.col("end"))
-    added = found.join(over, same, "left_anti")
-    spans = base.select("id", "mark", "kind", "start", "end").unionByName(added.select("id", "mark", "kind", "start", "end"))
+    weights = weights or learn(rows, base, train_rows)
+    tokens = spans_of(rows, CANDIDATE, "markov")
+    found = tokens.filter(ratio(F.col("value"), weights) >= F.lit(threshold) * (F.length("value") - 1))
+    # a token inside or across a base span is that span's: the nearest base spans on either side are running extremes
+    both = base.select("id", "mark", "kind", "start", "end").unionByName(found.select("id", "mark", "kind", "start", "end"))
+    is_base = F.col("kind") != "markov"
+    text = W.partitionBy("id", "mark")
+    reach = F.max(F.when(is_base, F.col("end"))).over(text.orderBy("start").rangeBetween(W.unboundedPreceding, W.currentRow))
+    ahead = F.min(F.when(is_base, F.col("start"))).over(text.orderBy(F.col("start").desc()).rangeBetween(W.unboundedPreceding, W.currentRow))
+    both = both.withColumn("reach", reach).withColumn("ahead", ahead)
+    free = ~F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) & ~F.coalesce(F.col("ahead") < F.col("end"), F.lit(False))
+    return both.filter(is_base | free).select("id", "mark", "kind", "start", "end")
+
+
+def scan(docs: DataFrame, **options) -> DataFrame:
+    """docs(doc_id, text) -> id, mark, spans ARRAY<STRUCT<start, kind INT, end>> sorted and cuts ARRAY<STRUCT<start, end>> (the text
+    between spans, overlapping ones joined) and tail (where the last ends), for texts with a span."""
+    rows = docs.select(F.col("doc_id").alias("id"), mark(F.col("text")).alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
+    spans = spans_table(rows, **options)
+    before = W.partitionBy("id", "mark").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
+    spans = spans.withColumn("past", F.coalesce(F.max("end").over(before), F.lit(0)))
     number = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     item = F.struct(F.col("start").cast("long").alias("start"), number.alias("kind"), F.col("end").cast("long").alias("end"))
-    return spans.groupBy("id", "mark").agg(F.array_sort(F.collect_set(item)).alias("spans"))
+    cut = F.when(F.col("start") >= F.col("past"), F.struct(F.col("past").cast("int").alias("start"), F.col("start").cast("int").alias("end")))
+    return spans.groupBy("id", "mark").agg(
+        F.array_sort(F.collect_set(item)).alias("spans"), F.array_sort(F.collect_list(cut)).alias("cuts"), F.max("end").cast("int").alias("tail")
+    )
+
+
+def mark(text: Column) -> Column:
+    """A hash of the text; a null text is empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def written(spans: Column) -> Column:
@@ -117,27 +158,42 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"]), x["start"], x["end"])), ",")
 
 
+def _joined(docs: DataFrame, **options) -> DataFrame:
+    """docs with _secret_spans, _secret_cuts and _secret_tail."""
+    if clash := [c for c in docs.columns if c == "secret_spans" or c.startswith("_secret")]:
+        raise ValueError(f"columns {clash} are there already")
+    found = scan(docs, **options)
+    found = found.select(*[F.col(c).alias(f"_secret_{c}") for c in found.columns])
+    on = F.col("doc_id").eqNullSafe(F.col("_secret_id")) & (mark(F.col("text")) == F.col("_secret_mark"))
+    return docs.join(found, on, "left")
+
+
 def with_spans(docs: DataFrame, **options) -> DataFrame:
     """docs with secret_spans, an empty array where there are none."""
-    found = scan(docs, **options)
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    on = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("mark"))
-    return docs.join(found, on, "left").withColumn("secret_spans", F.coalesce("spans", none)).drop("id", "mark", "spans")
-
-
-def redact(docs: DataFrame, mark: str = "[secret]", **options) -> DataFrame:
-    """docs with the text of every span replaced by a mark; overlapping spans are joined. No row goes."""
-    cols = docs.columns
-    rows = with_spans(docs, **options)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    step = lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(
-        F.struct(
-            s["end"].alias("at"),
-            F.concat(
-                a["out"],
-                F.when(s["start"] < a["at"], F.lit("")).otherwise(F.concat(F.substring("text", (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark))),
-            ).alias("out"),
-        )
-    )
-    cut = F.aggregate("secret_spans", zero, step, lambda a: F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), F.length("text"))))
-    return rows.withColumn("text", F.when(F.size("secret_spans") > 0, cut).otherwise(F.col("text"))).select(*cols)
+    return _joined(docs, **options).select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("_secret_spans", none).alias("secret_spans"))
+
+
+#: Code points of the blocks that a text is cut into where it is put together anew.
+BLOCK = 4096
+
+
+def _piece(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points start to end of a text that is cut into blocks: only the blocks at its ends are searched."""
+    i, j = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    head, tail = F.coalesce(F.get(blocks, i), F.lit("")), F.coalesce(F.get(blocks, j), F.lit(""))
+    one = F.substring(head, start % BLOCK + 1, end - start)
+    more = F.concat(F.substring(head, start % BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(tail, F.lit(1), end % BLOCK))
+    return F.when(end <= start, F.lit("")).when(i == j, one).otherwise(more)
+
+
+def redact(docs: DataFrame, label: str = "[secret]", **options) -> DataFrame:
+    """docs with the text of every span replaced by a label; overlapping spans are joined. No row goes."""
+    rows = _joined(docs, **options)
+    # the last block of a whole number of blocks is empty
+    blocks = F.concat(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), F.array(F.lit("")))
+    rows = rows.withColumn("_secret_blocks", F.when(F.size("_secret_cuts") > 0, blocks))
+    parts = F.transform("_secret_cuts", lambda x: F.concat(_piece(F.col("_secret_blocks"), x["start"], x["end"]), F.lit(label)))
+    cut = F.concat(F.array_join(parts, ""), _piece(F.col("_secret_blocks"), F.col("_secret_tail"), F.length("text")))
+    text = F.when(F.size("_secret_cuts") > 0, cut).otherwise(F.col("text"))
+    return rows.withColumn("_secret_text", text).select(*[F.col("_secret_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -6,8 +6,9 @@ record by record by Content-Length, groups continuation records by origin identi
 segment number, verifies the total length, and decodes the chunked framing.
 
 Nulls: a null html is an empty payload; a null id is written as "null" and read back as null. Of equal
-payloads the smallest id is the response (nulls last). Repeated ids give records of their own; rows that
-are equal in id and payload are read back as many times as they were written. Extra columns are ignored.
+payloads the smallest id is the response (nulls last). Repeated ids give records of their own, since a record's name holds its
+id, its payload's digest and, where rows are equal in both, a number for each copy; so all rows are read back as many times as
+they were written. Empty tables give empty archives. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .common import materialize, shared_dir
 #: Bytes of a block that one record holds at most; longer blocks go on in continuation records.
 SEGMENT_BYTES = 48 * 1024
 CHUNK_BYTES = 16 * 1024
-#: Records in one archive file at most.
+#: Records in one archive file at most: with segments, a file is bounded by FILE_RECORDS * SEGMENT_BYTES.
 FILE_RECORDS = 2_000
 DATE = "2024-01-01T00:00:00Z"
 
@@ -65,19 +66,19 @@ def _record(kind: str, ident: str, block: bytes, extra: list[tuple[str, str]]) -
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def _records(ident: str, url: str, payload: bytes, refers: str | None, copy: int, segment: int) -> bytes:
-    """All records of one page."""
-    rid = f"urn:page:{ident}:{copy}"
-    url = "".join(c for c in url if c > " ") or "urn:none"
+def _records(ident: str, url: str, payload: bytes, refers: str | None, copy: int, segment: int) -> list[bytes]:
+    """All records of one page. The page's name is its id and its payload's digest, a record's name adds the number of the copy."""
     digest = sha1_base32(payload)
+    rid = f"urn:page:{ident}:{digest}:{copy}"
+    url = "".join(c for c in url if c > " ") or "urn:none"
     extra = [("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if refers is not None:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        return _record("revisit", rid, http, [*extra, ("WARC-Refers-To", f"<urn:page:{refers}:0>"), ("WARC-Profile", profile)])
+        return [_record("revisit", rid, http, [*extra, ("WARC-Refers-To", f"<urn:page:{refers}:{digest}:0>"), ("WARC-Profile", profile)])]
     block = http + chunked(payload)
     if len(block) <= segment:
-        return _record("response", rid, block, extra)
+        return [_record("response", rid, block, extra)]
     cuts = range(0, len(block), segment)
     out = [_record("response", rid, block[:segment], [*extra, ("WARC-Segment-Number", "1")])]
     for n, at in enumerate(cuts[1:], 2):
@@ -85,7 +86,7 @@ def _records(ident: str, url: str, payload: bytes, refers: str | None, copy: int
         if n == len(cuts):
             more.append(("WARC-Segment-Total-Length", str(len(block))))
         out.append(_record("continuation", f"{rid}:{n}", block[at : at + segment], more))
-    return b"".join(out)
+    return out
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = 0, segment: int = SEGMENT_BYTES) -> None:
@@ -93,23 +94,31 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, segment: int = SEGMEN
     min_bytes (the smallest page_id), revisits for its other pages, responses for smaller payloads."""
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("key", F.sha2("payload", 256))
-    first = rows.groupBy("key").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    first = first.filter("n > 1").select(F.col("key").alias("key2"), "first_id", "n")
-    rows = rows.join(first, F.col("key") == F.col("key2"), "left").drop("key2")
-    same = (F.length("payload") >= min_bytes) & F.col("n").isNotNull()
-    is_first = F.col("page_id").eqNullSafe(F.col("first_id"))
-    rows = rows.withColumn("refers", F.when(same & ~is_first, F.coalesce(F.col("first_id").cast("string"), F.lit("null"))))
+    # which pages revisit which: decided over ids and digests alone, so that no payload meets its copies
+    each = rows.groupBy("page_id", "key").agg(F.count("*").alias("copies"), F.first(F.length("payload")).alias("size"))
+    first = each.groupBy("key").agg(F.min("page_id").alias("first_id"), F.sum("copies").alias("n")).filter("n > 1").select(F.col("key").alias("k"), "first_id")
+    each = each.join(first, F.col("key") == F.col("k"))
+    revisit = (F.col("size") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    refers = F.when(revisit, F.coalesce(F.col("first_id").cast("string"), F.lit("null")))
+    told = each.select(F.col("page_id").alias("p"), "k", refers.alias("refers"), "copies").filter("refers is not null or copies > 1")
+    rows = rows.join(told, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("key") == F.col("k")), "left")
+    # of equal rows each has a number, in any order
+    copy = F.when(F.col("copies") > 1, F.monotonically_increasing_id() + 1).otherwise(0).alias("copy")
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for ident, url, payload, refers in zip(b["id"], b["url"], b["payload"], b["refers"]):
-                # the writer of lines adds the last line feed
-                out.append(_records(ident, url, bytes(payload), refers, 0, segment)[:-1])
+            out, size = [], 0
+            for ident, url, payload, refers, copy in zip(b["id"], b["url"], b["payload"], b["refers"], b["copy"]):
+                for record in _records(ident, url, bytes(payload), refers, int(copy), segment):
+                    out.append(record[:-1])  # the writer of lines adds the last line feed
+                    size += len(record)
+                if size > 4_000_000:
+                    yield pd.DataFrame({"record": out})
+                    out, size = [], 0
             yield pd.DataFrame({"record": out})
 
     ident = F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("id")
-    records = rows.select(ident, "url", "payload", "refers").mapInPandas(made, "record binary")
+    records = rows.select(ident, "url", "payload", "refers", copy).mapInPandas(made, "record binary")
     (
         records.select(F.col("record").cast("string").alias("value"))
         .write.option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).option("lineSep", "\n").text(path)
@@ -196,11 +205,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 @F.pandas_udf(T.StructType().add("payload_bytes", T.LongType()).add("payload_digest", T.StringType()).add("ok", T.BooleanType()))
 def decoded(blocks: pd.Series) -> pd.DataFrame:
-    """Size and digest of each block's payload; null and not ok where there is none or its framing is broken."""
+    """Size and digest of the payload of each block (given in parts); null and not ok where there is none or its framing is broken."""
     rows = []
-    for block in blocks:
+    for parts in blocks:
         try:
-            head, _, body = bytes(block).partition(b"\r\n\r\n")
+            head, _, body = b"".join(map(bytes, parts)).partition(b"\r\n\r\n")
             payload = dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
             rows.append((len(payload), sha1_base32(payload), True))
         except (ValueError, TypeError):  # no block, or broken framing
@@ -212,7 +221,7 @@ def decoded(blocks: pd.Series) -> pd.DataFrame:
 def decode_singles(records: DataFrame) -> DataFrame:
     """records with d, the decoded payload of unsegmented responses; only segments keep their block."""
     alone = (F.col("segment") == 0) & (F.col("warc_type") == "response")
-    rows = records.withColumn("d", decoded(F.when(alone, F.col("block"))))
+    rows = records.withColumn("d", decoded(F.when(alone, F.array("block"))))
     return rows.withColumn("block", F.when(F.col("segment") > 0, F.col("block")))
 
 
@@ -231,10 +240,10 @@ def payloads(records: DataFrame) -> DataFrame:
         F.count("*").alias("n"),
         F.max(F.when(F.col("segment") == 1, F.col("digest"))).alias("digest"),
     )
-    joined = F.aggregate("parts", F.unhex(F.lit("")), lambda a, x: F.concat(a, x["block"]))
-    whole = whole.withColumn("block", F.when(F.col("n") == F.col("last"), joined))
-    good = F.col("total") == F.length("block")
-    whole = whole.select(F.col("origin").alias("record_id"), F.lit("response").alias("warc_type"), F.lit(None).cast("string").alias("refers_to"), "digest", F.when(good, F.col("block")).alias("block"))
+    size = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + F.length(x["block"]))
+    good = (F.col("n") == F.col("last")) & (F.col("total") == size)
+    blocks = F.when(good, F.transform("parts", lambda x: x["block"])).alias("block")
+    whole = whole.select(F.col("origin").alias("record_id"), F.lit("response").alias("warc_type"), F.lit(None).cast("string").alias("refers_to"), "digest", blocks)
     rows = single.unionByName(whole.withColumn("d", decoded("block")).drop("block"))
     rows = rows.select("record_id", "warc_type", "refers_to", "digest", "d.*")
     return rows.withColumn("ok", F.col("ok") & F.col("payload_digest").eqNullSafe(F.col("digest")))
@@ -246,8 +255,9 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     found = payloads(records)
     ident = lambda c: F.expr(f"try_cast(split({c}, ':')[2] as bigint)")
     revisits = records.filter("warc_type = 'revisit'").select("record_id", "refers_to", "digest")
-    sized = found.select(F.col("record_id").alias("r2"), "payload_bytes", "payload_digest", "ok")
-    revisits = revisits.join(sized.dropDuplicates(["r2"]), F.col("refers_to") == F.col("r2"), "left")
+    page = lambda c: F.substring_index(c, ":", 4)  # noqa: E731  urn:page:id:digest
+    sized = found.select(page(F.col("record_id")).alias("r2"), "payload_bytes", "payload_digest", "ok")
+    revisits = revisits.join(sized.dropDuplicates(["r2"]), page(F.col("refers_to")) == F.col("r2"), "left")
     back = revisits.select(
         "record_id", F.lit("revisit").alias("record_type"), "refers_to", "payload_bytes", F.col("digest").alias("payload_digest"),
         (F.coalesce("ok", F.lit(False)) & F.col("payload_digest").eqNullSafe(F.col("digest"))).alias("ok"),
@@ -264,5 +274,3 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path, min_bytes)
     return read_pages(spark, path)
-
-
