@@ -23,10 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-#: Entries that each worker's caches hold before they are emptied.
-CACHE = 400_000
-#: Distinct pieces that each worker keeps (about 280 bytes each).
-PIECES = 1_000_000
+#: Entries that each of a worker's two token caches holds before it is emptied (about 200 bytes each).
+CACHE = 100_000
+#: Bytes of distinct pieces and their ids that a worker keeps; a piece longer than PIECE_BYTES is not kept.
+PIECES_BYTES = 24_000_000
+PIECE_BYTES = 256
 
 
 class TreeBpe:
@@ -41,6 +42,7 @@ class TreeBpe:
         self._spans: dict[bytes, tuple[int, ...]] = {}
         self._pairs: dict[tuple[int, int], tuple[int, ...]] = {}
         self._pieces: dict[str, tuple[str, int]] = {}
+        self._held = 0
         self._text_of = {str(i): b for b, i in ranks.items()}
 
     def _merge(self, span: bytes) -> tuple[int, ...]:
@@ -141,14 +143,26 @@ class TreeBpe:
         if not text:
             return "", 0
         parts, seen = self.split.findall(text), self._pieces
-        if len(seen) > PIECES:
-            seen.clear()
+        if self._held > PIECES_BYTES:
+            self.forget()
+        long = {}
         for p in set(parts):
             if p not in seen:
-                seen[p] = self._piece_text(p)
-        found = list(map(seen.__getitem__, parts))
+                made = self._piece_text(p)
+                if len(p) > PIECE_BYTES:
+                    long[p] = made
+                else:
+                    seen[p] = made
+                    self._held += 250 + len(p) + len(made[0])
+        found = [seen[p] if p in seen else long[p] for p in parts] if long else list(map(seen.__getitem__, parts))
         return ",".join([x[0] for x in found]), sum(x[1] for x in found)
 
+    def forget(self) -> None:
+        """Empty the caches: at the end of a task, and where they have grown to their bounds."""
+        for cache in (self._spans, self._pairs, self._pieces):
+            cache.clear()
+        self._held = 0
+
     def decode(self, ids: list[int]) -> bytes:
         """Concatenation of the tokens' bytes up the tree, which bytes.join() does in one linear pass."""
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -183,6 +197,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
         c = coder(ranks_path, pattern)
         for texts in batches:
             yield pd.Series([list(map(int, x.split(","))) if x else [] for x in (c.encode_joined(t or "")[0] for t in texts)])
+        c.forget()
 
     return df.withColumn(ids, run(F.col(text)))
 
@@ -203,7 +218,9 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
 
 def digests(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """df with n_tokens, ids_sha256 and decoded_sha256 of each text: ids encoded, hashed, read back and decoded
-    row by row inside the task, so that no row of ids crosses to the JVM."""
+    row by row inside the task, so that no row of ids crosses to the JVM. A clash of names raises ValueError."""
+    if clash := {"n_tokens", "ids_sha256", "decoded_sha256", "_bpe"} & set(df.columns):
+        raise ValueError(f"columns {sorted(clash)} are there already")
     schema = T.StructType(
         [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     )
@@ -218,6 +235,7 @@ def digests(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") ->
                 back = c.decode_joined(joined)
                 rows.append((n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        c.forget()
 
     made = df.withColumn("_bpe", run(F.col(text)))
     return made.select(*[F.col(x) for x in df.columns], "_bpe.*")

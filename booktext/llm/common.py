@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 #: Bytes of text handled at once by the vectorised helpers (a longer text is handled alone).
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
+#: Texts handled at once at most.
+SLICE_ROWS = 1_000
 
 _M64 = (1 << 64) - 1
 
@@ -26,22 +28,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir. Where it is unset, a local master gets a folder of its own
+    (tests), and a cluster an error, since no machine-local folder is shared."""
     found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Folders that scratch() has open, the innermost last.
+_SCRATCH: list[str] = []
+#: While a table is written: its shuffle files go when the write has ended (nothing reads them again), and Arrow batches are small.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised inside go when it ends: for jobs whose result has been written by then."""
+    _SCRATCH.append(f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        delete(spark, _SCRATCH.pop())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder in any store that Spark writes to."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = f"{_SCRATCH[-1] if _SCRATCH else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Remove the files of materialised tables that nothing reads any more."""
+    for df in tables:
+        folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+        for path in folders:
+            delete(df.sparkSession, path)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), bijective."""
     x = x ^ (x >> np.uint64(30))
@@ -60,7 +102,7 @@ _POW = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n, kept for the usual slice size."""
     if n > _POW.get("n", 0):
-        n = max(n, SLICE_BYTES + 200_000)
+        n = max(n, SLICE_BYTES + 100_000)
         out = []
         for b in (_BASE, _INV):
             a = np.full(n, b & _M64, dtype=np.uint64)
@@ -114,33 +156,46 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of at most SLICE_BYTES of text, or one row that is longer."""
+    """The batch in runs of at most SLICE_ROWS rows and SLICE_BYTES of text, or one row that is longer."""
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     begin, total = 0, 0
     for i, size in enumerate(sizes):
-        if i > begin and total + size > SLICE_BYTES:
+        if i > begin and (total + size > SLICE_BYTES or i - begin == SLICE_ROWS):
             yield batch.slice(begin, i - begin)
             begin, total = i, 0
         total += int(size)
     yield batch.slice(begin)
 
 
-def shingles(hashes: np.ndarray, k: int = 5) -> np.ndarray:
-    """Hash of each k-word window; of the whole sequence where it is shorter; none of none."""
-    n = len(hashes)
-    if not n:
-        return hashes
-    m = min(k, n)
-    out = np.zeros(n - m + 1, dtype=np.uint64)
+def _windows(hashes: np.ndarray, k: int) -> np.ndarray:
+    n = len(hashes) - k + 1
+    out = np.zeros(n, dtype=np.uint64)
     mult = 1
-    for i in range(m):
+    for i in range(k):
         mult = (mult * 0x9FB21C651E98DF25 + 2 * i + 2) & _M64 | 1
-        out += hashes[i : n - m + 1 + i] * np.uint64(mult)
-    return mix(out + np.uint64(m))
+        out += hashes[i : n + i] * np.uint64(mult)
+    return mix(out + np.uint64(k))
 
 
-def local_tmp() -> str:
-    """A folder for tests only."""
-    return tempfile.mkdtemp(prefix="spark-test-", dir=os.environ.get("TMPDIR", "/tmp"))
+def shingles(hashes: np.ndarray, k: int = 5) -> np.ndarray:
+    """Hash of each k-word window; of the whole sequence where it is shorter; none of none."""
+    return _windows(hashes, min(k, len(hashes))) if len(hashes) else hashes
+
+
+def shingles_of(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """shingles() of every text, one text after the other, and the number of the text each belongs to."""
+    size = np.diff(words.first)
+    text = np.repeat(np.arange(len(size)), size)
+    if (size >= k).any():
+        whole = text[: len(text) - k + 1] == text[k - 1 :]
+        found, of = _windows(words.hash, k)[whole], text[: len(text) - k + 1][whole]
+    else:
+        found, of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    short = np.flatnonzero((size > 0) & (size < k))
+    if len(short):
+        more = np.array([_windows(words.hash[words.first[i] : words.first[i + 1]], int(size[i]))[0] for i in short], np.uint64)
+        at = np.searchsorted(of, short)
+        found, of = np.insert(found, at, more), np.insert(of, at, short)
+    return found, of

@@ -3,23 +3,27 @@
 A document's set is its distinct 5-word shingles (64-bit hashes). Documents with equal sets are one class. Elements
 are ordered rare first, by a count sketch of all documents' shingles (any fixed order is valid; this one keeps
 passages that many documents share out of the prefixes). Classes with equal prefixes and sizes are one group. Groups
-that share a prefix element are candidates, filtered by size and by the element's places, then expanded and verified with whole sets.
+that share a prefix element are candidates, filtered by size, by the element's places and by parity bitmaps of
+the sets (necessary conditions, so no link is lost), then expanded and verified with whole sets.
 
 Candidates never grow with the square of a family of near copies: in each round every group is only paired with
 the most central group under each of its prefix elements; verified links are made components; a pair in one
 component needs no check. After the pivot rounds, the pairs of classes that still share an element across
-components are verified, so no component is missed; inside that join, parity bitmaps of the sets leave out pairs
-whose difference is provably too large (a necessary condition, so no link is lost).
+components are compared by bitmap inside the join, so no component is missed; an element of many classes is cut into tiles
+for that.
 
-Hashes of 64 bits stand for shingles and sets; at 10**9 classes the chance of any false match is about 3 %.
-Nulls: null and empty texts have empty sets and link with nothing; a row with a null id is linked to rows with an
-equal set only, and null is the component of rows that have no other id to name it.
-Repeated rows are in one class. Extra columns are not touched.
+Whole sets are made only of the classes in a round's remaining pairs, from one text of each. The list of those texts is
+broadcast if it has at most `BROADCAST_ROWS` rows and joined by shuffle otherwise.
+
+Hashes of 64 bits stand for shingles, sets and rows; at 10**9 classes the chance of any false match is about 3 %.
+Nulls: null and empty texts have empty sets and link with nothing; rows with a null id are linked as all others, and null
+is the component of rows that have no other id to name it. Repeated rows are in one class. Other columns are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,42 +31,49 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, mix, shingles, slices
+from .common import Words, dropped, materialize, mix, shingles_of, slices
 from .components import connected_components
 
 K = 5
 SIMILARITY = 80
 SKETCH_BITS = 20
 SKETCH_CHUNK = 4096
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 #: 64-bit words of a set's parity bitmap.
 BITMAP_WORDS = 16
 BITS = [f"b{i}" for i in range(BITMAP_WORDS)]
+#: Words of the bitmap folded together, which the postings of the last round carry.
+FOLDED = [f"f{i}" for i in range(4)]
+#: Classes of one element that one tile of the last round holds, about.
+TILE = 512
+#: Rows (two longs) that a broadcast may have.
+BROADCAST_ROWS = 2_000_000
 
 
-def sets(batches: Iterator[pa.RecordBatch], k: int = K) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
-    """(rows, row, sorted distinct shingle hashes) of every text; A-Z are lower-cased."""
+def sets(batches: Iterator[pa.RecordBatch], k: int = K) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows, the distinct shingle hashes of all their texts (A-Z lower-cased) in order of text and hash, and where each text's begin."""
     for batch in batches:
         for part in slices(batch):
-            w = Words(part.column("text"), lower=True)
-            for i in range(part.num_rows):
-                yield part, i, np.unique(shingles(w.hash[w.first[i] : w.first[i + 1]], k))
+            v, of = shingles_of(Words(part.column("text"), lower=True), k)
+            at = np.argsort(v)
+            at = at[np.argsort(of[at].astype(np.uint16) if part.num_rows < 1 << 16 else of[at], kind="stable")]
+            v, of = v[at], of[at]
+            new = np.ones(len(v), dtype=bool)
+            new[1:] = (v[1:] != v[:-1]) | (of[1:] != of[:-1])
+            v, of = v[new], of[new]
+            yield part, v, np.searchsorted(of, np.arange(part.num_rows + 1))
 
 
 def sketch(docs: DataFrame, k: int = K, bits: int = SKETCH_BITS) -> np.ndarray:
-    """How many documents' shingles fall in each of 2**bits slots; its size does not depend on the data."""
+    """How many of all documents' shingles fall in each of 2**bits slots; its size does not depend on the data."""
     n = 1 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(n, np.int64), [], 0
-        for _, _, s in sets(batches, k):
-            held.append((s >> np.uint64(64 - bits)).astype(np.int64))
-            size += len(s)
-            if size > 2_000_000:
-                total += np.bincount(np.concatenate(held), minlength=n)
-                held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=n)
+        total = np.zeros(n, np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                v, _ = shingles_of(Words(part.column("text"), lower=True), k)
+                np.add.at(total, (v >> np.uint64(64 - bits)).astype(np.int64), 1)
         for at in range(0, n, SKETCH_CHUNK):
             part = total[at : at + SKETCH_CHUNK]
             if part.any():
@@ -82,90 +93,70 @@ def sketch(docs: DataFrame, k: int = K, bits: int = SKETCH_BITS) -> np.ndarray:
     return out
 
 
-def class_mark(s: np.ndarray) -> int:
-    """A 64-bit hash of a whole set."""
-    if not len(s):
-        return 0
-    with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(s).sum() + np.uint64(len(s)) * np.uint64(0x9E3779B97F4A7C15)], np.uint64)).view(np.int64)[0])
+def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sums of values[edges[i]:edges[i + 1]], modulo 2**64."""
+    total = np.zeros(len(values) + 1, values.dtype)
+    np.cumsum(values, out=total[1:])
+    return total[edges[1:]] - total[edges[:-1]]
+
+
+def class_marks(v: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each whole set; 0 of an empty one."""
+    n = np.diff(edges)
+    mark = mix(_sums(mix(v), edges) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    return np.where(n > 0, mark, 0)
+
+
+def parities(v: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """A bitmap of each set, whose bit i is the parity of the elements that fall on it: two sets' bitmaps differ in at most as
+    many bits as the sets differ in elements."""
+    n, width = len(edges) - 1, 64 * BITMAP_WORDS
+    of = np.repeat(np.arange(n), np.diff(edges))
+    odd = np.bincount(of * width + (v & np.uint64(width - 1)).astype(np.int64), minlength=n * width) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(n, BITMAP_WORDS)
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, similarity: int = SIMILARITY, k: int = K, bits: int = SKETCH_BITS) -> DataFrame:
-    """doc_id, n, cls, grp, prefix ARRAY<INT> of docs(doc_id, text): grp is the group of equal prefix and size; its
-    leading byte says how common the prefix is, so the greatest group of an element is its most central one.
-    Elements are cut to 32 bits: a false match is found out by verifying."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    """doc_id, row, n, cls, grp, prefix ARRAY<INT> and the bitmap's words of docs(doc_id, row, text): grp is the group of equal
+    prefix and size; its leading byte says how common the prefix is, so the greatest group of an element is its most
+    central one. Elements are cut to 32 bits: a false match is found out by verifying."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)  # 2**bits slots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = shared.value
-        ids, n, cls, grp, pre = [], [], [], [], []
-
-        def flush() -> pa.RecordBatch:
-            arrays = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(grp, pa.int64()), pa.array(pre, pa.list_(pa.int32()))]
-            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "cls", "grp", "prefix"])
-
-        size = 0
-        for part, i, s in sets(batches, k):
-            m = len(s)
-            c = freq[(s >> np.uint64(64 - bits)).astype(np.int64)]
-            keep = m - (m * similarity + 99) // 100 + 1 if m else 0
-            order = np.lexsort((s, c))[:keep]
-            p = s[order]
-            mark = 0
-            if m:
-                common = int(min(126, 4 * np.log2(1 + c[order].mean())))
-                with np.errstate(over="ignore"):
-                    h = int(mix(np.array([mix(p + np.uint64(1)).sum() + np.uint64(m) * np.uint64(0xD1342543DE82EF95)], np.uint64))[0])
-                mark = common << 56 | h >> 8
-            ids.append(part.column("doc_id")[i].as_py())
-            n.append(m)
-            cls.append(class_mark(s))
-            grp.append(mark)
-            pre.append((mix(p) >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            size += keep
-            if size > 500_000:
-                yield flush()
-                ids, n, cls, grp, pre, size = [], [], [], [], [], 0
-        if ids:
-            yield flush()
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, grp long, prefix array<int>")
-
-
-def parity(s: np.ndarray) -> np.ndarray:
-    """A bitmap whose bit i is the parity of the elements that fall on it: two sets' bitmaps differ in at most as many
-    bits as the sets differ in elements."""
-    odd = np.bincount((s & np.uint64(64 * BITMAP_WORDS - 1)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+        for part, v, edges in sets(batches, k):
+            n = np.diff(edges)
+            of = np.repeat(np.arange(len(n)), n)
+            c = freq[(v >> np.uint64(64 - bits)).astype(np.int64)]
+            at = np.lexsort((c, of))  # rare first, equals by hash
+            keep = np.where(n > 0, n - (n * similarity + 99) // 100 + 1, 0)
+            at = at[np.arange(len(v)) - edges[of] < keep[of]]
+            p, ends = v[at], np.r_[0, np.cumsum(keep)]
+            common = np.minimum(126, 4 * np.log2(1 + _sums(c[at], ends) / np.maximum(keep, 1))).astype(np.uint64)
+            h = mix(_sums(mix(p + np.uint64(1)), ends) + n.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+            grp = np.where(n > 0, common << np.uint64(56) | h >> np.uint64(8), 0).astype(np.uint64).view(np.int64)
+            words = parities(v, edges)
+            pre = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((mix(p) >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            arrays = [part.column("doc_id"), part.column("row"), pa.array(n.astype(np.int64)), pa.array(class_marks(v, edges)), pa.array(grp), pre]
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(words[:, i].copy()) for i in range(BITMAP_WORDS)], ["doc_id", "row", "n", "cls", "grp", "prefix", *BITS])
+
+    ident = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {ident}, row long, n long, cls long, grp long, prefix array<int>" + "".join(f", {b} long" for b in BITS))
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, k: int = K) -> DataFrame:
-    """cls, items BINARY (sorted hashes) and the bitmap's words of the classes in wanted(doc_id, cls), one row each; sets are
-    made anew from the texts of the classes' smallest documents."""
-
-    def batch(cls: list, items: list, bits: list) -> pa.RecordBatch:
-        words = np.array(bits, np.int64).reshape(-1, BITMAP_WORDS)
-        arrays = [pa.array(cls, pa.int64()), pa.array(items, pa.binary()), *[pa.array(words[:, i].copy()) for i in range(BITMAP_WORDS)]]
-        return pa.RecordBatch.from_arrays(arrays, ["cls", "items", *BITS])
+    """cls and items BINARY (sorted hashes) of the classes in wanted(row, cls), one row each; sets are made anew from
+    the texts of the rows in wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls, items, bits, size = [], [], [], 0
-        for part, i, s in sets(batches, k):
-            mark = part.column("cls")[i].as_py()
-            if class_mark(s) != mark:  # another text under the same id
-                continue
-            cls.append(mark)
-            items.append(s.tobytes())
-            bits.append(parity(s))
-            size += len(s)
-            if size > 500_000:
-                yield batch(cls, items, bits)
-                cls, items, bits, size = [], [], [], 0
-        if cls:
-            yield batch(cls, items, bits)
-
-    rows = docs.select("doc_id", "text").join(wanted.select("doc_id", "cls"), "doc_id")
-    return rows.mapInArrow(run, ", ".join(["cls long, items binary", *[f"{b} long" for b in BITS]])).dropDuplicates(["cls"])
+        for part, v, edges in sets(batches, k):
+            ends = pa.array((8 * edges).astype(np.int32)).buffers()[1]
+            items = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, ends, pa.py_buffer(v.tobytes())])
+            yield pa.RecordBatch.from_arrays([part.column("cls"), items], ["cls", "items"])
+
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = docs.select("row", "text").join(F.broadcast(wanted) if few else wanted, "row").select("cls", "text")
+    return rows.mapInArrow(run, "cls long, items binary").dropDuplicates(["cls"])
 
 
 def verify(pairs: DataFrame, items: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -187,63 +178,40 @@ def verify(pairs: DataFrame, items: DataFrame, similarity: int = SIMILARITY) ->
 
 def link(docs: DataFrame, similarity: int = SIMILARITY, k: int = K, rounds: int = PIVOT_ROUNDS, bits: int = SKETCH_BITS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs(doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     rows = materialize(prefixes(docs, sketch(docs, k, bits), similarity, k, bits), "jac-rows")
-    classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("grp").alias("grp"))
-    classes = materialize(classes, "jac-classes")
+    some = rows.filter("n > 0")
+    first = [F.first(c).alias(c) for c in ["n", "grp", *BITS]]
+    classes = materialize(some.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), *first), "jac-classes")
     groups = classes.groupBy("grp").agg(F.min("cls").alias("head"), F.first("n").alias("n"), F.count("*").alias("members"))
-    # one document of each group carries its prefix
-    carrier = classes.groupBy("grp").agg(F.min("doc_id").alias("doc_id"))
-    whole = rows.select("doc_id", "grp", "prefix").join(carrier, ["doc_id", "grp"], "left_semi").dropDuplicates(["grp"])
-    posts = whole.join(groups.select("grp", "members"), "grp").select("grp", "members", F.posexplode("prefix").alias("pos", "e"))
-    # the first element of a group of several classes stays even if no other group has it: its members meet under it
-    hot = posts.groupBy("e").agg(F.count("*").alias("df"), F.max(F.when(F.col("pos") == 0, F.col("members"))).alias("own"))
-    hot = hot.filter("df > 1 or own > 1").select("e")
-    posts = materialize(posts.drop("members").join(hot, "e").join(groups.select("grp", "n", "head"), "grp"), "jac-posts")
-    # classes that take part: groups with a shared element, and groups of several classes
-    near = posts.select("grp").distinct().unionByName(groups.filter("members > 1").select("grp")).distinct()
-    asked = classes.join(near, "grp", "left_semi")
-    items = materialize(set_table(docs, asked, k), "jac-sets")
-    # inside a group: members against its head, then the rest by components below, under the group's first element at least
-    inner = classes.join(groups.filter("members > 1").select("grp", "head"), "grp").filter("cls <> head")
-    heads = inner.select(F.col("cls").alias("a"), F.col("head").alias("b"))
-    members = asked.select("grp", "cls", "n")
-    tried = edges = None
-    comp = None
+    # all members of a group have its prefix
+    each = some.select("grp", "prefix").dropDuplicates(["grp"]).select("grp", F.posexplode("prefix").alias("pos", "e"))
+    # written before the postings are dealt out again, so that only one of the two shuffles is on disk at a time
+    hot = materialize(each.groupBy("e").count().filter("count > 1").select("e"), "jac-hot")
+    # the members of a group of several classes also meet under an element of its own
+    own = groups.filter("members > 1").select("grp", F.lit(0).alias("pos"), F.hash("grp").alias("e"))
+    posts = each.join(hot, "e").select("grp", "pos", "e").unionByName(own)
+    posts = materialize(posts.join(groups.select("grp", "n", "head"), "grp"), "jac-posts")
+    dropped(hot)
+    near = posts.select("grp").distinct()
+    members = materialize(classes.join(near, "grp", "left_semi").select("grp", "cls", "n", "row", *BITS), "jac-members")
+    asked = members.select("grp", "cls", "n")
+    tried = comp = None
     for turn in range(rounds + 1):
-        last = turn == rounds
-        p = posts if comp is None else _labelled(posts, members, comp)
-        if comp is None:
-            # pivots: the most central group under each element
-            best = p.groupBy("e").agg(F.max(F.struct("grp", "head", "n", "pos")).alias("top"))
-            c = p.join(best, "e").filter(F.col("grp") != F.col("top")["grp"])
-            c = c.select("grp", "n", "pos", F.col("top")["head"].alias("b"), F.col("top")["n"].alias("m"), F.col("top")["pos"].alias("at"))
-            cand = c.filter(_near(similarity)).select("grp", "b").distinct()
-            # expand the group's members
-            cand = cand.join(members.select("grp", "cls"), "grp").select(F.col("cls").alias("a"), "b").unionByName(heads)
+        if turn == 0:
+            cand = _alike_pairs(_central(posts, groups, asked, similarity), members, similarity)
         else:
-            mixed = p.groupBy("e").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("e")
-            q = p.join(mixed, "e")
-            if last:
-                q = q.join(items.select("cls", *BITS), "cls")
-                o = q.select("e", F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("n").alias("m"), F.col("pos").alias("at"), *[F.col(c).alias(f"o{c}") for c in BITS])
-                cand = q.join(o, "e").filter((F.col("root") < F.col("rb")) & (F.col("cls") != F.col("b")) & _alike(similarity))
-            else:
-                # another pivot each round: the class with the greatest hash for this round under each element
-                best = q.groupBy("e").agg(F.max(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("n").alias("m"), F.col("pos").alias("at"))).alias("t"))
-                cand = q.join(best.select("e", "t.b", "t.rb", "t.m", "t.at"), "e").filter("root <> rb")
-            cand = cand.filter(_near(similarity)).select(F.col("cls").alias("a"), "b")
+            cand = _across(posts, members, comp, turn, turn == rounds, similarity)
         cand = cand.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
             cand = cand.join(tried, ["a", "b"], "left_anti")
         cand = materialize(cand, "jac-pairs")
         tried = cand if tried is None else tried.unionByName(cand)
-        good = materialize(verify(cand, items, similarity), "jac-links")
-        if comp is not None and good.isEmpty():
-            continue
-        edges = good if edges is None else edges.unionByName(good)
-        found = connected_components(edges, "jac-cc")
-        comp = materialize(members.join(found, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root")), "jac-comp")
+        used = cand.select(F.col("a").alias("cls")).unionByName(cand.select(F.col("b").alias("cls"))).distinct()
+        wanted = materialize(members.select("row", "cls").join(used, "cls", "left_semi"), "jac-wanted")
+        good = materialize(verify(cand, set_table(docs, wanted, k), similarity), "jac-links")
+        dropped(wanted)
+        comp = _merged(comp, good, asked)
     named = classes.join(comp, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "doc_id")
     ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.select("cls", "root").join(ids, "root").select("cls", "component_id")
@@ -251,6 +219,56 @@ def link(docs: DataFrame, similarity: int = SIMILARITY, k: int = K, rounds: int
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _central(posts: DataFrame, groups: DataFrame, asked: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) of the first round: members of each group with the head of the most central group under each of its
+    elements, and with their own head."""
+    best = posts.groupBy("e").agg(F.max(F.struct("grp", "head", "n", "pos")).alias("top"))
+    c = posts.join(best, "e").filter(F.col("grp") != F.col("top")["grp"])
+    c = c.select("grp", "n", "pos", F.col("top")["head"].alias("b"), F.col("top")["n"].alias("m"), F.col("top")["pos"].alias("at"))
+    c = c.filter(_near(similarity)).select("grp", "b").unionByName(groups.filter("members > 1").select("grp", F.col("head").alias("b")))
+    return c.distinct().join(asked.select("grp", "cls"), "grp").filter("cls <> b").select(F.col("cls").alias("a"), "b")
+
+
+def _alike_pairs(pairs: DataFrame, members: DataFrame, similarity: int) -> DataFrame:
+    """The pairs(a, b) that sizes and bitmaps allow."""
+    left = members.select(F.col("cls").alias("a"), "n", *BITS)
+    right = members.select(F.col("cls").alias("b"), F.col("n").alias("m"), *[F.col(c).alias(f"o{c}") for c in BITS])
+    return pairs.join(left, "a").join(right, "b").filter(_alike(similarity)).select("a", "b")
+
+
+def _across(posts: DataFrame, members: DataFrame, comp: DataFrame, turn: int, last: bool, similarity: int) -> DataFrame:
+    """Pairs (a, b) of classes under one element and in different components: each with a pivot, or in the last round all."""
+    folded = [reduce(Column.bitwiseXOR, [F.col(c) for c in BITS[i :: len(FOLDED)]]).alias(f) for i, f in enumerate(FOLDED)] if last else []
+    labelled = members.join(comp, "cls").select("grp", "cls", "n", "root", *folded)
+    p = posts.select("e", "pos", "grp").join(labelled, "grp").drop("grp")
+    mixed = p.groupBy("e").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("df"))
+    mixed = mixed.filter("r1 <> r2").select("e", F.ceil(F.col("df") / TILE).cast("int").alias("tiles"))
+    q = p.join(mixed, "e")
+    if last:
+        left = q.withColumn("tile", F.pmod(F.hash("cls"), "tiles"))
+        other = [F.col(c).alias(f"o{c}") for c in FOLDED]
+        right = q.select("e", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("n").alias("m"), F.col("pos").alias("at"), *other)
+        cand = left.join(right, ["e", "tile"]).filter((F.col("root") < F.col("rb")) & (F.col("cls") != F.col("b")) & _near(similarity) & _alike(similarity, FOLDED))
+        return _alike_pairs(cand.select(F.col("cls").alias("a"), "b").distinct(), members, similarity)
+    # another pivot each round: the class with the greatest hash for this round under each element
+    best = q.groupBy("e").agg(F.max(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("n").alias("m"), F.col("pos").alias("at"))).alias("t"))
+    cand = q.join(best.select("e", "t.b", "t.rb", "t.m", "t.at"), "e").filter("root <> rb").filter(_near(similarity))
+    return _alike_pairs(cand.select(F.col("cls").alias("a"), "b").distinct(), members, similarity)
+
+
+def _merged(comp: DataFrame | None, good: DataFrame, asked: DataFrame) -> DataFrame:
+    """comp(cls, root) after the links good(a, b): only roots that a new link names are joined anew."""
+    if comp is None:
+        found = connected_components(good, "jac-cc")
+        return materialize(asked.join(found, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root")), "jac-comp")
+    if good.isEmpty():
+        return comp
+    ends = good.join(comp.select(F.col("cls").alias("a"), F.col("root").alias("u")), "a").join(comp.select(F.col("cls").alias("b"), F.col("root").alias("v")), "b")
+    found = connected_components(ends.select(F.col("u").alias("a"), F.col("v").alias("b")), "jac-cc")
+    found = found.select(F.col("node").alias("root"), F.col("root").alias("new"))
+    return materialize(comp.join(found, "root", "left").select("cls", F.coalesce("new", "root").alias("root")), "jac-comp")
+
+
 def _near(similarity: int) -> Column:
     """Can sets of n and m elements that share the one at places pos and at be a link? Their overlap must reach
     similarity / (100 + similarity) of n + m, so some shared element lies in both prefixes that this leaves."""
@@ -259,14 +277,8 @@ def _near(similarity: int) -> Column:
     return sizes & (F.col("pos") <= F.col("n") - least) & (F.col("at") <= F.col("m") - least)
 
 
-def _alike(similarity: int) -> Column:
+def _alike(similarity: int, bits: list[str] = BITS) -> Column:
     """Do the bitmaps allow sets of n and m elements to be a link? They may differ in n + m - 2 * overlap elements."""
     least = F.ceil(F.lit(similarity) * (F.col("n") + F.col("m")) / F.lit(100 + similarity))
-    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o{c}"))) for c in BITS), F.lit(0))
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o{c}"))) for c in bits), F.lit(0))
     return apart <= F.col("n") + F.col("m") - 2 * least
-
-
-def _labelled(posts: DataFrame, members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Postings of classes (groups expanded) with their component. A group of several components needs a
-    check between its members too, which share all elements."""
-    return posts.select("e", "pos", "grp").join(members.join(comp, "cls"), "grp").select("e", "pos", "cls", "n", "root")

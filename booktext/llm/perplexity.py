@@ -36,6 +36,8 @@ ORDER = 5
 UNIT = 10_000
 #: Entries (16 bytes each) that a broadcast may have.
 BROADCAST_ENTRIES = 12_000_000
+#: N-grams of a language that a counting task holds before it counts them, at least.
+COUNT_KEYS = 250_000
 #: Parts that documents are dealt to; each is scored by the counts of the others.
 FOLDS = 2
 #: Interquartile ranges below the lower and above the upper quartile that a score may lie.
@@ -80,11 +82,14 @@ def count(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """lang, gram LONG, n LONG over all docs(text, lang)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str | None, list] = {}
+        raw: dict[str | None, list] = {}  # keys not yet counted
+        held: dict[str | None, tuple] = {}
 
-        def merged(lang: str | None) -> tuple[np.ndarray, np.ndarray]:
-            parts = held[lang]
-            return _count(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])) if len(parts) > 1 else parts[0]
+        def settle(lang: str | None) -> None:
+            k, c = _count(np.concatenate(raw.pop(lang)))
+            if lang in held:
+                k, c = _count(np.r_[held[lang][0], k], np.r_[held[lang][1], c])
+            held[lang] = (k, c)
 
         for batch in batches:
             for part in slices(batch):
@@ -94,11 +99,14 @@ def count(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 names = {x: i for i, x in enumerate(dict.fromkeys(langs))}
                 of = np.array([names[x] for x in langs])[row]
                 for lang, i in names.items():
-                    held.setdefault(lang, []).append(_count(key[of == i]))
-                    if len(held[lang]) >= 16:
-                        held[lang] = [merged(lang)]
-        for lang in held:
-            k, c = merged(lang)
+                    mine = raw.setdefault(lang, [])
+                    mine.append(key[of == i])
+                    # twice what is held, so that merging stays linear in the text
+                    if sum(map(len, mine)) > max(COUNT_KEYS, 2 * len(held.get(lang, ((),))[0])):
+                        settle(lang)
+        for lang in list(raw):
+            settle(lang)
+        for lang, (k, c) in held.items():
             for i in range(0, len(k), 100_000):
                 a = k[i : i + 100_000].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), pa.array(a), pa.array(c[i : i + 100_000].astype(np.int64))], ["lang", "gram", "n"])
