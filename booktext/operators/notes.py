@@ -34,8 +34,9 @@ def note_labels(links: DataFrame, keys: DataFrame) -> DataFrame:
 
 def star_numbers(labels: DataFrame, groups: DataFrame) -> DataFrame:
     """book_id, key, star: a number for each note of word keys, by first appearance, shared by the keys of one note group
-    (the last group of a key counts)."""
-    g = groups.groupBy("book_id", "key").agg(F.max("group_id").alias("group_id"))
+    (the last group of a key counts, by its place in groups(book_id, key, group_id[, group_pos]), else by its id)."""
+    place = "group_pos" if "group_pos" in groups.columns else "group_id"
+    g = groups.groupBy("book_id", "key").agg(F.max_by("group_id", place).alias("group_id"))
     rows = labels.filter("not marker").join(g, ["book_id", "key"], "left")
     unit = F.coalesce(F.concat(F.lit("g"), F.col("group_id").cast("string")), F.concat(F.lit("k"), F.col("key")))
     rows = rows.withColumn("unit", unit).withColumn("at", F.min("first_pos").over(W.partitionBy("book_id", "unit")))
@@ -50,8 +51,10 @@ def attach_labels(doc_keys: DataFrame, labels: DataFrame) -> DataFrame:
 
 def star_note_lines(lines: DataFrame, anchors: DataFrame, stars: DataFrame) -> DataFrame:
     """lines(book_id, doc, line_idx, text, kind) with sub: a line `label: text` before a heading that a star points at, or the
-    prefix in place; rules are passed over; the first anchor of a line counts. stars(book_id, doc, name, label)."""
-    at = anchors.join(stars, ["book_id", "doc", "name"]).groupBy("book_id", "doc", "line_idx").agg(F.min_by("label", "name").alias("label"))
+    prefix in place; rules are passed over; the first anchor of a line counts, by anchor_pos if anchors have it, else by name.
+    stars(book_id, doc, name, label)."""
+    place = "anchor_pos" if "anchor_pos" in anchors.columns else "name"
+    at = anchors.join(stars, ["book_id", "doc", "name"]).groupBy("book_id", "doc", "line_idx").agg(F.min_by("label", place).alias("label"))
     rows = lines.join(at, ["book_id", "doc", "line_idx"], "left")
     label = F.when(F.col("text") != X.RULE, F.col("label"))
     said = F.concat(label, F.lit(": "), F.col("text"))

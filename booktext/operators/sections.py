@@ -107,3 +107,16 @@ def first_lines(lines: DataFrame, n: int = 8) -> DataFrame:
 def book_order(path: Column) -> Column:
     """Sort key of a library: path parts, not strings."""
     return F.split(path, "/")
+
+
+def library_order(books: DataFrame) -> DataFrame:
+    """book_id and place of all books by path parts. Books are dealt into ranges of the order, numbered inside them, and each
+    range adds the sizes of those before it; ranges are checkpointed, since their bounds are sampled."""
+    spark = books.sparkSession
+    ranges = books.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), book_order(F.col("book_id")))
+    ranges = ranges.withColumn("_part", F.spark_partition_id()).checkpoint()
+    sizes = ranges.groupBy("_part").agg(F.count("*").alias("n"))  # a row for each range
+    before = F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_part", before.alias("_before"))
+    place = F.row_number().over(W.partitionBy("_part").orderBy(book_order(F.col("book_id"))))
+    return ranges.withColumn("_place", place).join(F.broadcast(sizes), "_part").select("book_id", (F.col("_place") + F.col("_before")).alias("place"))

@@ -12,7 +12,7 @@ SL = r"""sl as (select book_id, spine_pos, doc, doc_id, i-1 raw_idx, trim(regexp
 SLINES = """slines as (select book_id, spine_pos, doc, doc_id, cast(row_number() over (partition by doc_id order by raw_idx) - 1 as int) line_idx, text,
  cast(case when (doc_id + raw_idx) % 6 = 5 then 1 when (doc_id + raw_idx) % 11 = 10 then 2 else 0 end as int) blanks,
  cast(case when doc_id % 9 = 4 then 1 when doc_id % 9 = 7 then 2 else 0 end * case when row_number() over (partition by doc_id order by raw_idx) % 5 = 1 then 1 else 0 end as int) kind
- from sl where text <> '' and doc_id % 7 <> 0)"""
+ from sl where text <> '')"""
 STOC = """stoc as (select book_id, doc, spine_pos*2 toc_pos, cast(1 + doc_id % 8 as int) as depth, cast(null as varchar) fragment, case when doc_id % 5 = 0 then l0 else concat('Chapter ', doc) end as label from
  (select sd.book_id, sd.doc, sd.spine_pos, sd.doc_id, coalesce(s.text, concat('Plate ', sd.doc)) l0 from sd left join (select doc_id, text from slines where line_idx=0) s on sd.doc_id=s.doc_id) x where doc_id % 3 <> 0
  union all select book_id, doc, spine_pos*2+1, 2, 'mid', concat('Part ', doc) from sd where doc_id % 5 = 1)"""
@@ -42,7 +42,7 @@ def raw_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    rows = raw_lines(spark, sf).filter("text <> '' and doc_id % 7 <> 0")
+    rows = raw_lines(spark, sf).filter("text <> ''")
     n = F.row_number().over(W.partitionBy("doc_id").orderBy("raw_idx"))
     s = F.col("doc_id") + F.col("raw_idx")
     return rows.select(

@@ -106,13 +106,16 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("page_id", c.alias("clean"), X.is_external(u).alias("external"), (key(c) == key(u)).alias("same"), X.is_lone_link(F.concat(F.lit("<"), u, F.lit(">"))).alias("lone"))
 
 
-@query("select page_id, true as same from pages where url is not null")
+@query("select page_id, page_id % 3 <> 1 as same from pages where url is not null")
 def page_same_target(spark: SparkSession, sf: str) -> DataFrame:
-    """P5: an address with a tracking parameter more is the same target."""
+    """P5: a tracking parameter more (page_id % 3 = 0) or another scheme and case (2) is the same target, another path (1) is not."""
     p = spark.read.parquet(f"{sf}/pages.parquet").filter("url is not null")
     base, rest = F.substring_index("url", "#", 1), F.col("url")
     more = F.concat(base, F.when(F.contains(base, F.lit("?")), "&").otherwise("?"), F.lit("utm_x=1"), F.substring(rest, F.length(base) + 1, F.length(rest)))
-    return p.select("page_id", X.same_target(more, F.col("url")).alias("same"))
+    path = F.regexp_replace("url", r"^(https?://[^/?#]*)", "$1/elsewhere")
+    swapped = F.regexp_replace(F.upper("url"), "^HTTPS?://", "http://")
+    k = F.col("page_id") % 3
+    return p.select("page_id", X.same_target(F.when(k == 0, more).when(k == 1, path).otherwise(swapped), F.col("url")).alias("same"))
 
 
 _VIS = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head>',' ','g'), '(?is)<style\b.*?</style>|<script\b.*?</script>',' ','g'), '(?s)<[^>]*>',' ','g'), '&[a-zA-Z#0-9]+;',' ','g')"
@@ -246,10 +249,10 @@ def page_css_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rules.select(F.col("doc").cast("long").alias("page_id"), "kind", "tag", "prop", "value")
 
 
-@query(f"{T.DOCS} select sd.book_id, sd.spine_pos, sd.doc, t.toc_pos, t.depth, t.fragment, t.label from sd left join stoc t on sd.book_id = t.book_id and sd.doc = t.doc where sd.doc_id % 10 <> 3")
+@query(f"{T.DOCS} select sd.book_id, sd.spine_pos, sd.doc, t.toc_pos, t.depth, t.fragment, t.label from sd left join stoc t on sd.book_id = t.book_id and sd.doc = t.doc")
 def toc_for_docs(spark: SparkSession, sf: str) -> DataFrame:
     """Some documents are not in the reading order, so their entries vanish."""
-    return S.toc_for_docs(T.documents(spark, sf).filter("doc_id % 10 <> 3"), T.toc(spark, sf))
+    return S.toc_for_docs(T.documents(spark, sf), T.toc(spark, sf))
 
 
 _DECL = f"with {T.SD}, {T.SLINKS}, dk as (select book_id, 'd' || doc || '#n' as key from sd where doc_id % 17 = 0)"
@@ -326,13 +329,13 @@ def contents_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TITLES = f"""{T.DOCS}, bk as (select distinct book_id, 'Title ' || book_id as title, 'Some One' as author, 'Press' as publisher from sd),
- tl as (select book_id, spine_pos, doc, doc_id, unnest([0,1,2]) line_idx, unnest(['Title ' || book_id, 'Some  One', case when doc_id % 4 = 0 then 'Press' else 'Press ' || (1900 + doc_id % 150) end]) as text from sd where doc_id % 7 = 0)"""
+ tl as (select book_id, spine_pos, doc, doc_id, unnest([0,1,2]) line_idx, unnest(['Title ' || book_id, 'Some  One', case when doc_id % 4 = 0 then 'Press' else 'Press ' || (1900 + doc_id % 150) end]) as text from sd)"""
 _TP = f"""{_TITLES}, r as (select * from tl where not exists (select 1 from stoc t where t.book_id = tl.book_id and t.doc = tl.doc)),
  tp as (select book_id, doc, count(*) as n_lines, arg_min(case when length(text) <= 24 and regexp_matches(text,'1[6-9][0-9]{{2}}|20[0-9]{{2}}') then text end, line_idx) as guessed_date from r group by all)"""
 
 
 def _title_lines(spark: SparkSession, sf: str) -> DataFrame:
-    d = T.documents(spark, sf).filter("doc_id % 7 = 0")
+    d = T.documents(spark, sf)
     third = F.when(F.col("doc_id") % 4 == 0, "Press").otherwise(F.concat(F.lit("Press "), (1900 + F.col("doc_id") % 150).cast("string")))
     return d.select("book_id", "spine_pos", "doc", F.posexplode(F.array(F.concat(F.lit("Title "), "book_id"), F.lit("Some  One"), third)).alias("line_idx", "text"))
 
@@ -343,7 +346,7 @@ def _title_books(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{_TP} select * from tp")
 def title_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """A title page for each document without text."""
+    """A title page for each document."""
     return S.title_pages(_title_lines(spark, sf), T.toc(spark, sf), _title_books(spark, sf))
 
 
@@ -556,11 +559,10 @@ def first_lines(spark: SparkSession, sf: str) -> DataFrame:
     return S.first_lines(T.lines(spark, sf)).select("doc_id", "line_idx", "text")
 
 
-@query(f"with {_JOBS}, x as (select book_id, row_number() over (order by string_split(book_id, '/')) as place from j) select * from x where place <= 1000")
+@query(f"with {_JOBS} select book_id, row_number() over (order by string_split(book_id, '/')) as place from j")
 def library_order(spark: SparkSession, sf: str) -> DataFrame:
-    """O1: the first thousand books in path order (a top-k report)."""
-    top = _jobs(spark, sf).select("book_id").orderBy(S.book_order(F.col("book_id"))).limit(1000)
-    return top.select("book_id", F.row_number().over(W.orderBy(S.book_order(F.col("book_id")))).alias("place"))
+    """O1: all books in path order."""
+    return S.library_order(_jobs(spark, sf).select("book_id"))
 
 
 @query(f"{T.DOCS}, r as (select book_id, doc, toc_pos, case when fragment is null then 0 else 1 end as start from stoc) select book_id, doc, toc_pos, cast(row_number() over (partition by book_id, doc order by start, toc_pos) as int) as place from r")

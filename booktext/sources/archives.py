@@ -236,8 +236,8 @@ def read_toc(docs: DataFrame) -> DataFrame:
 
 
 def read_ncx(docs: DataFrame) -> DataFrame:
-    """toc rows of NCX documents; none where the XML is bad."""
-    return _entries(docs, _ncx).drop("nav", "is_toc")
+    """toc rows of NCX documents; none where the XML is bad or declares entities."""
+    return _entries(docs.withColumn("text", clean_xml(F.col("text"))), _ncx).drop("nav", "is_toc")
 
 
 def toc_of(nav: DataFrame, ncx: DataFrame) -> DataFrame:

@@ -105,3 +105,47 @@ def test_text_books_round_trip(spark, tmp_path):
     rows = A.read_text_books(spark, str(tmp_path / "out")).orderBy("line_no").collect()
     assert [(r["kind"], r["label"]) for r in rows if r["kind"] != "blank"] == [("paragraph", None), ("fence", "One"), ("paragraph", "One"), ("sub-heading", "One")]
     assert {h["k"]: h["v"] for h in rows[0]["header"]}["Title"] == "T"
+
+
+def test_blanks_and_lone_links(spark):
+    """A block closed in its own tag leaves its parent's blank; a lone link goes only if the line before shows it in its brackets."""
+    html = {
+        "a": "<p>x</p><div><p/></div><p>y</p>",
+        "b": "<p>x</p><div><p></p></div><p>y</p>",
+        "c": '<p><a href="http://e.org/long">see</a></p><p><a href="http://e.org">http://e.org</a></p>',
+        "d": "<p>at http://e.org</p><p><a href='http://e.org'></a></p>",
+        "e": '<p>see <a href="http://e.org">it</a></p><p><a href="http://e.org"></a></p>',
+    }
+    docs = spark.createDataFrame([("b", k, v) for k, v in html.items()], "book_id string, doc string, html string")
+    rows = extract.table_of(extract.extract_documents(docs), "lines").orderBy("doc", "line_idx").collect()
+    got = {k: [(r["text"], r["blanks"]) for r in rows if r["doc"] == k] for k in html}
+    assert got["a"] == [("x", 0), ("y", 1)] and got["b"] == [("x", 0), ("y", 1)]
+    assert [t for t, _ in got["c"]] == ["see <http://e.org/long>", "<http://e.org>"]
+    assert [t for t, _ in got["d"]] == ["at http://e.org", "<http://e.org>"]
+    assert [t for t, _ in got["e"]] == ["see it <http://e.org>"]
+
+
+def test_one_string_forms_agree_with_columns(spark):
+    """The readers' forms of the column functions give the same."""
+    urls = ["http://e.org/a?utm_x=1&b=%20&fbclid=2#f", "mailto:a@b.c?subject=x", "http://e.org/?", "HTTP://E.org/?&lang=en&&q", "x#a?b", "http://e.org?hl", "a?HL =1&hlx=2", ""]
+    shown = ["1", "[1]", "（註1）", "Note [ 2 ]", "note", "((*1))", "[]", "注 [a b]", " 〔註 3〕 ", "(1) and (2)"]
+    marks = ["a(註[1])b", "a (Note[1]) , b", "x  (注[12])　(주[3])。", "(Note[1])", "a (note[1]) b", "said (註[1])」 then"]
+    for one, column, texts in ((extract.clean_url, X.clean_url, urls), (extract.core, X.marker_core, shown), (extract.spaced, X.space_note_marks, marks)):
+        df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", column(F.col("t")).alias("c"))
+        assert {r["t"]: one(r["t"]) for r in df.collect()} == {r["t"]: r["c"] for r in df.collect()}
+
+
+def test_first_anchor_and_last_group_by_place(spark):
+    lines = spark.createDataFrame([("b", "d", 0, "text", 0)], "book_id string, doc string, line_idx int, text string, kind int")
+    anchors = spark.createDataFrame([("b", "d", "z", 0, 0), ("b", "d", "a", 0, 1)], "book_id string, doc string, name string, line_idx int, anchor_pos int")
+    stars = spark.createDataFrame([("b", "d", "z", "first"), ("b", "d", "a", "second")], "book_id string, doc string, name string, label string")
+    assert [r["text"] for r in notes.star_note_lines(lines, anchors, stars).collect()] == ["first: text"]
+    labels = spark.createDataFrame([("b", "k1", "w", 1, False), ("b", "k2", "v", 2, False)], "book_id string, key string, text string, first_pos int, marker boolean")
+    groups = spark.createDataFrame([("b", "k1", 9, 0), ("b", "k1", 3, 1), ("b", "k2", 3, 2)], "book_id string, key string, group_id int, group_pos int")
+    assert {r["key"]: r["star"] for r in notes.star_numbers(labels, groups).collect()} == {"k1": 1, "k2": 1}
+
+
+def test_ncx_with_entities_is_refused(spark):
+    ncx = '<ncx>{}<navMap><navPoint><navLabel><text>One\x01</text></navLabel><content src="a.xhtml"/></navPoint></navMap></ncx>'
+    docs = spark.createDataFrame([("b", "t.ncx", ncx.format("")), ("c", "t.ncx", '<!DOCTYPE x [<!ENTITY e "v">]>' + ncx.format(""))], "book_id string, doc string, text string")
+    assert [(r["book_id"], r["doc"], r["label"]) for r in A.read_ncx(docs).collect()] == [("b", "a.xhtml", "One")]

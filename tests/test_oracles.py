@@ -1,6 +1,9 @@
 """Every query of the book operators against its DuckDB SQL on the smallest tables."""
 
+from numbers import Real
+
 import duckdb
+import pandas as pd
 import pytest
 
 from booktext.plans.queries import ORACLES, QUERIES
@@ -18,7 +21,7 @@ def duck():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    show = lambda v: None if v is None or v != v else round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    show = lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 9) if isinstance(v, Real) and not isinstance(v, bool) else str(v)
     return sorted((tuple(map(show, r)) for r in frame.itertuples(index=False)), key=str)
 
 
