@@ -212,6 +212,8 @@ def link(docs: DataFrame, similarity: int = SIMILARITY, k: int = K, rounds: int
         good = materialize(verify(cand, set_table(docs, wanted, k), similarity), "jac-links")
         dropped(wanted)
         comp = _merged(comp, good, asked)
+        # the driver lets go of the round's plans and generated classes, as Spark's cleaner has it do from time to time
+        docs.sparkSession.sparkContext._jvm.System.gc()
     named = classes.join(comp, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "doc_id")
     ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.select("cls", "root").join(ids, "root").select("cls", "component_id")
