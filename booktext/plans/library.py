@@ -26,8 +26,13 @@ def library(spark: SparkSession, path: str, outdir: str, recurse: bool = True, f
     books = A.scan_library(spark, path, recurse)
     targets = J.plan_targets(books, path, "").withColumn("target", F.ltrim("target", F.lit("/"))).checkpoint()
     there = _written(spark, outdir, targets)
-    kept = J.kept_jobs(targets, there, force).checkpoint()
-    jobs = J.pending_jobs(targets, there, force).select("book_id", "target").checkpoint()
+    # of books with one target the first by path is written (with force the last) and the others are kept as they are
+    parts = F.split("book_id", "/")
+    alone = F.row_number().over(W.partitionBy("target").orderBy(parts.desc() if force else parts)) == 1
+    pending = J.pending_jobs(targets, there, force).withColumn("alone", alone).checkpoint()
+    jobs = pending.filter("alone").select("book_id", "target")
+    doubles = pending.filter("not alone").select("book_id", "target", F.lit("skip").alias("kind"), F.lit("").alias("detail"))
+    kept = J.kept_jobs(targets, there, force).unionByName(doubles).checkpoint()
     entries = A.explode_archives(books.join(jobs, "book_id", "left_semi")).persist()
     packages = A.read_packages(entries).checkpoint()
     docs = book_docs(packages, entries).checkpoint()

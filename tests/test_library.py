@@ -101,8 +101,9 @@ def made(spark, tmp_path_factory):
     spark.sparkContext.setCheckpointDir(str(root / "checkpoints"))
     books = root / "books"
     (books / "sub").mkdir(parents=True)
-    (books / "a.epub").write_bytes(archive("Fables", PAGES))
+    (books / "a.epub").write_bytes(archive("Other", {"x.xhtml": "<p>Other text.</p>"}))
     (books / "sub/plain.epub").write_bytes(archive("", {"x.xhtml": "<p>Only text.</p>"}, nav="<nav></nav>"))
+    (books / "a.EPUB").write_bytes(archive("Fables", PAGES))  # the first by path of two books with one target
     (books / "bad.epub").write_bytes(b"not an archive")
     empty = io.BytesIO()
     zipfile.ZipFile(empty, "w").close()
@@ -119,7 +120,6 @@ def text_of(root, target: str) -> str:
 
 def test_text_is_as_the_format_says(made):
     root, _ = made
-    cover = base64.encodebytes(JPEG).decode()
     cover = base64.b64encode(JPEG).decode()
     lines = "\n".join(cover[i : i + 76] for i in range(0, len(cover), 76))
     assert text_of(root, "a.txt") == WANT.replace("{cover}", lines)
@@ -128,8 +128,11 @@ def test_text_is_as_the_format_says(made):
 
 def test_outcomes(made):
     root, first = made
-    got = {r["target"]: r["kind"] for r in first}
-    assert got == {"a.txt": "ok", "sub/plain.txt": "ok", "bad.txt": "fail", "empty.txt": "fail", "pictures.txt": "image"}
+    got = {r["book_id"].rpartition("/")[2]: (r["target"], r["kind"]) for r in first}
+    assert got == {
+        "a.EPUB": ("a.txt", "ok"), "a.epub": ("a.txt", "skip"), "plain.epub": ("sub/plain.txt", "ok"), "bad.epub": ("bad.txt", "fail"),
+        "empty.epub": ("empty.txt", "fail"), "pictures.epub": ("pictures.txt", "image"),
+    }
     assert all(r["detail"] for r in first if r["kind"] in ("ok", "fail"))
 
 
