@@ -11,7 +11,7 @@ from booktext.operators import assemble, extract
 
 def text_books(docs: DataFrame) -> DataFrame:
     """docs(book_id, spine_pos, doc, language, html) to book_id, text, n_lines: every paragraph indented for its language,
-    documents in reading order. One shuffle, on the book."""
+    documents in reading order."""
     found = extract.extract_documents(docs.select("book_id", "doc", "html"), scan=False)
     lines = extract.table_of(found, "lines").select("book_id", "doc", "line_idx", "text", "blanks")
     rows = lines.join(docs.select("book_id", "doc", "spine_pos", "language"), ["book_id", "doc"])
@@ -19,6 +19,7 @@ def text_books(docs: DataFrame) -> DataFrame:
     blank = F.array_repeat(F.struct(F.lit(0).alias("sub"), F.lit("").alias("block")), F.col("blanks"))
     items = F.concat(blank, F.array(F.struct(F.lit(1).alias("sub"), block.alias("block"))))
     blocks = rows.select("book_id", "spine_pos", "line_idx", F.posexplode(items).alias("n", "x")).select("book_id", "spine_pos", "line_idx", "n", "x.block")
-    pieces = assemble.join_blocks(blocks, ["spine_pos", "line_idx", "n"])
+    order = ["spine_pos", "line_idx", "n"]
+    pieces = assemble.join_blocks(blocks, order, order[:1])
     n = rows.groupBy("book_id").agg(F.count("*").alias("n_lines"))
-    return assemble.assemble_books(pieces, ["spine_pos", "line_idx", "n"]).join(n, "book_id")
+    return assemble.assemble_books(pieces, order, order[:1]).join(n, "book_id")

@@ -202,6 +202,7 @@ def book_texts(packages: DataFrame, entries: DataFrame, docs: DataFrame, with_co
     nowhere = F.lit(None).cast(blocks.schema["pos"].dataType).alias("pos")
     blocks = blocks.unionByName(about.select("book_id", F.lit(0).alias("part"), nowhere, head.alias("block")))
     blocks = blocks.unionByName(cover.select("book_id", F.lit(4).alias("part"), nowhere, X.cover_block(F.col("content")).alias("block")))
-    texts = assemble.assemble_books(assemble.join_blocks(blocks, ["part", "pos"]), ["part", "pos"])
+    order, by = ["part", "pos"], ["part", "pos.spine_pos"]
+    texts = assemble.assemble_books(assemble.join_blocks(blocks, order, by), order, by)
     title = F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(J.stem(F.col("book_id")))
     return packages.select("book_id", title.alias("title"), "error").join(texts, "book_id", "left").select("book_id", "title", "text", "error")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
+from booktext.functions import css as C
 from booktext.functions import text as X
 from booktext.operators import assemble, extract, jobs, layout, notes
 from booktext.operators import sections as S
@@ -63,8 +64,8 @@ def text_book_digests(spark: SparkSession, sf: str) -> DataFrame:
     blocks = rows.select("book_id", "spine_pos", "line_idx", X.body_line(F.col("text"), X.indent(F.col("language"))).alias("block"))
     order = ["spine_pos", "line_idx"]
     # a first paragraph counts as structural in the format; here the separator is one line feed throughout
-    pieces = assemble.join_blocks(blocks, order).withColumn("sep", F.regexp_replace("sep", "\n+", "\n"))
-    text = assemble.assemble_books(pieces, order)
+    pieces = assemble.join_blocks(blocks, order, order[:1]).withColumn("sep", F.regexp_replace("sep", "\n+", "\n"))
+    text = assemble.assemble_books(pieces, order, order[:1])
     n = rows.groupBy("book_id").agg(F.count("*").alias("n_lines"))
     return text.join(n, "book_id").select("book_id", "n_lines", F.sha2("text", 256).alias("text_sha256"))
 
@@ -445,8 +446,8 @@ _JOINED = f"""{_BLK}, o as (select *, sum(case when block = '' then 1 else 0 end
 @query(f"{_JOINED} select book_id, sha256(string_agg(sep || block, '' order by part, spine_pos, i) || chr(10)) as text_sha256, cast(length(string_agg(sep || block, '' order by part, spine_pos, i)) + 1 as int) as n_chars from sp1 group by book_id")
 def assembled_books(spark: SparkSession, sf: str) -> DataFrame:
     """Whole books from the documents."""
-    pieces = assemble.join_blocks(_placed(spark, sf), ["part", "pos"])
-    b = assemble.assemble_books(pieces, ["part", "pos"])
+    pieces = assemble.join_blocks(_placed(spark, sf), ["part", "pos"], ["part", "pos.spine_pos"])
+    b = assemble.assemble_books(pieces, ["part", "pos"], ["part", "pos.spine_pos"])
     return b.select("book_id", F.sha2("text", 256).alias("text_sha256"), F.length("text").alias("n_chars"))
 
 
@@ -570,3 +571,203 @@ def section_order(spark: SparkSession, sf: str) -> DataFrame:
     """O2: sections of a document by start, then TOC order."""
     t = T.toc(spark, sf).withColumn("start", F.when(F.col("fragment").isNull(), 0).otherwise(1))
     return t.select("book_id", "doc", "toc_pos", F.row_number().over(W.partitionBy("book_id", "doc").orderBy("start", "toc_pos")).alias("place"))
+
+
+_WORDS4 = "['t' || doc_id, 'r' || doc_id, 'b' || doc_id, 'l' || doc_id]"
+
+
+@query(
+    f"""with u as (select doc_id, source, {_WORDS4} w, doc_id % 4 + 1 k, doc_id % 40 + 0.5::double x, doc_id % 9 c from documents)
+ select doc_id, case when doc_id % 11 = 10 then null else x * case c when 0 then 1.0::double when 1 then 16.0::double when 2 then 16.0::double when 3 then 96.0::double / 72 when 4 then 16.0::double
+  when 5 then 96.0::double when 6 then 96.0::double / 2.54::double when 7 then 96.0::double / 25.4::double else 1.0::double end end as pixels, w[1] as top_side, w[least(k, 2)] as right_side,
+  case when k <= 2 then w[1] else w[3] end as bottom_side, case when k = 4 then w[4] else w[least(k, 2)] end as left_side, lower('font ' || source || ',serif') as font from u"""
+)
+def css_values(spark: SparkSession, sf: str) -> DataFrame:
+    """A length in each unit, shorthands of one to four values, font lists."""
+    d, n = spark.read.parquet(f"{sf}/documents.parquet"), F.col("doc_id")
+    units = F.array(*map(F.lit, ["px", "em", "rem", "pt", "pc", "in", "cm", "mm", ""]))
+    s = lambda c: c.cast("string")
+    length = F.when(n % 11 == 10, "auto").otherwise(F.concat(s(n % 40), F.lit(".5"), F.get(units, (n % 9).cast("int"))))
+    words = F.array_join(F.slice(F.array(*[F.concat(F.lit(x), s(n)) for x in "trbl"]), F.lit(1), (n % 4 + 1).cast("int")), "  ")
+    sides = [C.css_side(words, side).alias(f"{side}_side") for side in C.SIDES]
+    return d.select("doc_id", C.css_length(length).alias("pixels"), *sides, C.font_key(F.concat(F.lit("\"Font "), "source", F.lit("\" , 'SERIF'"))).alias("font"))
+
+
+@query(
+    """with b as (select doc_id, ['solid', 'dashed', 'none', 'hidden', 'double'][doc_id % 5 + 1] not in ('none', 'hidden') as drawn, doc_id % 7 = 5 as cleared from documents)
+ select doc_id, drawn and not cleared as top_drawn, drawn as left_drawn, drawn as framed from b"""
+)
+def css_borders(spark: SparkSession, sf: str) -> DataFrame:
+    """A shorthand for all sides, and a style of its own for some top sides."""
+    d, n = spark.read.parquet(f"{sf}/documents.parquet"), F.col("doc_id")
+    style = F.get(F.array(*map(F.lit, ["solid", "dashed", "none", "hidden", "double"])), (n % 5).cast("int"))
+    whole = F.create_map(F.lit("border"), F.concat((n % 3 + 1).cast("string"), F.lit("px "), style))
+    props = F.when(n % 7 == 5, F.map_concat(whole, F.create_map(F.lit("border-top-style"), F.lit("none")))).otherwise(whole)
+    return d.select("doc_id", C.border_visible(props, "top").alias("top_drawn"), C.border_visible(props, "left").alias("left_drawn"), C.is_framed(props).alias("framed"))
+
+
+@query(
+    """with t as (select doc_id, string_split(lower(['footnote', 'chapter endnotes', 'Rearnote x', 'FOOTNOTES', 'footnoted'][doc_id % 5 + 1] || ' ' || ['doc-endnote', 'doc-footnotes', ''][doc_id % 3 + 1]), ' ') w from documents)
+ select doc_id, list_has_any(w, ['footnote', 'endnote', 'rearnote', 'doc-footnote', 'doc-endnote', 'doc-note']) as element,
+  list_has_any(w, ['footnotes', 'endnotes', 'rearnotes', 'doc-footnotes', 'doc-endnotes', 'doc-rearnotes']) as area from t"""
+)
+def note_elements(spark: SparkSession, sf: str) -> DataFrame:
+    """P23."""
+    d, n = spark.read.parquet(f"{sf}/documents.parquet"), F.col("doc_id")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (n % len(values)).cast("int"))
+    kind, role = pick(["footnote", "chapter endnotes", "Rearnote x", "FOOTNOTES", "footnoted"]), pick(["doc-endnote", "doc-footnotes", ""])
+    return d.select("doc_id", C.is_note_element(kind, role, F.lit("")).alias("element"), C.is_note_area(kind, role).alias("area"))
+
+
+_SHOWN = "case doc_id % 5 when 0 then '[' || doc_id || ']' when 1 then '注 ' || doc_id when 2 then '(註［' || doc_id || '］)' when 3 then '【 * 】' else 'Note' || doc_id end"
+
+
+@query(f"select doc_id, regexp_extract({_SHOWN}, '[0-9*]+') as core from documents")
+def marker_cores(spark: SparkSession, sf: str) -> DataFrame:
+    """P9."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    return d.select("doc_id", X.marker_core(F.expr(_SHOWN)).alias("core"))
+
+
+@query(
+    """with m as (select doc_id, 'w' || doc_id as a, '(' || ['註', '注', '주', 'Note'][doc_id % 4 + 1] || '[' || doc_id || '])' as mark, ['', '。', 'next', ', then'][doc_id // 4 % 4 + 1] as b from documents)
+ select doc_id, a || ' ' || mark || case when regexp_matches(b, '^[a-z]') then ' ' else '' end || b as spaced from m"""
+)
+def mark_spacing(spark: SparkSession, sf: str) -> DataFrame:
+    """Marks with none to two blanks, ASCII or ideographic, on either side."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    n = F.col("doc_id")
+    pick = lambda k, *values: F.get(F.array(*map(F.lit, values)), (k % len(values)).cast("int"))
+    blank = lambda k: pick(k, "", " ", "　", "　 ")
+    mark = F.concat(F.lit("("), pick(n, "註", "注", "주", "Note"), F.lit("["), n.cast("string"), F.lit("])"))
+    text = F.concat(F.lit("w"), n.cast("string"), blank(n % 7), mark, blank(n % 5), pick(F.floor(n / 4), "", "。", "next", ", then"))
+    return d.select("doc_id", X.space_note_marks(text).alias("spaced"))
+
+
+@query("select doc_id, 'OEBPS/' || case doc_id % 3 when 0 then source || '/x' || doc_id || '.html' when 1 then 'y+' || doc_id else source || '/a/ z' || doc_id end as path from documents")
+def resolved_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Addresses inside an archive seen from a document's folder: parent steps, dots, empty parts, escapes."""
+    d, n = spark.read.parquet(f"{sf}/documents.parquet"), F.col("doc_id")
+    s = n.cast("string")
+    href = F.when(n % 3 == 0, F.concat(F.lit("x"), s, F.lit(".html"))).when(n % 3 == 1, F.concat(F.lit("../y+"), s)).otherwise(F.concat(F.lit("./a//%20z"), s))
+    return d.select("doc_id", X.resolve_path(F.concat(F.lit("OEBPS/"), "source", F.lit("/")), href).alias("path"))
+
+
+@query(
+    f"""with {T.SD}, {T.SL}, {T.SLINES}, bx as (select book_id, doc, doc_id, count(*) // 2 as last from slines where doc_id % 3 = 0 and doc_id % 4 <> 0 group by all),
+ l as (select s.*, b.doc is not null and s.line_idx = 0 as above, b.doc is not null and b.doc_id % 2 = 1 and s.line_idx = b.last as below from slines s left join bx b on b.book_id = s.book_id and b.doc = s.doc)
+ select book_id, doc, line_idx, 0 as sub, repeat('-', 20) as text, blanks from l where above union all select book_id, doc, line_idx, 1, text, case when above then 0 else blanks end from l
+ union all select book_id, doc, line_idx, 2, repeat('-', 20), 0 from l where below"""
+)
+def border_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A box round the first half of some documents, with all borders or a top one; tables are among the boxes."""
+    n = F.col("doc").cast("long")
+    props = F.create_map(F.when(n % 2 == 1, "border").otherwise("border-top"), F.lit("1px solid"))
+    boxes = T.anchors(spark, sf).filter(n % 3 == 0).select("book_id", "doc", F.lit(0).alias("first_idx"), F.col("line_idx").alias("last_idx"), F.when(n % 4 == 0, "td").otherwise("div").alias("tag"), props.alias("props"))
+    return layout.border_lines(T.lines(spark, sf).select("book_id", "doc", "line_idx", "text", "blanks"), boxes)
+
+
+_BODY = f"""with {T.SD}, {T.SL}, {T.SLINES}, bs as (select *, 1 + doc_id % 3 * 0.5::double as size, (doc_id + line_idx) % 5 < 3 as indented from slines),
+ bn as (select book_id, size, count(*) n, min(cast(spine_pos as bigint) * 10000000 + line_idx) p, sum(case when indented then 1 else 0 end) n_in from bs group by all),
+ body as (select book_id, size, indented from (select *, row_number() over (partition by book_id order by n desc, p) r, sum(n_in) over (partition by book_id) * 2 > sum(n) over (partition by book_id) as indented from bn) where r = 1)"""
+
+
+@query(f"{_BODY} select * from body")
+def body_styles(spark: SparkSession, sf: str) -> DataFrame:
+    """A5: a third of the documents each at three sizes."""
+    n = F.col("doc_id")
+    size = F.when(n % 3 != 0, 1 + n % 3 * F.lit(0.5))
+    return layout.body_style(T.lines(spark, sf).select("book_id", "spine_pos", "line_idx", size.alias("size"), ((n + F.col("line_idx")) % 5 < 3).alias("indented")))
+
+
+@query(
+    f"""{_BODY}, h as (select s.*, doc_id % 9 = 4 and line_idx % 5 = 0 as h2, line_idx % 6 = 0 and doc_id % 8 = 3 as boxed, coalesce(case line_idx % 3 when 0 then 0.8::double when 2 then 1.5::double end, b.size) ls, b.size as bs, b.indented as bi
+  from slines s join body b on s.book_id is not distinct from b.book_id)
+ select book_id, doc, line_idx, cast(case when doc_id % 11 = 0 then 0 when h2 then case when boxed or doc_id % 4 = 1 then 2 else 1 end when boxed then 2 when line_idx % 7 = 3 and ls < bs and doc_id % 2 = 0 then 3
+  when line_idx = 0 then 1 when bi and line_idx % 6 in (0, 1) and ls > bs and line_idx % 4 <> 0 then case when doc_id % 5 = 0 then 2 else 1 end else 0 end as int) as kind from h"""
+)
+def sub_headings(spark: SparkSession, sf: str) -> DataFrame:
+    """Headings by tag, box, place after an image, first line, size and indent."""
+    n, i = F.col("doc_id"), F.col("line_idx")
+    run = lambda t, framed, heavier: F.struct(t.alias("text"), framed.alias("framed"), F.lit(heavier).alias("heavier"))
+    none = F.lit(False)
+    whole = F.array(run(F.col("text"), n % 8 == 3, True))
+    two = F.array(run(F.substring("text", 1, 3), none, False), run(F.substring(F.col("text"), F.lit(4), F.length("text")), none, False))
+    rows = T.lines(spark, sf).select(
+        "book_id", "doc", "line_idx", "text", F.when((n % 9 == 4) & (i % 5 == 0), "h2").otherwise("p").alias("tag"), (n % 4 == 1).alias("framed"), (n % 11 == 0).alias("in_notes"),
+        (i % 7 == 3).alias("after_image"), (n % 2 == 0).alias("centred"), F.when(i % 3 == 0, 0.8).when(i % 3 == 2, 1.5).alias("line_size"), (i % 4 == 0).alias("line_indented"),
+        (n % 5 == 0).alias("underlined"), F.when(i % 6 == 0, whole).when(i % 6 == 1, two).otherwise(F.slice(whole, 1, 0)).alias("runs"),
+    )
+    return layout.sub_headings(rows, body_styles(spark, sf)).select("book_id", "doc", "line_idx", "kind")
+
+
+@query(
+    f"""{_LABELS}, dd as (select book_id, doc, 'd' || doc || '#n' as key from sd union all select book_id, doc, 'd' || (doc_id + 20) || '#n' from sd)
+ select dd.book_id, dd.doc, string_agg(dd.key || '=' || nl.text, ';' order by dd.key) as labels from dd join nl on nl.book_id = dd.book_id and nl.key = dd.key group by all"""
+)
+def attach_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document cites its own note and that of a document further on."""
+    d = T.documents(spark, sf)
+    key = lambda c: F.concat(F.lit("d"), c.cast("string"), F.lit("#n"))
+    cited = d.select("book_id", "doc", F.explode(F.array(key(F.col("doc_id")), key(F.col("doc_id") + 20), key(F.col("doc_id")))).alias("key"))
+    out = notes.attach_labels(cited, note_labels(spark, sf))
+    entry = F.transform(F.map_entries("labels"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return out.select("book_id", "doc", F.array_join(entry, ";").alias("labels"))
+
+
+@query(
+    f"""with {T.SD}, {T.SL}, {T.SLINES}, an as (select book_id, doc, count(*) // 2 as line_idx, '★' || doc as label, 1 as o from slines where doc_id % 3 = 0 group by all union all select book_id, doc, 0, '★0', 2 from sd where doc_id % 6 = 0),
+ am as (select book_id, doc, line_idx, arg_min(label, o) as label from an group by all), l as (select s.*, am.label from slines s left join am on am.book_id = s.book_id and am.doc = s.doc and am.line_idx = s.line_idx)
+ select book_id, doc, line_idx, 0 as sub, label || ': ' || text as text, 0 as kind from l where label is not null and kind <> 0
+ union all select book_id, doc, line_idx, 1, case when label is not null and kind = 0 then label || ': ' || text else text end, kind from l"""
+)
+def star_note_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Stars at the middle and the first line of some documents, which is one line where they are short."""
+    d = T.documents(spark, sf).select("book_id", "doc", "doc_id")
+    top = d.select("book_id", "doc", F.lit("top").alias("name"), F.lit(0).alias("line_idx"))
+    stars = d.filter("doc_id % 3 = 0").select("book_id", "doc", F.lit("mid").alias("name"), F.concat(F.lit("★"), "doc").alias("label"))
+    stars = stars.unionByName(d.filter("doc_id % 6 = 0").select("book_id", "doc", F.lit("top").alias("name"), F.lit("★0").alias("label")))
+    rows = T.lines(spark, sf).select("book_id", "doc", "line_idx", "text", "kind")
+    return notes.star_note_lines(rows, T.anchors(spark, sf).unionByName(top), stars)
+
+
+def _rules(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("doc_id").cast("string")
+    rule = lambda pos, kind, tag, cls, prop, value: F.struct(F.lit(pos).alias("rule_pos"), F.lit(kind).alias("kind"), F.lit(tag).alias("tag"), F.lit(cls).alias("cls"), F.lit(prop).alias("prop"), value.alias("value"))
+    some = F.array(
+        rule(0, "tag", "p", "", "margin", F.lit("0")), rule(1, "class", "", "a", "margin", F.concat(n, F.lit("px"))), rule(2, "both", "p", "b", "margin", F.lit("2em")),
+        rule(3, "class", "", "b", "font-family", F.concat(F.lit("F"), n)), rule(4, "class", "", "a", "margin", F.lit("4px")), rule(5, "tag", "div", "", "font-family", F.lit("Div")),
+    )
+    return T.documents(spark, sf).select("book_id", "doc", F.explode(some).alias("r")).select("book_id", "doc", "r.*")
+
+
+def _elements(spark: SparkSession, sf: str) -> DataFrame:
+    item = lambda tag, *classes: F.struct(F.lit(tag).alias("tag"), F.array(*map(F.lit, classes)).cast("array<string>").alias("classes"))
+    some = F.array(item("p"), item("p", "a"), item("p", "a", "b"), item("p", "b", "a"), item("div", "b"), item("div", "x"))
+    return T.documents(spark, sf).select("book_id", "doc", F.explode(some).alias("e")).select("book_id", "doc", "e.*")
+
+
+_DECLARED = f"""with {T.SD}, el as (select book_id, doc, doc_id, unnest(['p', 'p', 'p', 'p', 'div', 'div']) as tag, unnest(['', 'a', 'a b', 'b a', 'b', 'x']) as classes from sd),
+ rl as (select * from (values (0, 'p', '', 'margin'), (1, '', 'a', 'margin'), (2, 'p', 'b', 'margin'), (3, '', 'b', 'font-family'), (4, '', 'a', 'margin'), (5, 'div', '', 'font-family')) v(pos, t, c, prop)),
+ mt as (select el.*, pos, prop, case pos when 0 then '0' when 1 then doc_id || 'px' when 2 then '2em' when 3 then 'F' || doc_id when 4 then '4px' else 'Div' end as value,
+  row_number() over (partition by book_id, doc, el.tag, classes, prop order by case when c = '' then 0 else instr(classes, c) end desc, case when t <> '' and c <> '' then 1 else 0 end desc, pos desc) r
+  from el join rl on (t = '' or t = el.tag) and (c = '' or list_contains(string_split(classes, ' '), c)))"""
+
+
+@query(f"""{_DECLARED} select el.book_id, el.doc, el.tag, el.classes, coalesce(string_agg(prop || ':' || value, ';' order by prop), '') as props from el left join (select * from mt where r = 1) m
+ on m.book_id is not distinct from el.book_id and m.doc = el.doc and m.tag = el.tag and m.classes = el.classes group by all""")
+def css_declared(spark: SparkSession, sf: str) -> DataFrame:
+    """Tag, class and tag-with-class rules over six shapes of elements a document."""
+    entry = F.transform(F.map_entries("props"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))
+    return extract.css_declared(_elements(spark, sf), _rules(spark, sf)).select("book_id", "doc", "tag", F.array_join("classes", " ").alias("classes"), F.array_join(entry, ";").alias("props"))
+
+
+@query(f"""{_DECLARED}, {T.SL}, {T.SLINES} select s.book_id, s.doc, s.line_idx, lower(m.value) as font from slines s join mt m on m.book_id = s.book_id and m.doc = s.doc and m.r = 1 and m.prop = 'font-family'
+ where m.tag = case when line_idx % 2 = 0 then 'div' else 'p' end and m.classes = case when line_idx % 2 = 0 then case when line_idx % 3 = 0 then 'b' else 'x' end else 'a b' end""")
+def inherited_font(spark: SparkSession, sf: str) -> DataFrame:
+    """The innermost block that declares a font counts; inner ones without one are passed over."""
+    i = F.col("line_idx")
+    item = lambda tag, *classes: F.struct(F.lit(tag).alias("tag"), F.array(*map(F.lit, classes)).cast("array<string>").alias("classes"))
+    chain = F.when(i % 2 == 1, F.array(item("div", "x"), item("p", "a", "b"), item("p", "a"))).when(i % 3 == 0, F.array(item("p", "a", "b"), item("div", "b"))).otherwise(F.array(item("div", "b"), item("div", "x"), item("p")))
+    declared = extract.css_declared(_elements(spark, sf), _rules(spark, sf))
+    return extract.inherited_font(T.lines(spark, sf).select("book_id", "doc", "line_idx", chain.alias("chain")), declared)
