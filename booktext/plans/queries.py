@@ -107,7 +107,15 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("page_id", c.alias("clean"), X.is_external(u).alias("external"), (key(c) == key(u)).alias("same"), X.is_lone_link(F.concat(F.lit("<"), u, F.lit(">"))).alias("lone"))
 
 
-@query("select page_id, page_id % 3 <> 1 as same from pages where url is not null")
+_CHANGED = r"""case page_id % 3 when 0 then string_split(url,'#')[1] || case when contains(string_split(url,'#')[1], '?') then '&' else '?' end || 'utm_x=1' || substr(url, length(string_split(url,'#')[1]) + 1)
+ when 1 then regexp_replace(url, '^(https?://[^/?#]*)', '\1/elsewhere') else regexp_replace(upper(url), '^HTTPS?://', 'http://') end"""
+_BOTH = f"from (select page_id * 2 as page_id, url from pages where url is not null union all select page_id * 2 + 1, {_CHANGED} from pages where url is not null)"
+
+
+@query(
+    f"""with {CLEAN.replace("from pages", _BOTH)}, ky as (select page_id, rtrim(regexp_replace(lower(url_decode(clean)), '^(https?://|mailto:)', ''), '/') as k from co)
+ select a.page_id // 2 as page_id, a.k = b.k as same from ky a join ky b on b.page_id = a.page_id + 1 where a.page_id % 2 = 0"""
+)
 def page_same_target(spark: SparkSession, sf: str) -> DataFrame:
     """P5: a tracking parameter more (page_id % 3 = 0) or another scheme and case (2) is the same target, another path (1) is not."""
     p = spark.read.parquet(f"{sf}/pages.parquet").filter("url is not null")
