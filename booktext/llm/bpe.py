@@ -6,7 +6,7 @@ grows until the token kept on either side provably stays: a sequence of tokens i
 of its bytes exactly when every pair of neighbours encodes to itself, so the join is done as
 soon as the pairs at both edges of the window do. Joining is associative, which makes the whole
 text a tree product; pieces of a text are joined by plain concatenation, since no merge crosses
-a match. Decoding concatenates byte strings up the same tree.
+a match. Decoding concatenates byte strings up a tree over all of a text's tokens.
 
 Nulls and empty texts have no tokens. Repeated rows are encoded alike. Extra columns are kept
 beside the new ones; a clash of names raises ValueError when the plan is built.
@@ -28,6 +28,8 @@ CACHE = 100_000
 #: Bytes of distinct pieces and their ids that a worker keeps; a piece longer than PIECE_BYTES is not kept.
 PIECES_BYTES = 24_000_000
 PIECE_BYTES = 256
+#: Byte strings that a node of the decoding tree concatenates.
+FAN = 64
 
 
 class TreeBpe:
@@ -164,12 +166,19 @@ class TreeBpe:
         self._held = 0
 
     def decode(self, ids: list[int]) -> bytes:
-        """Concatenation of the tokens' bytes up the tree, which bytes.join() does in one linear pass."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        """The tokens' bytes, concatenated up the tree."""
+        return up_the_tree(list(map(self.bytes_of.__getitem__, ids)))
 
     def decode_joined(self, joined: str) -> bytes:
         """The same for ids in decimal, joined by commas."""
-        return b"".join(map(self._text_of.__getitem__, joined.split(","))) if joined else b""
+        return up_the_tree(list(map(self._text_of.__getitem__, joined.split(",")))) if joined else b""
+
+
+def up_the_tree(parts: list[bytes]) -> bytes:
+    """The product of all parts: each level's nodes concatenate FAN neighbours, until one is left."""
+    while len(parts) > 1:
+        parts = [b"".join(parts[i : i + FAN]) for i in range(0, len(parts), FAN)]
+    return parts[0] if parts else b""
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
