@@ -24,8 +24,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
-
 # The base patterns.
 KINDS = ["email", "ip", "card", "phone"]
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++")
@@ -45,6 +43,7 @@ ROUNDS = 20
 
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _NODE = re.compile(r"[0-9@]")
+NEAR = r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D0-9@]++[\x20\x09-\x0D]++)?[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 L = len(KINDS) + 1
 
 
@@ -229,9 +228,8 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> SkipChain:
     that gives so many. Only the nodes, each with the word before it, reach the driver, TRAIN_CHARS of a row at most."""
     total, key = docs.count(), F.xxhash64("doc_id", "text")
     rows = docs if total <= train_rows else docs.filter(F.pmod(key, F.lit(1 << 30)) < F.lit(int((1 << 30) * train_rows / total)))
-    words, node = F.split("text", SPACES), lambda w: F.coalesce(w, F.lit("")).rlike("[0-9@]")
-    near = F.transform(words, lambda w, i: F.when(node(w) | node(F.get(words, i + 1)), w).otherwise("\n"))
-    pieces = F.substring(F.regexp_replace(F.array_join(near, " "), r"(?: ?\n)+ ?", "\n"), 1, TRAIN_CHARS)
+    # each node with the word before it if that is none: one linear pass, whose pattern neither goes back nor repeats a group
+    pieces = F.substring(F.array_join(F.regexp_extract_all("text", F.lit(NEAR), F.lit(0)), "\n"), 1, TRAIN_CHARS)
     sample = rows.filter(F.col("text").rlike("[0-9@]")).select(key.alias("key"), pieces.alias("text")).dropDuplicates(["key"]).orderBy("key").limit(2 * train_rows)
     graphs, n = [], 0
     for r in sample.collect():  # at most 2 * train_rows * TRAIN_CHARS characters

@@ -501,6 +501,12 @@ def test_pii_patterns_by_brute_force():
         assert pii.base_spans(text) == plain_base(text), text
 
 
+def test_training_takes_very_long_texts(spark):
+    """Hundreds of thousands of plain words in a row must not exhaust a task's stack."""
+    given = spark.createDataFrame([(1, "word " * 300_000 + "mail a@b.org" + " x" * 300_000), (2, None), (3, "")], "doc_id long, text string")
+    assert pii.train(given).weights.shape == (pii.L, pii.FEATURES)
+
+
 def test_loopy_marginals_are_near_exact_with_skips():
     """Against enumeration, on graphs with cycles of skip edges and weak potentials; labels of repeated tokens agree."""
     rng = np.random.default_rng(5)
