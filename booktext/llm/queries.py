@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, licenses, mixing, perplexity, pii, secrets, warc
-from .common import table
+from . import bpe, chat, jaccard, licenses, mixing, perplexity, pii, repair, secrets, warc
+from .common import materialize, table
 from .fingerprint_queries import op4_simhash
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -129,8 +129,75 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """conversations with faults: by crc32 of conv_id:turn a row is dropped, emptied, cut, repeated or given to the user."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    which = F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn"))) % 20
+    text = F.when(which == 1, "").when(which == 2, F.regexp_replace(said("text"), "[.!?]", "")).otherwise(said("text"))
+    return rows.select(
+        "conv_id", "turn", F.when(which == 4, "user").otherwise(said("role")).alias("role"), text.alias("text"),
+        F.explode(F.array_repeat(F.lit(1), F.when(which == 0, 0).when(which == 3, 2).otherwise(1))).alias("copy"),
+    ).drop("copy")
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = repair.ordered(damaged(rows))
+    edits = materialize(repair.plan(turns), "edits")
+    hashes = repair.digests(repair.repaired(turns, edits)).select(F.col("conv_id").alias("c2"), "repaired_sha256")
+    reports = edits.filter("audit is not null").drop("part", "letters", "state", "written").withColumnRenamed("conv_id", "c1")
+    ids = rows.select("conv_id").distinct()
+    name = F.col("conv_id").cast("string")
+    out = ids.join(reports, name.eqNullSafe(F.col("c1")), "left").join(hashes, name.eqNullSafe(F.col("c2")), "left")
+    none = lambda c, x: F.coalesce(F.col(c), x).alias(c)
+    return out.select(
+        "conv_id", *[none(c, F.lit(0).cast("long")) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        none("audit", F.lit("")), none("repaired_sha256", F.sha2(F.lit(""), 256)),
+    )
+
+
+OP11_SQL = r"""
+with recursive c as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+   coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k from conversations),
+h as (select *, xor(list_reduce([4294967295::bigint] || list_transform(range(1, strlen(k) + 1), lambda i: ord(substr(k, i, 1))::bigint),
+   lambda crc, b: list_reduce([xor(crc, b)] || [x::bigint for x in range(8)], lambda v, s: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 20 as w from c),
+d as (select conv_id, turn, case when w = 4 then 'user' else role end as role,
+   case when w = 1 then '' when w = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+   unnest(range(case when w = 0 then 0 when w = 3 then 2 else 1 end)) as copy from h),
+n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+   row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as again from d),
+f as (select *, substr(role, 1, 1) as r, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'b' when again > 1 then 'd'
+   when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 't' else '.' end as fault,
+   lag(substr(role, 1, 1)) over (partition by conv_id order by i) as p from n),
+a as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'b') as blank,
+   count(*) filter (where fault = 'd') as duplicate, count(*) filter (where fault = 't') as truncated,
+   count(*) filter (where i > 1 and p || r not in ('su', 'ua', 'au')) as illegal from f group by conv_id),
+-- what may follow each state (0 nothing yet, 1 system, 2 user, 3 assistant)
+nx(q, c, q2) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+ins as (select q, 0 as cost, '' as letter, '' as line, q as q2 from (values (0), (1), (2), (3)) t(q)
+  union all select q, 2, 'I', case c when 'u' then 'user:' else 'assistant:' end || chr(10), q2 from nx where c <> 's'),
+act as (select conv_id, i, q, 3 as cost, 'D' as letter, '' as line, q as q2 from f, (values (0), (1), (2), (3)) t(q)
+  union all select conv_id, i, q, (fault = 't')::int, 'K', role || ':' || text || chr(10), q2 from f join nx on r = c where fault in ('.', 't')
+  union all select conv_id, i, q, 2 + (fault = 't')::int, 'R', case c when 'u' then 'user:' else 'assistant:' end || text || chr(10), q2 from f, nx
+    where fault in ('.', 't') and c <> 's'),
+e as (select conv_id, i, ins.q, {'c': ins.cost + act.cost, 'a': ins.letter || act.letter, 'o': ins.line || act.line} as x, act.q2
+  from ins join act on ins.q2 = act.q),
+dp as (select conv_id, 0::bigint as i, 0 as q, {'c': 0, 'a': '', 'o': ''} as best from a
+  union all select dp.conv_id, e.i, e.q2, min({'c': dp.best.c + e.x.c, 'a': dp.best.a || e.x.a, 'o': dp.best.o || e.x.o})
+  from dp join e on dp.conv_id is not distinct from e.conv_id and e.i = dp.i + 1 and e.q = dp.q group by dp.conv_id, e.i, e.q2),
+z as (select dp.conv_id, min({'c': dp.best.c + ins.cost, 'a': dp.best.a || ins.letter, 'o': dp.best.o || ins.line}) as best
+  from dp join a on dp.conv_id is not distinct from a.conv_id and dp.i = a.n join ins on dp.q = ins.q where ins.q2 in (0, 3) group by dp.conv_id)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+  coalesce(illegal, 0) as illegal, coalesce(best.c, 0)::bigint as cost, coalesce(best.a, '') as audit,
+  sha256(coalesce(best.o[:-2], '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join a on o.conv_id is not distinct from a.conv_id
+left join z on o.conv_id is not distinct from z.conv_id
+"""
+
+
 QUERIES = {
     "op1_chat": op1_chat, "op2_perplexity": op2_perplexity, "op3_jaccard": op3_jaccard, "op4_simhash": op4_simhash, "op5_mix": op5_mix,
     "op6_secrets": op6_secrets, "op7_pii": op7_pii, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_licenses": op10_licenses,
+    "op11_repair": op11_repair,
 }
-ORACLES = {"op1_chat": OP1_SQL, "op5_mix": OP5_SQL}
+ORACLES = {"op1_chat": OP1_SQL, "op5_mix": OP5_SQL, "op11_repair": OP11_SQL}
