@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, licenses, mixing, perplexity, pii, repair, secrets, warc
+from . import bpe, chat, jaccard, licenses, mixing, negatives, perplexity, pii, repair, secrets, warc
 from .common import materialize, table
 from .fingerprint_queries import op4_simhash
 
@@ -195,9 +195,29 @@ left join z on o.conv_id is not distinct from z.conv_id
 """
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(negatives.integers(rows.withColumn("label", moved)), F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = r"""
+with e as (select row_number() over () as n, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+   list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+   where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+s as (select a.n, a.vec_id as anchor_id, r.n as m, r.vec_id, r.label = a.label as same, list_dot_product(a.v, r.v)::bigint as score
+   from e a join e r on a.n <> r.n where a.vec_id % 100 = 0),
+p as (select n, anchor_id, vec_id as positive_id, score as positive_score, row_number() over (partition by n order by score desc, vec_id) as place
+   from s where same and vec_id <> anchor_id qualify place <= 5),
+q as (select p.*, s.vec_id as negative_id, s.score as negative_score, row_number() over (partition by p.n, place order by s.score desc, s.vec_id) as rank
+   from p join s on p.n = s.n and not s.same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score qualify rank <= 10)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from q
+"""
+
+
 QUERIES = {
     "op1_chat": op1_chat, "op2_perplexity": op2_perplexity, "op3_jaccard": op3_jaccard, "op4_simhash": op4_simhash, "op5_mix": op5_mix,
     "op6_secrets": op6_secrets, "op7_pii": op7_pii, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_licenses": op10_licenses,
-    "op11_repair": op11_repair,
+    "op11_repair": op11_repair, "op12_negatives": op12_negatives,
 }
-ORACLES = {"op1_chat": OP1_SQL, "op5_mix": OP5_SQL, "op11_repair": OP11_SQL}
+ORACLES = {"op1_chat": OP1_SQL, "op5_mix": OP5_SQL, "op11_repair": OP11_SQL, "op12_negatives": OP12_SQL}
