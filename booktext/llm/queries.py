@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, licenses, mixing, negatives, perplexity, pii, repair, secrets, warc
+from . import bpe, chat, jaccard, licenses, mixing, negatives, perplexity, pii, repair, repeats, secrets, warc
 from .common import materialize, table
 from .fingerprint_queries import op4_simhash
 
@@ -215,9 +215,17 @@ select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, n
 """
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.cut(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return rows.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
     "op1_chat": op1_chat, "op2_perplexity": op2_perplexity, "op3_jaccard": op3_jaccard, "op4_simhash": op4_simhash, "op5_mix": op5_mix,
     "op6_secrets": op6_secrets, "op7_pii": op7_pii, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_licenses": op10_licenses,
-    "op11_repair": op11_repair, "op12_negatives": op12_negatives,
+    "op11_repair": op11_repair, "op12_negatives": op12_negatives, "op13_repeats": op13_repeats,
 }
 ORACLES = {"op1_chat": OP1_SQL, "op5_mix": OP5_SQL, "op11_repair": OP11_SQL, "op12_negatives": OP12_SQL}
