@@ -12,7 +12,7 @@ from booktext.operators import assemble, extract
 def text_books(docs: DataFrame) -> DataFrame:
     """docs(book_id, spine_pos, doc, language, html) to book_id, text, n_lines: every paragraph indented for its language,
     documents in reading order."""
-    found = extract.extract_documents(docs.select("book_id", "doc", "html"), scan=False)
+    found = extract.extract_documents(docs.select("book_id", "doc", "html"), scan=False, tables=("lines",))
     lines = extract.table_of(found, "lines").select("book_id", "doc", "line_idx", "text", "blanks")
     rows = lines.join(docs.select("book_id", "doc", "spine_pos", "language"), ["book_id", "doc"])
     block = X.body_line(F.col("text"), X.indent(F.col("language")))

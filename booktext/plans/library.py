@@ -97,8 +97,10 @@ def with_notes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     home = F.substring_index("key", "#", 1)
     used = links.select("book_id", "doc", F.col("target").alias("key")).unionByName(keys.select("book_id", home.alias("doc"), "key"))
     held = N.attach_labels(used, labels.filter("marker"))
+    known = keys.join(used, ["book_id", "key"]).groupBy(*DOC).agg(F.collect_set("key").alias("known"))
     starred = used.distinct().join(stars, ["book_id", "key"]).groupBy(*DOC).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "star")))).alias("stars"))
-    out = docs.join(held, DOC, "left").join(starred, DOC, "left").withColumn("word", X.note_word(F.col("language")))
+    out = docs.join(held, DOC, "left").join(starred, DOC, "left").join(known, DOC, "left").withColumn("word", X.note_word(F.col("language")))
+    out = out.withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
     words = docs.select("book_id", X.note_word(F.col("language")).alias("word")).distinct()
     at = stars.join(words, "book_id").select("book_id", home.alias("doc"), F.substring_index("key", "#", -1).alias("name"), F.concat("word", F.lit("[★"), "star", F.lit("]")).alias("label"))
     return out, at

@@ -47,7 +47,7 @@ PAGE_LINES = rf"""a as (select page_id, regexp_replace(regexp_replace(html, '(?i
 def page_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of every page."""
     p = spark.read.parquet(f"{sf}/pages.parquet").select(F.lit("").alias("book_id"), F.col("page_id").cast("string").alias("doc"), "html")
-    rows = extract.table_of(extract.extract_documents(p, scan=False), "lines")
+    rows = extract.table_of(extract.extract_documents(p, scan=False, tables=("lines",)), "lines")
     return rows.select(F.col("doc").cast("long").alias("page_id"), "line_idx", "text")
 
 
@@ -59,7 +59,7 @@ def page_lines(spark: SparkSession, sf: str) -> DataFrame:
 def text_book_digests(spark: SparkSession, sf: str) -> DataFrame:
     """One text a host. Without the blanks that empty elements leave, which SQL cannot see."""
     docs = T.pages(spark, sf)
-    found = extract.extract_documents(docs.select("book_id", "doc", "html"), scan=False)
+    found = extract.extract_documents(docs.select("book_id", "doc", "html"), scan=False, tables=("lines",))
     rows = extract.table_of(found, "lines").join(docs.select("book_id", "doc", "spine_pos", "language"), ["book_id", "doc"])
     blocks = rows.select("book_id", "spine_pos", "line_idx", X.body_line(F.col("text"), X.indent(F.col("language"))).alias("block"))
     order = ["spine_pos", "line_idx"]

@@ -125,14 +125,74 @@ def test_blanks_and_lone_links(spark):
     assert [t for t, _ in got["e"]] == ["see it <http://e.org>"]
 
 
-def test_one_string_forms_agree_with_columns(spark):
-    """The readers' forms of the column functions give the same."""
-    urls = ["http://e.org/a?utm_x=1&b=%20&fbclid=2#f", "mailto:a@b.c?subject=x", "http://e.org/?", "HTTP://E.org/?&lang=en&&q", "x#a?b", "http://e.org?hl", "a?HL =1&hlx=2", ""]
-    shown = ["1", "[1]", "（註1）", "Note [ 2 ]", "note", "((*1))", "[]", "注 [a b]", " 〔註 3〕 ", "(1) and (2)"]
-    marks = ["a(註[1])b", "a (Note[1]) , b", "x  (注[12])　(주[3])。", "(Note[1])", "a (note[1]) b", "said (註[1])」 then"]
-    for one, column, texts in ((extract.clean_url, X.clean_url, urls), (extract.core, X.marker_core, shown), (extract.spaced, X.space_note_marks, marks)):
-        df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", column(F.col("t")).alias("c"))
-        assert {r["t"]: one(r["t"]) for r in df.collect()} == {r["t"]: r["c"] for r in df.collect()}
+def written(spark, html: str, labels: dict | None = None, known: list | None = None, stars: dict | None = None) -> list[tuple]:
+    docs = spark.createDataFrame([("b", "d", html, labels or {}, known, stars or {}, "Note")], "book_id string, doc string, html string, labels map<string,string>, known array<string>, stars map<string,int>, word string")
+    docs = docs if known is not None else docs.drop("known")
+    rows = extract.table_of(extract.extract_documents(docs, scan=False), "lines").orderBy("line_idx").collect()
+    return [(r["text"], r["in_notes"]) for r in rows]
+
+
+def test_note_scopes_without_markup(spark):
+    """An id with a label opens a note that ends with the block it is on or in; the way back goes; the number printed goes once."""
+    one = {"d#n1": "1"}
+    assert written(spark, '<p id="n1">The note. <a href="c#r1">↺</a></p>', one) == [("Note[1]: The note.", True)]
+    assert written(spark, '<div id="n1"><p></p></div><p>Not the note</p>', one) == [("Not the note", False)]
+    assert written(spark, '<p id="n1">1</p><p>After</p>', one) == [("Note[1]", True), ("After", False)]
+    assert written(spark, '<p><a name="n1"></a>Named only</p>', one) == [("Named only", False)]
+    assert written(spark, '<p><a id="n1" href="c#r1">1</a>：The note</p><p>After</p>', one) == [("Note[1]: The note", True), ("After", False)]
+    assert written(spark, '<p><a href="c#r1" id="n1">1 all of it</a></p>', one) == [("Note[1]: all of it", True)]
+    two = one | {"d#n2": "2"}
+    listed = '<section epub:type="footnotes"><h2>Notes</h2><ol><li id="n1">1. First</li><li><p id="n2">2. Second</p><p>more</p></li></ol></section><p>x</p>'
+    assert written(spark, listed, two) == [("Notes", True), ("Note[1]: First", True), ("Note[2]: Second", True), ("more", True), ("x", False)]
+    assert written(spark, '<div id="n1"><p>1 One</p><p id="n2">2 inside it</p></div>', two) == [("Note[1]: One", True), ("2 inside it", True)]
+
+
+def test_note_references(spark):
+    one = {"d#n1": "[註1]"}
+    assert written(spark, '<p>茶<a href="#n1">[註1]</a>。</p>', one)[0][0] == "茶 (Note[1])。"
+    assert written(spark, '<p>Tea<a href="#n1"></a> and<a href="#n1">1</a>more</p>', one)[0][0] == "Tea (Note[1]) and (Note[1]) more"
+    # a link that no markup declares is a reference only where its target is a note
+    assert written(spark, '<p>see <a href="#n1">1</a></p>', one, known=[])[0][0] == "see 1"
+    assert written(spark, '<p>see <a epub:type="noteref" href="#n1">1</a></p>', one, known=[])[0][0] == "see (Note[1])"
+    assert written(spark, '<p>the <a href="#w">word</a>, so</p>', {}, stars={"d#w": 3})[0][0] == "the word (Note[★3]), so"
+    # what the book prints itself keeps its blanks
+    assert written(spark, "<p>a(註[1])b</p>")[0][0] == "a(註[1])b"
+
+
+def test_addresses_are_written_by_the_column_rules(spark):
+    row = lambda html: written(spark, html)[0][0]
+    assert row('<p><a href="http://e.org/?q=1& &z=2&utm_a=3#f">it</a></p>') == "it <http://e.org/?q=1& &z=2#f>"
+    assert row('<p>mail <a href="mailto:a@b.c?subject=x">A@b.c</a></p>') == "mail <mailto:a@b.c>"
+    assert row('<p><a href="https://e.org/%41/">http://E.org/a</a>!</p>') == "<https://e.org/%41/>!"
+    assert row('<head><a href="http://no.org">x</a></head><p><a href="http://e.org/a">one</a> <a href="#x">in</a> <a href="http://e.org/b"></a></p>') == "one <http://e.org/a> in <http://e.org/b>"
+    assert row('<p>x <a href="ftp:f">\n</a></p>') == "x <ftp:f>"
+
+
+def test_runs_end_inside_their_parents(spark):
+    docs = spark.createDataFrame([("b", "d", "<p><span class=a>one <i class=b>two</span> three</i> <b class=c>four</b></p>")], "book_id string, doc string, html string")
+    line = extract.table_of(extract.extract_documents(docs), "lines").first()
+    assert [(r["text"], r["classes"]) for r in line["runs"]] == [("one two", ["a"]), ("four", ["c"])]
+
+
+def test_run_style_rules(spark):
+    """The last class that says a size settles it, readable or not; indents of any sign count; words stand anywhere in a value."""
+    sheet = ".a{font-size:2em} .b{font-size:large} .c{text-indent:-1em} .z{text-indent:0} .d{text-align:-webkit-center} .e{text-align:center!important} .f{text-decoration:dotted underline red} .g{font-weight:700} .h{font-weight:BOLD} .i{font-size:120%} .j{font-size:16px}"
+    rules = extract.css_rules(spark.createDataFrame([("b", "d", sheet)], "book_id string, doc string, css string"))
+    asked = [["a"], ["a", "b"], ["b", "a"], ["c"], ["z"], ["d"], ["e"], ["f"], ["g"], ["h"], ["i"], ["j"], []]
+    e = spark.createDataFrame([("b", "d", c) for c in asked], "book_id string, doc string, classes array<string>")
+    got = {tuple(r["classes"]): (r["size"], r["indented"], r["heavier"], r["centred"], r["underlined"]) for r in extract.run_style(e, rules).collect()}
+    f = False
+    assert got == {
+        ("a",): (2.0, f, True, f, f), ("a", "b"): (None, f, True, f, f), ("b", "a"): (2.0, f, True, f, f), ("c",): (None, True, f, f, f), ("z",): (None, f, f, f, f),
+        ("d",): (None, f, f, True, f), ("e",): (None, f, f, True, f), ("f",): (None, f, f, f, True), ("g",): (None, f, True, f, f), ("h",): (None, f, True, f, f),
+        ("i",): (1.2, f, True, f, f), ("j",): (1.0, f, f, f, f), (): (None, f, f, f, f),
+    }
+
+
+def test_marker_core_peels_to_the_end(spark):
+    texts = {"1": "1", "[1]": "1", "（註1）": "1", "Note [ 2 ]": "2", "note": "note", "((*1))": "*1", "[]": "[]", "注 [a b]": "a b", " 〔註 3〕 ": "3", "(1) and (2)": "1) and (2", "[" * 30 + "x" + "]" * 30: "x", "註" * 12 + "9": "9", "": "", "([1)]": "([1)]"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.marker_core(F.col("t")).alias("c"))
+    assert {r["t"]: r["c"] for r in df.collect()} == texts
 
 
 def test_first_anchor_and_last_group_by_place(spark):
