@@ -6,7 +6,7 @@ Which strings meet: each window of `least` bytes has a key, the least hash of th
 keys. Neighbouring windows of one key are one piece (a substring of the text), and pieces meet by key. Pieces whose key lies in
 one document only cannot repeat: a first pass finds the keys of two or more documents exactly, from sorted arrays of keys dealt by range, and
 keeps them as a bitmap of 2**BITMAP_BITS bits (32 MB, whatever the input; a false hit only adds a piece to compare, and
-an input with more repeated keys than bits only loses the saving). Equal pieces are counted as one before they are dealt.
+an input with more repeated keys than bits only loses the saving). Equal pieces of a task are counted as one before they are dealt.
 
 What decides: the pieces of some keys, each with an end mark, are one text of about BLOCK_BYTES. Its suffixes are sorted by
 more than `least` symbols, which gives the Burrows-Wheeler transform; breadth-first backward extension of its intervals then finds the places
@@ -14,7 +14,7 @@ in suffix order where the common prefix is 0, 1, 2, ... symbols long, an interva
 place, and stops at `least`: whatever is left between two such places shares `least` bytes. All intervals of one length are
 extended at once, as arrays. The least id of each group of windows says from which documents its bytes go.
 
-A key with more than HOT_BYTES of different pieces is not held in one task: its windows are aggregated one by one.
+Windows of a key that very many documents have (HOT_ROWS) are dealt by their own hash, so no key's pieces outgrow a task.
 
 Nulls: a null text is empty; a row with a null id is neither smaller nor greater than others, so it keeps all and takes nothing. Rows
 with one id do not repeat each other; repeated rows get one result each. Texts shorter than `least` stay. Empty tables give empty
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +38,16 @@ LEAST = 50
 GRAM = 16
 BITMAP_BITS = 28
 #: Keys that a task sorts at once, and keys of a range, about.
-KEYS_AT_ONCE, RANGE_KEYS = 1 << 21, 1 << 20
+KEYS_AT_ONCE, RANGE_KEYS = 1 << 20, 1 << 20
 #: Windows of a piece at most; a longer run of one key is cut.
 MOST_WINDOWS = 1_000
-BLOCK_BYTES = 1_000_000
-HOT_BYTES = 8_000_000
+BLOCK_BYTES = 250_000
+#: Rows of a key that is hot, unless a millionth of all is more.
+HOT_ROWS = 200_000
+#: Text whose equal pieces a task counts as one.
+HELD_BYTES = 16_000_000
+#: Pieces that are cut out of the text at once.
+AT_ONCE = 20_000
 
 
 def keys(data: np.ndarray, least: int) -> np.ndarray:
@@ -81,21 +87,23 @@ def runs(texts: pa.Array, least: int) -> tuple[np.ndarray, ...]:
     return data, offsets, np.searchsorted(offsets, start, "right") - 1, start, n, key[start]
 
 
-def shared_keys(docs: DataFrame, least: int) -> np.ndarray:
-    """A bitmap of the keys that occur in two or more rows of docs(text), by their leading bits."""
+def shared_keys(docs: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bitmap of the keys that occur in two or more rows of docs(text), by their leading bits; and the hot keys, sorted: those of more rows
+    than HOT_ROWS and than a millionth of all keys' rows (about), so a million at most."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(16, max(2, math.ceil(math.log2(1 + total / 18 / RANGE_KEYS))))
+    hot = max(HOT_ROWS, total // 18 // 1_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def dealt() -> pa.RecordBatch:
             k = np.sort(np.concatenate(held))
-            first = np.r_[True, k[1:] != k[:-1]]
-            once, count = k[first], np.diff(np.append(np.flatnonzero(first), len(k)))
+            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            once, count = k[first], np.diff(np.append(first, len(k))).astype(np.uint32)
             at = np.searchsorted(once, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
             cut = lambda a: [p.tobytes() for p in np.split(a, at)]
-            return pa.RecordBatch.from_pydict({"range": np.arange(1 << bits), "keys": cut(once), "several": cut(count > 1)})
+            return pa.RecordBatch.from_pydict({"range": np.arange(1 << bits), "keys": cut(once), "counts": cut(count)})
 
         for b in batches:
             for part in slices(b):
@@ -113,58 +121,99 @@ def shared_keys(docs: DataFrame, least: int) -> np.ndarray:
             yield dealt()
 
     def join(table: pa.Table) -> pa.Table:
-        slots = 1 << BITMAP_BITS - bits
         k = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
-        several = np.concatenate([np.frombuffer(x, bool) for x in table.column("several").to_pylist()])
+        count = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
         by = np.argsort(k)
-        k, several = k[by], several[by]
-        again = several.copy()
-        same = k[1:] == k[:-1]
-        again[1:] |= same
-        again[:-1] |= same
-        on = np.zeros(slots, np.uint8)
-        on[((k[again] << np.uint64(bits)) >> np.uint64(64 - BITMAP_BITS + bits)).astype(np.int64)] = 1
-        return pa.table({"range": [table.column("range")[0].as_py()], "bitmap": [np.packbits(on).tobytes()]})
-
-    parts = docs.select("text").mapInArrow(run, "range long, keys binary, several binary")
-    found = parts.groupBy("range").applyInArrow(join, "range long, bitmap binary")
-    out = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
+        k, count = k[by], count[by]
+        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]][: len(k)])
+        k, count = k[first], np.add.reduceat(count, first) if len(first) else count
+        on = np.zeros(1 << BITMAP_BITS - bits, np.uint8)
+        on[((k[count > 1] << np.uint64(bits)) >> np.uint64(64 - BITMAP_BITS + bits)).astype(np.int64)] = 1
+        return pa.table({"range": [table.column("range")[0].as_py()], "bitmap": [np.packbits(on).tobytes()], "hot": [k[count > hot].tobytes()]})
+
+    parts = docs.select("text").mapInArrow(run, "range long, keys binary, counts binary")
+    found = parts.groupBy("range").applyInArrow(join, "range long, bitmap binary, hot binary")
+    out, often = np.zeros((1 << BITMAP_BITS) // 8, np.uint8), [np.zeros(0, np.uint64)]
     size = len(out) >> bits
-    for r in found.toLocalIterator():  # 2**BITMAP_BITS bits in all
+    for r in found.toLocalIterator():  # 2**BITMAP_BITS bits, and a million keys, at most
         out[r["range"] * size : (r["range"] + 1) * size] = np.frombuffer(r["bitmap"], np.uint8)
-    return out
+        often.append(np.frombuffer(r["hot"], np.uint64))
+    return out, np.sort(np.concatenate(often))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, hot: np.ndarray, least: int) -> Iterator[tuple]:
+    """Rows, data, and of each piece whose key is in the bitmap: its text's number, first place in the data and in the text, size,
+    key, and mark (a hash of its bytes). A window of a hot key is a piece by itself, whose key is its mark."""
+    for b in batches:
+        for part in slices(b):
+            data, offsets, text, start, n, key = runs(part.column("text"), least)
+            slot = key >> np.uint64(64 - BITMAP_BITS)
+            hit = bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            text, start, n, key = text[hit], start[hit], n[hit], key[hit]
+            if not len(text):
+                continue
+            single = np.zeros(len(key), bool)
+            if len(hot):
+                single = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+                times = np.where(single, n, 1)
+                nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                text, key, single = (np.repeat(x, times) for x in (text, key, single))
+                start, n = np.repeat(start, times) + nth, np.where(single, 1, np.repeat(n, times))
+            size = n + least - 1
+            p, q = _powers(len(data) + 1)
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_BYTE[data] * p[: len(data)], out=sums[1:])
+            mark = mix((sums[start + size] - sums[start]) * q[start] + size.astype(np.uint64))
+            yield part, data, text, start, start - offsets[text], size, np.where(single, mark, key).view(np.int64), mark.view(np.int64)
+
+
+def _cut_out(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    ends = np.cumsum(size)
+    whole = data[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(whole)])
+
+
+def contents(docs: DataFrame, shared, least: int) -> DataFrame:
+    """key, mark, low, high (the least and greatest doc_id that has it) and s BINARY of the pieces of docs(doc_id, text), equal pieces of a
+    task's HELD_BYTES as one row."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def merged() -> Iterator[pa.RecordBatch]:
+            at = np.r_[0, np.cumsum([len(h[0]) for h in held])]
+            key, mark, ids, start, size = (np.concatenate([h[i] for h in held]) for i in range(1, 6))
+            start += np.repeat(at[:-1], [len(h[1]) for h in held])
+            by = np.lexsort((mark, key))
+            k, m = key[by], mark[by]
+            first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (m[1:] != m[:-1])])
+            low, high, own = np.minimum.reduceat(ids[by], first), np.maximum.reduceat(ids[by], first), by[first]
+            data, k, m, start, size = np.concatenate([h[0] for h in held]), k[first], m[first], start[own], size[own]
+            for i in range(0, len(own), AT_ONCE):
+                part = slice(i, i + AT_ONCE)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[part]) for x in (k, m, low, high)), _cut_out(data, start[part], size[part])], ["key", "mark", "low", "high", "s"])
+
+        for part, data, text, start, _, size, key, mark in _pieces(batches, *shared.value, least):
+            held.append((data, key, mark, part.column("doc_id").to_numpy()[text], start, size))
+            n += len(data)
+            if n >= HELD_BYTES:
+                yield from merged()
+                held, n = [], 0
+        if held:
+            yield from merged()
 
-def pieces(docs: DataFrame, bitmap: np.ndarray, least: int) -> DataFrame:
-    """key, mark (a hash of the bytes), doc_id, row, start, s BINARY of the pieces of docs(doc_id, row, text) whose key is in the bitmap."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # 32 MB
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, mark long, low long, high long, s binary")
+
+
+def places(docs: DataFrame, shared, least: int) -> DataFrame:
+    """key, mark, doc_id, row, start of the pieces of docs(doc_id, row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = shared.value
-        for b in batches:
-            for part in slices(b):
-                data, offsets, text, start, n, key = runs(part.column("text"), least)
-                slot = key >> np.uint64(64 - BITMAP_BITS)
-                hit = on[(slot >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                text, start, n, key = text[hit], start[hit], n[hit], key[hit]
-                if not len(text):
-                    continue
-                size = n + least - 1
-                p, q = _powers(len(data) + 1)
-                sums = np.zeros(len(data) + 1, np.uint64)
-                np.cumsum(_BYTE[data] * p[: len(data)], out=sums[1:])
-                mark = mix((sums[start + size] - sums[start]) * q[start] + size.astype(np.uint64))
-                ends = np.cumsum(size)
-                whole = data[np.repeat(start - ends + size, size) + np.arange(ends[-1])]
-                s = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(whole)])
-                at = pa.array(text)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(mark.view(np.int64)), part.column("doc_id").take(at), part.column("row").take(at), pa.array(start - offsets[text]), s],
-                    ["key", "mark", "doc_id", "row", "start", "s"],
-                )
-
-    some = docs.filter("doc_id is not null")
-    return some.mapInArrow(run, "key long, mark long, doc_id long, row long, start long, s binary")
+        for part, _, text, _, place, _, key, mark in _pieces(batches, *shared.value, least):
+            at = pa.array(text)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(mark), part.column("doc_id").take(at), part.column("row").take(at), pa.array(place)], ["key", "mark", "doc_id", "row", "start"])
+
+    return docs.mapInArrow(run, "key long, mark long, doc_id long, row long, start long")
 
 
 def suffix_order(text: np.ndarray, least: int) -> np.ndarray:
@@ -239,66 +288,57 @@ def least_ids(pieces: list[bytes], ids: np.ndarray, least: int) -> tuple[np.ndar
     return piece[at], at - first[piece[at]], out[at]
 
 
-def verdicts(contents: DataFrame, least: int) -> DataFrame:
+def verdicts(found: DataFrame, least: int) -> DataFrame:
     """key, mark, first, last, least_id: windows first to last (exclusive) of a piece also lie in a document least_id, smaller than the greatest
-    that has the piece; from contents(key, mark, low, high, s), one row a piece."""
+    that has the piece; from the rows of contents()."""
+    names = ["key", "mark", "first", "last", "least_id"]
+
+    def decided(t: pa.Table) -> pa.RecordBatch | None:
+        """Of all rows of some keys, sorted by key and mark."""
+        key, mark, low, high = (t.column(c).to_numpy() for c in ("key", "mark", "low", "high"))
+        new_key = np.r_[True, key[1:] != key[:-1]]
+        first = np.flatnonzero(new_key | np.r_[True, mark[1:] != mark[:-1]])
+        low, high, of = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first), np.cumsum(new_key[first]) - 1
+        begin = np.flatnonzero(new_key[first])
+        # keys of one document only (false hits of the bitmap) repeat nothing
+        some = (np.minimum.reduceat(low, begin) < np.maximum.reduceat(high, begin))[of]
+        first, low, high = first[some], low[some], high[some]
+        if not len(first):
+            return None
+        piece, place, ids = least_ids(t.column("s").take(pa.array(first)).to_pylist(), low, least)
+        on = ids < high[piece]
+        piece, place, ids = piece[on], place[on], ids[on]
+        if not len(piece):
+            return None
+        a = np.flatnonzero(np.r_[True, (piece[1:] != piece[:-1]) | (place[1:] != place[:-1] + 1) | (ids[1:] != ids[:-1])])
+        row = first[piece[a]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[row], mark[row], place[a], place[np.append(a[1:], len(piece)) - 1] + 1, ids[a])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def decided(t: pa.Table) -> pa.RecordBatch:
-            key, low, high = (t.column(c).to_numpy() for c in ("key", "low", "high"))
-            # keys of one document only (false hits of the bitmap)
-            _, of = np.unique(key, return_inverse=True)
-            least_, most = np.full(of.max() + 1, np.iinfo(np.int64).max), np.full(of.max() + 1, np.iinfo(np.int64).min)
-            np.minimum.at(least_, of, low)
-            np.maximum.at(most, of, high)
-            t = t.filter(pa.array(least_[of] < most[of]))
-            names = ["key", "mark", "first", "last", "least_id"]
-            if not t.num_rows:
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, names)
-            high = t.column("high").to_numpy()
-            piece, place, ids = least_ids(t.column("s").to_pylist(), t.column("low").to_numpy(), least)
-            on = ids < high[piece]
-            piece, place, ids = piece[on], place[on], ids[on]
-            new = np.ones(len(piece), bool)
-            new[1:] = (piece[1:] != piece[:-1]) | (place[1:] != place[:-1] + 1) | (ids[1:] != ids[:-1])
-            a = np.flatnonzero(new)
-            b = np.append(a[1:], len(piece)) - 1 if len(a) else a
-            at = pa.array(piece[a])
-            return pa.RecordBatch.from_arrays([t.column("key").take(at).combine_chunks(), t.column("mark").take(at).combine_chunks(), pa.array(place[a]), pa.array(place[b] + 1), pa.array(ids[a])], names)
+        held: list[pa.RecordBatch] = []
+
+        def blocks(last: bool) -> Iterator[pa.RecordBatch]:
+            """What is held, in blocks that end where a key does; the last key stays unless nothing follows."""
+            nonlocal held
+            t = pa.Table.from_batches(held)
+            key = t.column("key").to_numpy()
+            ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)] if last else [])
+            bytes_ = np.r_[0, np.cumsum(pc.binary_length(t.column("s")).to_numpy())]
+            begin = 0
+            for end in ends[np.append(np.flatnonzero(np.diff(bytes_[ends.astype(int)] // BLOCK_BYTES)), len(ends) - 1)].astype(int) if len(ends) else ():
+                if end > begin and (out := decided(t.slice(begin, end - begin))) is not None:
+                    yield out
+                begin = max(begin, end)
+            held = t.slice(begin).to_batches()
 
         for b in batches:
-            sizes = np.diff(b.column("s").buffers()[1] and np.frombuffer(b.column("s").buffers()[1], np.int32)[b.column("s").offset :][: b.num_rows + 1])
-            key = b.column("key").to_numpy()
-            cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            ends = np.cumsum(sizes)
-            begin = 0
-            for c in cuts:  # a block ends where a key does
-                if n + (ends[c - 1] - (ends[begin - 1] if begin else 0) if c else 0) >= BLOCK_BYTES and (c > begin or held):
-                    if c == 0 and held[-1].column("key")[-1] == b.column("key")[0]:
-                        continue
-                    if c > begin:
-                        held.append(b.slice(begin, c - begin))
-                    yield decided(pa.Table.from_batches(held))
-                    held, n, begin = [], 0, c
-            if begin < b.num_rows:
-                held.append(b.slice(begin))
-                n += int(ends[-1] - (ends[begin - 1] if begin else 0))
+            held.append(b)
+            if sum(h.nbytes for h in held) >= 2 * BLOCK_BYTES:
+                yield from blocks(False)
         if held:
-            yield decided(pa.Table.from_batches(held))
-
-    dealt = contents.repartition("key").sortWithinPartitions("key", "mark")
-    return dealt.mapInArrow(run, "key long, mark long, first long, last long, least_id long")
-
+            yield from blocks(True)
 
-def hot_verdicts(contents: DataFrame, least: int) -> DataFrame:
-    """The rows of verdicts() for keys of very many different pieces: each window by itself, aggregated before it is dealt."""
-    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("s") - (least - 1)), lambda i: F.substring("s", i, F.lit(least)))).alias("first", "w")
-    windows = contents.select("key", "mark", "low", "high", at)
-    ids = windows.groupBy("w").agg(F.min("low").alias("least_id"))
-    out = windows.join(ids, "w").filter("least_id < high")
-    return out.select("key", "mark", F.col("first").cast("long").alias("first"), (F.col("first") + 1).cast("long").alias("last"), "least_id")
+    return found.repartition("key").sortWithinPartitions("key", "mark").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def cut(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -307,17 +347,13 @@ def cut(docs: DataFrame, least: int = LEAST) -> DataFrame:
         raise ValueError(f"least must be {2 * GRAM} or more")
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", text).alias("row"), text.alias("text"))
-    found = materialize(pieces(docs, shared_keys(docs, least), least), "pieces")
-    contents = found.groupBy("key", "mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("s").alias("s"))
-    contents = materialize(contents, "contents")
-    hot = materialize(contents.groupBy("key").agg(F.sum(F.length("s")).alias("size")).filter(F.col("size") > HOT_BYTES).select("key"), "hot-keys")
-    said = verdicts(contents.join(hot, "key", "left_anti"), least).unionByName(hot_verdicts(contents.join(hot, "key"), least))
-    said = materialize(said, "verdicts")
-    dropped(contents, hot)
-    gone = found.select("key", "mark", "doc_id", "row", "start").join(said, ["key", "mark"]).filter("doc_id > least_id")
+    known = docs.filter("doc_id is not null")
+    shared = docs.sparkSession.sparkContext.broadcast(shared_keys(known, least))  # 40 MB at most
+    said = materialize(verdicts(contents(known, shared, least), least), "verdicts")
+    gone = places(known, shared, least).join(said, ["key", "mark"]).filter("doc_id > least_id")
     gone = gone.select("row", F.struct((F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + (least - 1)).alias("end")).alias("x"))
     spans = materialize(gone.groupBy("row").agg(F.collect_list("x").alias("spans")), "spans")
-    dropped(found, said)
+    dropped(said)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

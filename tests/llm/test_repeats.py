@@ -41,9 +41,9 @@ def corpus() -> list[tuple]:
     return rows
 
 
-@pytest.mark.parametrize("block, hot, windows", [(1_000_000, 8_000_000, 1_000), (300, 8_000_000, 20), (2_000, 400, 1_000)])
+@pytest.mark.parametrize("block, hot, windows", [(250_000, 200_000, 1_000), (300, 200_000, 20), (2_000, 3, 1_000)])
 def test_query_equals_a_dictionary(spark, tmp_path, monkeypatch, block, hot, windows):
-    for name, value in (("BLOCK_BYTES", block), ("HOT_BYTES", hot), ("MOST_WINDOWS", windows)):
+    for name, value in (("BLOCK_BYTES", block), ("HOT_ROWS", hot), ("MOST_WINDOWS", windows)):
         monkeypatch.setattr(repeats, name, value)
     rows = corpus()
     spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, key string, row int").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
