@@ -8,8 +8,8 @@ Search: fingerprints are cut into `blocks` blocks; a table for each choice of (b
 holds the fingerprints keyed by those blocks. Fingerprints within `radius` differ in at most radius
 blocks, so they share the key of some table: the search is exact. Equal fingerprints are joined once.
 
-Nulls: a null text is empty; a text without words has the fingerprint 0. Repeated rows are fingerprinted
-alike. Null ids are kept. Extra columns are not touched.
+Nulls: a null text is empty; a text without words has the fingerprint 0. Repeated rows have one fingerprint, but each its own
+neighbour. Null ids are kept; neighbours() takes numeric ids. Extra columns are not touched.
 """
 
 from __future__ import annotations

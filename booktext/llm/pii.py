@@ -6,8 +6,9 @@ token before it that is the same or similar (equal letters and digits, or equal
 Loopy belief propagation gives each node's marginals, so that occurrences of one token get one label.
 
 Training is piecewise: node weights by multinomial logistic regression, chain and skip potentials by smoothed
-log-odds of label pairs. Labels are those of the base patterns in at most `train_rows` rows (those with a node whose
-id has the smallest hash): a bounded sample by design. Inference covers every whole text.
+log-odds of label pairs. Labels are those of the base patterns in the whole texts of about `train_rows` rows (those whose
+hash lies in the share that gives so many): a bounded sample by design. Its rows become nodes and edges where they are, and are counted
+there by features and labels; only these counts reach the driver. Inference covers every whole text.
 
 Nulls: a null text is empty; null ids are kept and repeated rows scanned alike. Ties of labels go to O, then to the
 kind listed first. Positions are code points, end exclusive. Patterns and graphs take time linear in a text's length. Empty
@@ -17,6 +18,7 @@ tables give empty results. Other columns are left out, whatever their names.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,17 +35,12 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 TRAIN_ROWS = 4_000
-#: Characters that training takes of a row at most.
-TRAIN_CHARS = 10_000
-#: Nodes that training uses at most, in the order of the sample.
-TRAIN_NODES = 50_000
 #: Marginal that a label needs.
 SURE = 0.9
 ROUNDS = 20
 
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _NODE = re.compile(r"[0-9@]")
-NEAR = r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D0-9@]++[\x20\x09-\x0D]++)?[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 L = len(KINDS) + 1
 
 
@@ -126,7 +123,7 @@ class Graph:
         return out
 
 
-FEATURES = 18
+FEATURES = 19
 
 
 def features(w: str) -> list[float]:
@@ -143,6 +140,7 @@ def features(w: str) -> list[float]:
         float(digits == len(core) and 16 <= digits <= 19), float(digits == len(core) and digits < 4), float(digits == len(core) and 4 <= digits < 16),
         float(digits == len(core) and digits > 19), float(letters == 0), float(letters > 0 and at < 0), float(dots > 0), float(dots > 1),
         float(dashes > 0 and letters == 0), float(digits == 0), min(digits, 20) / 20.0, min(letters, 20) / 20.0,
+        float(digits == len(core) and 16 <= digits <= 19 and luhn(core)),
     ]
 
 
@@ -153,25 +151,27 @@ class SkipChain:
         self.weights, self.chain, self.skip = weights, chain, skip
 
     @staticmethod
-    def fit(graphs: list[tuple[Graph, np.ndarray]], steps: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> SkipChain:
-        chain, skip = np.ones((L, L)), np.ones((L, L))
-        for g, y in graphs:
-            for table, edges in ((chain, g.chain), (skip, g.skip)):
-                for i, j in edges:
-                    table[y[i], y[j]] += 1
-        skip = skip + skip.T
+    def fit(nodes: dict[tuple, int], chain: dict[tuple, int], skip: dict[tuple, int], steps: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> SkipChain:
+        """From how often each (features, label), chain pair and skip pair of labels occurs."""
+        tables = [np.ones((L, L)), np.ones((L, L))]
+        for table, pairs in zip(tables, (chain, skip)):
+            for (i, j), n in pairs.items():
+                table[i, j] += n
+        tables[1] = tables[1] + tables[1].T
         odds = lambda t: np.log(t / t.sum()) - np.log(t.sum(1, keepdims=True) / t.sum()) - np.log(t.sum(0, keepdims=True) / t.sum())
         w = np.zeros((L, FEATURES))
-        if graphs and sum(len(y) for _, y in graphs):
-            x, y = np.concatenate([g.x for g, _ in graphs]), np.concatenate([y for _, y in graphs])
-            aim, m = np.eye(L)[y], np.zeros_like(w)
+        if nodes:
+            seen = sorted(nodes)
+            x, aim = np.array([f for f, _ in seen]), np.eye(L)[[y for _, y in seen]]
+            share, m = np.array([nodes[k] for k in seen], float)[:, None], np.zeros_like(w)
+            share /= share.sum()
             for _ in range(steps):
                 z = x @ w.T
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
-                m = 0.9 * m + ((p - aim).T @ x / len(x) + ridge * w)
+                m = 0.9 * m + ((share * (p - aim)).T @ x + ridge * w)
                 w = w - rate * m
-        return SkipChain(w, np.clip(odds(chain), -3, 3), np.clip(odds(skip), -3, 3))
+        return SkipChain(w, *(np.clip(odds(t), -3, 3) for t in tables))
 
     def marginals(self, g: Graph) -> np.ndarray:
         """Each node's label probabilities by loopy belief propagation, damped, in log space."""
@@ -223,22 +223,34 @@ class SkipChain:
         return sorted(out)
 
 
+def counted(text: str) -> tuple[Counter, Counter, Counter]:
+    """How often each (features, label) of a text's nodes occurs, and each pair of labels along its chain and skip edges."""
+    g = Graph(text)
+    y = g.labels(base_spans(text)).tolist()
+    return Counter(zip(map(tuple, g.x.tolist()), y)), Counter((y[i], y[j]) for i, j in g.chain), Counter((y[i], y[j]) for i, j in g.skip)
+
+
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> SkipChain:
-    """A model from the pieces of text round the nodes of about train_rows rows, those whose hash lies in the share of its range
-    that gives so many. Only the nodes, each with the word before it, reach the driver, TRAIN_CHARS of a row at most."""
+    """A model from the whole texts of about train_rows rows, those whose hash lies in the share of its range that gives so many."""
     total, key = docs.count(), F.xxhash64("doc_id", "text")
     rows = docs if total <= train_rows else docs.filter(F.pmod(key, F.lit(1 << 30)) < F.lit(int((1 << 30) * train_rows / total)))
-    # each node with the word before it if that is none: one linear pass, whose pattern neither goes back nor repeats a group
-    pieces = F.substring(F.array_join(F.regexp_extract_all("text", F.lit(NEAR), F.lit(0)), "\n"), 1, TRAIN_CHARS)
-    sample = rows.filter(F.col("text").rlike("[0-9@]")).select(key.alias("key"), pieces.alias("text")).dropDuplicates(["key"]).orderBy("key").limit(2 * train_rows)
-    graphs, n = [], 0
-    for r in sample.collect():  # at most 2 * train_rows * TRAIN_CHARS characters
-        g = Graph(r["text"])
-        graphs.append((g, g.labels(base_spans(r["text"]))))
-        n += len(g.spans)
-        if n >= TRAIN_NODES:
-            break
-    return SkipChain.fit(graphs)
+    rows = rows.filter(F.col("text").rlike("[0-9@]")).select("text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sums = [Counter(), Counter(), Counter()]
+            for text in b["text"]:
+                for into, found in zip(sums, counted(text)):
+                    into.update(found)
+            nodes = [(0, list(x), y, 0, n) for (x, y), n in sums[0].items()]
+            pairs = [(k, [], i, j, n) for k in (1, 2) for (i, j), n in sums[k].items()]
+            yield pd.DataFrame(nodes + pairs, columns=["part", "x", "y", "z", "n"])
+
+    found = rows.mapInPandas(run, "part int, x array<double>, y int, z int, n long").groupBy("part", "x", "y", "z").agg(F.sum("n").alias("n"))
+    tables = [{}, {}, {}]
+    for r in found.collect():  # the features take few values: at most some 10,000 rows
+        tables[r["part"]][(tuple(r["x"]), r["y"]) if r["part"] == 0 else (r["y"], r["z"])] = r["n"]
+    return SkipChain.fit(*tables)
 
 
 NAMES = [*KINDS, *(f"crf_{k}" for k in KINDS)]

@@ -3,9 +3,10 @@
 Base rules are patterns. Beside them every candidate token (a run of 16 or more of the characters that
 keys are written in) is scored by two character Markov models, one of random strings and one of ordinary
 identifiers: the log-likelihood ratio of its character pairs, a state for each character. Both are trained from labelled
-samples of the corpus: the values that base rules found are random strings, all other tokens of 8 or more characters are
-ordinary ones. Training takes the rows (or values) whose hash lies in the share that gives about `train_rows` of
-them: a bounded sample by design, taken where the rows are; scoring covers every whole text.
+samples: random strings are those of `generated()`, a fixed table of every alphabet, and the values that base rules found; ordinary ones
+are all other tokens of 8 to 15 characters of the corpus (keys that no rule found are longer, so they do not teach the model) and
+generated numbers. Training takes the rows (or values) whose hash lies in the share that gives about `train_rows` of them: a
+bounded sample by design, taken where the rows are; scoring covers every whole text.
 
 Weights are rounded to thousandths and summed as integers, so results do not depend on the order of rows.
 All steps are linear in a text's length and its number of spans: tokens are scored as arrays, overlaps are found by running
@@ -18,7 +19,7 @@ are kept; one called secret_spans (or one that starts with _secret) raises Value
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -30,12 +31,17 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ["assign", "access", "hex", "markov"]
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
-#: Tokens that train the model of ordinary identifiers, unless a base rule found them.
+#: Characters of a candidate at least. Shorter tokens train the model of ordinary identifiers, unless a base rule found them.
+LEAST = 16
 ORDINARY = r"[A-Za-z0-9+/_=-]{8,}"
 #: States: the characters from "+" to "z", of which 68 can stand in a token.
 FIRST, STATES, LETTERS = ord("+"), 80, 68
 #: Pairs' worth of weight that a second character's own probability has.
 BACKOFF = 5
+#: Alphabets of random strings, and how many strings of each train the model.
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ALPHABETS = [LOWER + UPPER + DIGITS + "+/", LOWER + UPPER + DIGITS, LOWER + UPPER, LOWER + DIGITS, UPPER + DIGITS, LOWER, UPPER, DIGITS + "abcdef"]
+STRINGS, NUMBERS = 250, 1000
 #: Rows (and values) that train the two models, about.
 TRAIN_ROWS = 20_000
 #: Thousandths of log-likelihood ratio a character pair that a random string reaches.
@@ -99,6 +105,15 @@ def ratio(token: Column, weights: list[int]) -> Column:
     return F.aggregate(steps(token), F.lit(0).cast("long"), lambda a, k: a + F.get(table, k))
 
 
+def generated(spark: SparkSession, strings: int = STRINGS, alphabets: list[str] = ALPHABETS, seed: int = 6) -> DataFrame:
+    """alphabet INT and value: so many random strings of 16 to 64 characters of each alphabet, the same in every run."""
+    rows = spark.range(strings * len(alphabets)).select((F.col("id") % len(alphabets)).cast("int").alias("alphabet"), "id")
+    letters = F.element_at(F.array(*[F.lit(a) for a in alphabets]), F.col("alphabet") + 1)
+    n = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(49)) + 16).cast("int")
+    one = lambda i: F.substring(letters, (F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), F.length(letters)) + 1).cast("int"), F.lit(1))
+    return rows.select("alphabet", F.array_join(F.transform(F.sequence(F.lit(1), n), one), "").alias("value"))
+
+
 def _share(key: Column, rows: int, total: int) -> Column:
     """Does the hash of the key lie in the share of its range that gives about so many of the total?"""
     return F.lit(True) if total <= rows else F.pmod(key, F.lit(1 << 30)) < F.lit(int((1 << 30) * rows / total))
@@ -108,11 +123,11 @@ def learn(rows: DataFrame, base: DataFrame, train_rows: int = TRAIN_ROWS) -> lis
     """The models' weights from rows(id, mark, text) and their base spans."""
     key = F.xxhash64("id", "mark")
     words = rows.filter(_share(key, train_rows, rows.count())).select("id", "mark", F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0)).alias("w")).dropDuplicates(["id", "mark"])
-    words = words.select(F.explode("w").alias("value"))
+    words = words.select(F.explode("w").alias("value")).filter(F.length("value") < LEAST)
     values = base.select(F.explode(F.regexp_extract_all("value", F.lit(ORDINARY), F.lit(0))).alias("value")).distinct()
-    ordinary = words.join(values, "value", "left_anti")
+    ordinary = words.join(values, "value", "left_anti").unionByName(generated(rows.sparkSession, NUMBERS, [DIGITS]).select("value"))
     picked = base.filter(_share(F.xxhash64("id", "mark", "start"), train_rows, base.count())).select("value")
-    return train(picked, ordinary)
+    return train(picked.unionByName(generated(rows.sparkSession).select("value")), ordinary)
 
 
 def spans_table(rows: DataFrame, train_rows: int = TRAIN_ROWS, threshold: int = THRESHOLD, weights: list[int] | None = None) -> DataFrame:
