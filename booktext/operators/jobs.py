@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -42,10 +44,11 @@ def kept_jobs(jobs: DataFrame, existing: DataFrame, force: bool = False) -> Data
 
 
 def outcomes(jobs: DataFrame, texts: DataFrame) -> DataFrame:
-    """book_id, target, kind, detail of jobs that ran: texts(book_id, title, text, error)."""
+    """book_id, target, kind, detail of jobs that ran: texts(book_id, title, error, and text or n_chars)."""
     rows = jobs.join(texts, "book_id", "left")
-    bad = F.col("error").isNotNull() | F.col("text").isNull()
-    said = F.concat(F.col("title"), F.lit(" ("), F.length("text"), F.lit(" chars)"))
+    n = F.col("n_chars") if "n_chars" in texts.columns else F.length("text")
+    bad = F.col("error").isNotNull() | n.isNull()
+    said = F.concat(F.col("title"), F.lit(" ("), n, F.lit(" chars)"))
     return rows.select(
         "book_id", "target", F.when(bad, "fail").otherwise("ok").alias("kind"), F.when(bad, F.coalesce("error", F.lit("no text"))).otherwise(said).alias("detail")
     )
@@ -60,12 +63,48 @@ def library_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(n("ok").alias("n_ok"), n("skip").alias("n_kept"), n("fail").alias("n_failed"), n("image").alias("n_image"))
 
 
+#: Bins of one round of exact_quantiles(), and values that end it.
+BINS, FEW = 1_000, 1_000
+
+
+def exact_quantiles(values: DataFrame, shares: list[float]) -> list[float | None]:
+    """The interpolated quantiles of the one numeric column of values, nulls left out: each rank's value is enclosed by histograms between the least and
+    greatest value that it may have, narrowed in rounds, so that no task ever holds more than BINS counts or FEW values."""
+    v = values.select(F.col(values.columns[0]).cast("double").alias("v")).filter("v is not null")
+
+    def ranked(rank: int, n: int) -> float:
+        low, high = v.agg(F.min("v"), F.max("v")).first()
+        while low < high and n > FEW:
+            part = v.filter(F.col("v").between(low, high))
+            bin_ = F.floor((F.col("v") - low) / (high - low) * BINS)
+            for r in part.groupBy(bin_.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("b").collect():
+                if rank < r["n"]:
+                    low, high, n = r["low"], r["high"], r["n"]
+                    break
+                rank -= r["n"]
+        if low == high:
+            return low
+        return sorted(r["v"] for r in v.filter(F.col("v").between(low, high)).collect())[rank]
+
+    n, out = v.count(), []
+    for p in shares:
+        at = p * (n - 1)
+        if not n:
+            out.append(None)
+            continue
+        a = ranked(math.floor(at), n)
+        b = a if at == math.floor(at) else ranked(math.floor(at) + 1, n)
+        out.append(a if a == b else (math.floor(at) + 1 - at) * a + (at - math.floor(at)) * b)
+    return out
+
+
 def size_report(sizes: DataFrame) -> DataFrame:
     """sizes(book_id, bytes_in, bytes_out): totals, their ratio, and the median and least ratio of a book."""
     r = F.col("bytes_out") / F.col("bytes_in")
+    (median,) = exact_quantiles(sizes.select(r), [0.5])
     return sizes.agg(
         F.sum("bytes_in").alias("total_in"), F.sum("bytes_out").alias("total_out"), (F.sum("bytes_out") / F.sum("bytes_in")).alias("ratio"),
-        F.median(r).alias("median_ratio"), F.min(r).alias("min_ratio"),
+        F.lit(median).cast("double").alias("median_ratio"), F.min(r).alias("min_ratio"),
     )
 
 

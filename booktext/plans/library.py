@@ -1,13 +1,12 @@
 """A whole library of archives to text books: one lazy plan over tables keyed by book, document and note.
 
 `library()` lists the archives, leaves out targets that are there already and books of pictures, and writes the rest; a broken
-or empty archive is an outcome and stops nothing. It needs the session's checkpoint folder: tables that several steps use are written there once, which
+or empty archive is an outcome and stops nothing. A log beside the texts says what was written from which archive. It needs the session's checkpoint folder: tables that several steps use are written there once, which
 keeps plans short and survives lost executors, and so are the job list and the outcomes, which would read otherwise once the texts are
 written. Set spark.cleaner.referenceTracking.cleanCheckpoints to have them removed."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
@@ -15,43 +14,56 @@ from booktext.functions import css as C
 from booktext.functions import text as X
 from booktext.operators import assemble, extract, jobs as J, layout, notes as N, sections as S
 from booktext.sources import archives as A
+from booktext.sources.outcomes import append_log, archive_marks, read_log
+from booktext.sources.stores import opened, registered
 
 DOC = ["book_id", "doc"]
 #: Where the sections go whose pages have no text after them.
 END = (1 << 31) - 1
 
 
-def library(spark: SparkSession, path: str, outdir: str, recurse: bool = True, force: bool = False, with_cover: bool = True, banner: str = X.BANNER) -> DataFrame:
-    """Write the text book of every archive under path into outdir; book_id, target, kind (ok, skip, fail, image) and detail of each."""
+def library(
+    spark: SparkSession, path: str, outdir: str, recurse: bool = True, force: bool = False, with_cover: bool = True, banner: str = X.BANNER, refresh: bool = False
+) -> DataFrame:
+    """Write the text book of every archive under path into outdir; book_id, target, kind (ok, skip, fail, image) and detail of each. Targets that
+    are there are kept; the detail of a kept one is "changed" where its archive has changed since, and with refresh it is written anew."""
     books = A.scan_library(spark, path, recurse)
-    targets = J.plan_targets(books, path, "").withColumn("target", F.ltrim("target", F.lit("/"))).checkpoint()
-    there = _written(spark, outdir, targets)
+    targets = J.plan_targets(books, path, "").withColumn("target", F.ltrim("target", F.lit("/"))).join(books, "book_id").checkpoint()
+    log = read_log(spark, outdir).filter("kind = 'ok'").select("target", F.col("book_id").alias("was"), F.col("n_bytes").alias("was_bytes"), F.col("changed").alias("was_changed"), F.col("mark").alias("was_mark"))
+    there = log.select("target").unionByName(_written(spark, outdir)).distinct().checkpoint()
+    # an archive of another size or time is looked at: it has changed if its central directory has
+    touched = targets.join(log, "target").filter("book_id = was and (n_bytes <> was_bytes or changed <> was_changed)")
+    changed = touched.join(archive_marks(touched), "book_id").filter(~F.col("mark").eqNullSafe(F.col("was_mark"))).select("book_id").checkpoint()
     # of books with one target the first by path is written (with force the last) and the others are kept as they are
     parts = F.split("book_id", "/")
     alone = F.row_number().over(W.partitionBy("target").orderBy(parts.desc() if force else parts)) == 1
     pending = J.pending_jobs(targets, there, force).withColumn("alone", alone).checkpoint()
-    jobs = pending.filter("alone").select("book_id", "target")
+    again = targets.join(changed.filter(F.lit(refresh and not force)), "book_id", "left_semi").checkpoint()
+    jobs = pending.filter("alone").drop("alone").unionByName(again)
     doubles = pending.filter("not alone").select("book_id", "target", F.lit("skip").alias("kind"), F.lit("").alias("detail"))
-    kept = J.kept_jobs(targets, there, force).unionByName(doubles).checkpoint()
-    entries = A.explode_archives(books.join(jobs, "book_id", "left_semi")).persist()
+    kept = J.kept_jobs(targets, there, force).join(again, "book_id", "left_anti").join(changed.withColumn("new", F.lit(True)), "book_id", "left")
+    kept = kept.select("book_id", "target", "kind", F.when(F.col("new"), "changed").otherwise("").alias("detail")).unionByName(doubles).checkpoint()
+    entries = A.explode_archives(jobs).persist()
     packages = A.read_packages(entries).checkpoint()
     docs = book_docs(packages, entries).checkpoint()
-    jobs, pictures = J.drop_picture_books(jobs, J.picture_book_verdict(docs.select("book_id", "n_bytes", "html", "pre_paginated")))
-    made = book_texts(packages.join(jobs, "book_id", "left_semi"), entries, docs.join(jobs, "book_id", "left_semi"), with_cover, banner).checkpoint()
-    done = J.outcomes(jobs, made).unionByName(pictures).unionByName(kept).checkpoint()
-    good = jobs.join(made.filter("error is null and text is not null").select("book_id", "text"), "book_id")
-    A.write_text_books(good, outdir)
+    known = jobs.join(archive_marks(jobs), "book_id").select("book_id", "n_bytes", "changed", "mark").checkpoint()
+    jobs, pictures = J.drop_picture_books(jobs.select("book_id", "target"), J.picture_book_verdict(docs.select("book_id", "n_bytes", "html", "pre_paginated")))
+    about, pieces, order = book_pieces(packages.join(jobs, "book_id", "left_semi"), entries, docs.join(jobs, "book_id", "left_semi"), with_cover, banner)
+    pieces = pieces.select("book_id", *order, F.concat("sep", "block").alias("piece")).checkpoint()
+    made = about.join(pieces.groupBy("book_id").agg((F.sum(F.length("piece")) + 1).alias("n_chars")), "book_id", "left")
+    ran = J.outcomes(jobs, made).unionByName(pictures).checkpoint()
+    good = ran.filter("kind = 'ok'").select("book_id", "target")
+    A.write_pieces(pieces.join(good, "book_id"), outdir, order)
+    append_log(ran.join(known, "book_id", "left"), outdir)
     entries.unpersist()
-    return done
+    return ran.unionByName(kept)
 
 
-def _written(spark: SparkSession, outdir: str, targets: DataFrame) -> DataFrame:
-    """The targets in outdir; none where it is not there or empty."""
-    try:
-        found = spark.read.text(outdir)
-    except AnalysisException:
-        return targets.select("target").limit(0)
-    return found.select(F.col("target").cast("string")).distinct() if "target" in found.columns else targets.select("target").limit(0)
+def _written(spark: SparkSession, outdir: str) -> DataFrame:
+    """The targets in outdir, by their names; the texts are not read."""
+    files = registered(spark).read.format("book_files").option("recurse", "true").option("suffix", ".txt").load(outdir)
+    root = opened(outdir)[1].rstrip("/")
+    return files.select(F.substring_index("book_id", f"{root}/", -1).alias("target")).filter(~F.col("target").startswith(".staged-"))
 
 
 def book_docs(packages: DataFrame, entries: DataFrame) -> DataFrame:
@@ -147,8 +159,8 @@ def _margin(side: str) -> Column:
     return F.coalesce(C.css_length(F.coalesce(get(f"margin-{side}"), C.css_side(get("margin"), side))), F.lit(0.0))
 
 
-def book_texts(packages: DataFrame, entries: DataFrame, docs: DataFrame, with_cover: bool = True, banner: str = X.BANNER) -> DataFrame:
-    """book_id, title, text, error of every book in packages."""
+def book_pieces(packages: DataFrame, entries: DataFrame, docs: DataFrame, with_cover: bool = True, banner: str = X.BANNER) -> tuple[DataFrame, DataFrame, list[str]]:
+    """book_id, title, error of every book in packages; its pieces (sep, block), a row each; and the columns that order them. No row holds a book."""
     noted, stars = with_notes(docs)
     found = extract.extract_documents(noted, scan=False).checkpoint()
     lines = styled_lines(docs, extract.table_of(found, "lines"), extract.table_of(found, "boxes"), entries).checkpoint()
@@ -194,8 +206,9 @@ def book_texts(packages: DataFrame, entries: DataFrame, docs: DataFrame, with_co
 
     metas = A.part(packages, "metas")
     cover = A.pick_cover(A.part(packages, "manifest"), metas, entries)
-    images = entries.filter("content is not null").select("book_id", X.resolve_path(F.lit(""), F.col("name")).alias("cover_path"), "content")
-    cover = cover.join(images, ["book_id", "cover_path"]).filter(F.lit(with_cover)).select("book_id", "content")
+    places = entries.filter("name is not null").select("book_id", X.resolve_path(F.lit(""), F.col("name")).alias("cover_path"), "name")
+    # of all images only the covers are read
+    cover = A.read_entries(cover.join(places, ["book_id", "cover_path"]).filter(F.lit(with_cover)).groupBy("book_id").agg(F.min("name").alias("name"))).checkpoint()
     about = packages.filter("error is null").join(A.book_series(metas), "book_id", "left").join(guessed, "book_id", "left").join(cover.select("book_id", F.lit(True).alias("has_cover")), "book_id", "left")
     head = X.header_block(
         F.col("title"), F.col("authors"), F.col("publisher"), F.col("date"), F.col("language"), F.col("series"), F.col("series_index"), F.coalesce("has_cover", F.lit(False)),
@@ -205,6 +218,6 @@ def book_texts(packages: DataFrame, entries: DataFrame, docs: DataFrame, with_co
     blocks = blocks.unionByName(about.select("book_id", F.lit(0).alias("part"), nowhere, head.alias("block")))
     blocks = blocks.unionByName(cover.select("book_id", F.lit(4).alias("part"), nowhere, X.cover_block(F.col("content")).alias("block")))
     order, by = ["part", "pos"], ["part", "pos.spine_pos"]
-    texts = assemble.assemble_books(assemble.join_blocks(blocks, order, by), order, by)
+    pieces = assemble.join_blocks(blocks, order, by)
     title = F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(J.stem(F.col("book_id")))
-    return packages.select("book_id", title.alias("title"), "error").join(texts, "book_id", "left").select("book_id", "title", "text", "error")
+    return packages.select("book_id", title.alias("title"), "error"), pieces, order

@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from booktext.functions import text as X
+from booktext.sources.stores import KINDS, batched, entry_rows, registered
 
-KINDS = r"(?i)\.(opf|ncx|x?html?|xml|css)$"
-ENTRIES = "book_id string, name string, size long, content binary, text string, error string"
+ENTRIES = "book_id string, name string, size long, content binary, raw string, error string"
 
 
 def scan_library(spark: SparkSession, path: str, recurse: bool = False) -> DataFrame:
-    """book_id, content of the book files under path; empty files, which binaryFile leaves out, are not there to fail."""
-    r = spark.read.format("binaryFile").option("pathGlobFilter", "*.[eE][pP][uU][bB]").option("recursiveFileLookup", recurse)
-    return r.load(path).select(F.regexp_replace("path", "^file:/*", "/").alias("book_id"), "content")
+    """book_id, n_bytes and changed of the book files under path, empty ones too. Nothing of them is read."""
+    return registered(spark).read.format("book_files").option("recurse", str(recurse)).load(path)
 
 
 def decode_bytes(data: bytes) -> str:
@@ -34,27 +33,51 @@ def decode_bytes(data: bytes) -> str:
 
 
 def explode_archives(books: DataFrame, keep: str = KINDS) -> DataFrame:
-    """One row an entry with its size; bytes and text only of the kinds that are read (and images, as bytes). A broken archive is one
-    row with an error."""
-    import re
+    """book_id, name, size, text, error: one row an entry of books(book_id[, content]), with the text of the kinds that are read. Other
+    entries (images, fonts) are not inflated. A broken or empty archive has a row with an error. Without content, archives are opened by
+    range; memory follows the largest entry that is read."""
+    pattern, given = re.compile(keep), "content" in books.columns
 
-    wanted, images = re.compile(keep), re.compile(r"(?i)\.(jpe?g|png|gif|webp|svg)$")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            contents = b.column("content") if given else [None] * b.num_rows
+            rows = (row for book, c in zip(b.column("book_id").to_pylist(), contents) for row in entry_rows(book, pattern, c.as_py() if c is not None else None))
+            for out in batched(rows):
+                # what is no UTF-8 is decoded here, the rest in the JVM
+                raw = [None if c is None or _is_utf8(c) else decode_bytes(c) for c in out.column("content").to_pylist()]
+                content = pa.array([None if r is not None else c for c, r in zip(out.column("content").to_pylist(), raw)], pa.binary())
+                columns = {"content": content, "raw": pa.array(raw, pa.string())}
+                yield pa.RecordBatch.from_arrays([columns.get(n, out.column(n) if n in out.schema.names else None) for n in _NAMES], _NAMES)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    found = books.select("book_id", *["content"] * given).mapInArrow(run, ENTRIES)
+    return found.select("book_id", "name", "size", F.coalesce(decode_text(F.col("content")), "raw").alias("text"), "error")
+
+
+_NAMES = ["book_id", "name", "size", "content", "raw", "error"]
+
+
+def _is_utf8(data: bytes) -> bool:
+    try:
+        data.decode()
+    except UnicodeError:
+        return False
+    return True
+
+
+def read_entries(wanted: DataFrame) -> DataFrame:
+    """book_id, name, content of the entries in wanted(book_id, name[, content of the archive]): only these are inflated."""
+    given = "content" in wanted.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for book, content in zip(b["book_id"], b["content"]):
-                rows = []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for i in z.infolist():
-                            read = bool(wanted.search(i.filename))
-                            data = z.read(i) if read or images.search(i.filename) else None
-                            rows.append((book, i.filename, i.file_size, data, decode_bytes(data) if read else None, None))
-                except Exception as e:  # noqa: BLE001 - any damage is this book's outcome, not the job's
-                    rows = [(book, None, None, None, None, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows, columns=["book_id", "name", "size", "content", "text", "error"]).astype({"size": "Int64"})
+            contents = b.column("content").to_pylist() if given else [None] * b.num_rows
+            rows = (row for book, name, c in zip(b.column("book_id").to_pylist(), b.column("name").to_pylist(), contents) for row in entry_rows(book, _NONE, c, {name}))
+            yield from batched(row for row in rows if row[3] is not None)
+
+    return wanted.select("book_id", "name", *["content"] * given).mapInArrow(run, "book_id string, name string, size long, content binary, error string").select("book_id", "name", "content")
 
-    return books.select("book_id", "content").mapInPandas(run, ENTRIES)
+
+_NONE = re.compile("(?!)")
 
 
 def decode_text(content: Column) -> Column:
@@ -259,33 +282,44 @@ def doc_stylesheets(docs: DataFrame, entries: DataFrame | None) -> DataFrame:
     return both.select("book_id", "doc", pos.alias("sheet_pos"), "css")
 
 
-def write_text_books(books: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
-    """Write books(book_id, target, text) as one UTF-8 file with a byte order mark a target; target, n_chars (without the mark).
-    Only the targets written are replaced (dynamic partition overwrite)."""
-    out = books.select("target", F.concat(F.lit("﻿"), F.regexp_replace("text", "\n$", "")).alias("value"))
-    out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("target").text(path)
+def write_pieces(pieces: DataFrame, path: str, order: list[str]) -> None:
+    """Write pieces(target, piece, ...) in order as one file a target below path. A book streams through its task, piece by piece."""
+    registered(pieces.sparkSession)
+    rows = pieces.repartition("target").sortWithinPartitions("target", *order).select("target", "piece")
+    rows.write.format("text_books").mode("append").save(path)
+
+
+def write_text_books(books: DataFrame, path: str) -> DataFrame:
+    """Write books(book_id, target, text) as one UTF-8 file with a byte order mark a target; book_id, target, n_chars (without the mark)."""
+    write_pieces(books.select("target", F.col("text").alias("piece")), path, [])
     return books.select("book_id", "target", F.length("text").alias("n_chars"))
 
 
 def read_text_books(spark: SparkSession, path: str) -> DataFrame:
-    """One row a line after the header: path, line_no, section (0 before the first fence), depth, label, kind (fence, paragraph, sub-heading,
-    blank), text; and the header as a MAP. The cover goes first, then the Contents block."""
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
-    t = F.regexp_replace(F.regexp_replace("value", "^\\x{FEFF}", ""), "\r\n?", "\n")
-    cover = r"(?s)\n--==\[ Cover \]==--\n.*$"
-    body = F.regexp_replace(t, cover, "")
-    head = F.split(F.substring_index(body, "\n\n", 1), "\n")
-    named = F.filter(head, lambda x: x.rlike("^[^:]+:"))
-    fields = F.transform(named, lambda x: F.struct(F.regexp_extract(x, "^([^:]+): ?", 1).alias("k"), F.regexp_replace(x, "^[^:]+: ?", "").alias("v")))
-    fields = fields.cast("array<struct<k:string,v:string>>")
-    rows = raw.select("path", fields.alias("header"), F.size(head).alias("n_header"), F.posexplode(F.split(body, "\n")).alias("line_no", "text"))
-    rows = rows.filter(F.col("line_no") >= F.col("n_header"))
-    is_fence = X.looks_like_fence(F.col("text"))
-    w = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    mark = F.regexp_extract("text", r"^--==(#+) (.*) #+==--$", 1)
-    label = F.regexp_extract("text", r"^--==(#+) (.*) #+==--$", 2)
-    rows = rows.withColumn("fence", is_fence).withColumn("label", F.last(F.when(F.col("fence"), label), True).over(w)).withColumn("depth", F.last(F.when(F.col("fence"), F.length(mark)), True).over(w))
-    rows = rows.filter(~F.coalesce(F.col("label").isin("Contents", "目次") & (F.col("depth") == 1), F.lit(False)))
-    kind = F.when(F.col("fence"), "fence").when(F.col("text") == "", "blank").when(F.col("text").rlike(r"^(    |\x{3000}\x{3000})"), "paragraph").otherwise("sub-heading")
-    section = F.sum(F.when(F.col("fence"), 1).otherwise(0)).over(w)
-    return rows.select("path", "header", "line_no", section.alias("section"), "depth", "label", kind.alias("kind"), "text")
+    """One row a line after the header: path, header (its fields in order), line_no, section (0 before the first fence), depth, label, kind
+    (fence, paragraph, sub-heading, blank), text. The cover goes first, then the Contents block. Files are read by line and may be split: what a
+    split leaves to the next (lines, header, fences, the cover) is carried by one row a split."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path)
+    rows = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("text"))
+    mark = r"^--==(#+) (.*) #+==--$"
+    rows = rows.withColumn("fence", F.when(X.looks_like_fence(F.col("text")), F.struct(F.regexp_extract("text", mark, 2).alias("label"), F.length(F.regexp_extract("text", mark, 1)).alias("depth"))))
+    rows = rows.withColumn("cover", (F.col("text") == "--==[ Cover ]==--").cast("int")).withColumn("empty", (F.col("text") == "").cast("int"))
+    here = W.partitionBy("path", "b").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    n = lambda c: F.sum(F.col(c)).over(here).alias(c)
+    rows = rows.withColumn("one", F.lit(1)).withColumn("fenced", F.col("fence").isNotNull().cast("int"))
+    local = rows.select("path", "b", "i", "text", n("one"), n("empty"), n("cover"), n("fenced"), F.last("fence", True).over(here).alias("fence"), F.col("fenced").alias("is_fence"))
+    sums = rows.groupBy("path", "b").agg(*[F.sum(c).alias(c) for c in ("one", "empty", "cover", "fenced")], F.max_by("fence", F.when(F.col("fence").isNotNull(), F.col("i"))).alias("fence"))
+    past = W.partitionBy("path").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select("path", "b", *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"{c}0") for c in ("one", "empty", "cover", "fenced")], F.last("fence", True).over(past).alias("fence0"))
+    total = lambda c: F.col(c) + F.col(f"{c}0")
+    rows = local.join(before, ["path", "b"]).filter(total("cover") == 0).select(
+        "path", "text", (total("one") - 1).cast("int").alias("line_no"), total("empty").alias("empty"), total("fenced").alias("section"), F.coalesce("fence", "fence0").alias("fence"), "is_fence"
+    )
+    field = F.struct(F.regexp_extract("text", "^([^:]+): ?", 1).alias("k"), F.regexp_replace("text", "^[^:]+: ?", "").alias("v"))
+    heads = rows.filter((F.col("empty") == 0) & F.col("text").rlike("^[^:]+:")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", field.alias("f")))).alias("h"))
+    heads = heads.select("path", F.transform("h", lambda x: x["f"]).alias("header"))
+    body = rows.filter("empty > 0").join(heads, "path", "left")
+    body = body.filter(~F.coalesce(F.col("fence.label").isin("Contents", "目次") & (F.col("fence.depth") == 1), F.lit(False)))
+    kind = F.when(F.col("is_fence") == 1, "fence").when(F.col("text") == "", "blank").when(F.col("text").rlike(r"^(    |\x{3000}\x{3000})"), "paragraph").otherwise("sub-heading")
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    return body.select("path", F.coalesce("header", none).alias("header"), "line_no", "section", "fence.depth", "fence.label", kind.alias("kind"), "text")

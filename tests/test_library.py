@@ -2,11 +2,13 @@
 
 import base64
 import io
+import os
 import zipfile
 
 import pytest
 
 from booktext.plans.library import library
+from booktext.sources import outcomes
 
 CONTAINER = '<container><rootfiles><rootfile full-path="O/p.opf"/></rootfiles></container>'
 HEAD = '<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata>'
@@ -108,14 +110,17 @@ def made(spark, tmp_path_factory):
     empty = io.BytesIO()
     zipfile.ZipFile(empty, "w").close()
     (books / "empty.epub").write_bytes(empty.getvalue())
+    (books / "zero.epub").write_bytes(b"")
+    (books / "cut.epub").write_bytes(archive("Cut", PAGES)[:900])
     (books / "pictures.epub").write_bytes(archive("P", {f"p{i}.xhtml": '<body><img src="c.jpg"/></body>' for i in range(4)}))
     first = library(spark, str(books), str(root / "out")).collect()
     return root, first
 
 
 def text_of(root, target: str) -> str:
-    (found,) = [p for p in (root / "out").glob("target=*") if p.name.replace("%2F", "/") == f"target={target}"]
-    return "".join(p.read_text(encoding="utf-8-sig") for p in found.glob("part-*")).rstrip("\n")
+    data = (root / "out" / target).read_bytes()
+    assert data.startswith(b"\xef\xbb\xbf") and data.endswith(b"\n") and not data.endswith(b"\n\n")
+    return data.decode("utf-8-sig").rstrip("\n")
 
 
 def test_text_is_as_the_format_says(made):
@@ -131,7 +136,7 @@ def test_outcomes(made):
     got = {r["book_id"].rpartition("/")[2]: (r["target"], r["kind"]) for r in first}
     assert got == {
         "a.EPUB": ("a.txt", "ok"), "a.epub": ("a.txt", "skip"), "plain.epub": ("sub/plain.txt", "ok"), "bad.epub": ("bad.txt", "fail"),
-        "empty.epub": ("empty.txt", "fail"), "pictures.epub": ("pictures.txt", "image"),
+        "empty.epub": ("empty.txt", "fail"), "pictures.epub": ("pictures.txt", "image"), "zero.epub": ("zero.txt", "fail"), "cut.epub": ("cut.txt", "fail"),
     }
     assert all(r["detail"] for r in first if r["kind"] in ("ok", "fail"))
 
@@ -139,4 +144,22 @@ def test_outcomes(made):
 def test_written_books_are_kept(spark, made):
     root, _ = made
     again = {r["target"]: r["kind"] for r in library(spark, str(root / "books"), str(root / "out")).collect()}
-    assert again == {"a.txt": "skip", "sub/plain.txt": "skip", "bad.txt": "fail", "empty.txt": "fail", "pictures.txt": "image"}
+    assert again == {"a.txt": "skip", "sub/plain.txt": "skip", "bad.txt": "fail", "empty.txt": "fail", "pictures.txt": "image", "zero.txt": "fail", "cut.txt": "fail"}
+    assert sorted(str(p.relative_to(root / "out")) for p in (root / "out").rglob("*.txt")) == ["a.txt", "sub/plain.txt"]
+    assert not list((root / "out").glob(".staged-*"))
+
+
+def test_changed_archives_are_found(spark, made):
+    """Another time alone is no change; another content is, and is written anew where that is asked for. The log alone says so."""
+    root, _ = made
+    run = lambda **k: {r["target"]: (r["kind"], r["detail"]) for r in library(spark, str(root / "books/sub"), str(root / "out2"), **k).collect()}
+    assert run()["plain.txt"][0] == "ok"
+    os.utime(root / "books/sub/plain.epub", (1, 1))
+    assert run()["plain.txt"] == ("skip", "")
+    (root / "books/sub/plain.epub").write_bytes(archive("", {"x.xhtml": "<p>New text.</p>"}, nav="<nav></nav>"))
+    assert run()["plain.txt"] == ("skip", "changed")
+    assert run(refresh=True)["plain.txt"][0] == "ok" and "New text." in (root / "out2/plain.txt").read_text()
+    outcomes.compact_log(spark, str(root / "out2"))
+    assert len(list((root / "out2/_outcomes").iterdir())) == 1 and outcomes.read_log(spark, str(root / "out2")).count() == 1
+    (root / "out2/plain.txt").unlink()
+    assert run()["plain.txt"] == ("skip", "")  # the log knows it still
