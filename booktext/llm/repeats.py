@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,10 @@ MOST_WINDOWS = 1_000
 BLOCK_BYTES = 250_000
 #: Rows of a key that is hot, unless a millionth of all is more.
 HOT_ROWS = 200_000
+#: Shares of the keys that are decided one after the other, so that only one share's pieces are on disk.
+SHARES = 2
 #: Text whose equal pieces a task counts as one.
-HELD_BYTES = 16_000_000
+HELD_BYTES = 8_000_000
 #: Pieces that are cut out of the text at once.
 AT_ONCE = 20_000
 
@@ -132,16 +135,17 @@ def shared_keys(docs: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
         return pa.table({"range": [table.column("range")[0].as_py()], "bitmap": [np.packbits(on).tobytes()], "hot": [k[count > hot].tobytes()]})
 
     parts = docs.select("text").mapInArrow(run, "range long, keys binary, counts binary")
-    found = parts.groupBy("range").applyInArrow(join, "range long, bitmap binary, hot binary")
+    found = materialize(parts.groupBy("range").applyInArrow(join, "range long, bitmap binary, hot binary"), "ranges")
     out, often = np.zeros((1 << BITMAP_BITS) // 8, np.uint8), [np.zeros(0, np.uint64)]
     size = len(out) >> bits
     for r in found.toLocalIterator():  # 2**BITMAP_BITS bits, and a million keys, at most
         out[r["range"] * size : (r["range"] + 1) * size] = np.frombuffer(r["bitmap"], np.uint8)
         often.append(np.frombuffer(r["hot"], np.uint64))
+    dropped(found)
     return out, np.sort(np.concatenate(often))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, hot: np.ndarray, least: int) -> Iterator[tuple]:
+def _pieces(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, hot: np.ndarray, least: int, share: int | None = None) -> Iterator[tuple]:
     """Rows, data, and of each piece whose key is in the bitmap: its text's number, first place in the data and in the text, size,
     key, and mark (a hash of its bytes). A window of a hot key is a piece by itself, whose key is its mark."""
     for b in batches:
@@ -149,6 +153,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, hot: np.ndarr
             data, offsets, text, start, n, key = runs(part.column("text"), least)
             slot = key >> np.uint64(64 - BITMAP_BITS)
             hit = bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            if share is not None:
+                hit &= key % np.uint64(SHARES) == share
             text, start, n, key = text[hit], start[hit], n[hit], key[hit]
             if not len(text):
                 continue
@@ -173,9 +179,9 @@ def _cut_out(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(whole)])
 
 
-def contents(docs: DataFrame, shared, least: int) -> DataFrame:
-    """key, mark, low, high (the least and greatest doc_id that has it) and s BINARY of the pieces of docs(doc_id, text), equal pieces of a
-    task's HELD_BYTES as one row."""
+def contents(docs: DataFrame, shared, least: int, share: int | None = None) -> DataFrame:
+    """key, mark, low, high (the least and greatest doc_id that has it) and s BINARY of the pieces of docs(doc_id, text) in one share of
+    the keys (None: all), equal pieces of a task's HELD_BYTES as one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -193,7 +199,7 @@ def contents(docs: DataFrame, shared, least: int) -> DataFrame:
                 part = slice(i, i + AT_ONCE)
                 yield pa.RecordBatch.from_arrays([*(pa.array(x[part]) for x in (k, m, low, high)), _cut_out(data, start[part], size[part])], ["key", "mark", "low", "high", "s"])
 
-        for part, data, text, start, _, size, key, mark in _pieces(batches, *shared.value, least):
+        for part, data, text, start, _, size, key, mark in _pieces(batches, *shared.value, least, share):
             held.append((data, key, mark, part.column("doc_id").to_numpy()[text], start, size))
             n += len(data)
             if n >= HELD_BYTES:
@@ -349,14 +355,15 @@ def cut(docs: DataFrame, least: int = LEAST) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", text).alias("row"), text.alias("text"))
     known = docs.filter("doc_id is not null")
     shared = docs.sparkSession.sparkContext.broadcast(shared_keys(known, least))  # 40 MB at most
-    said = materialize(verdicts(contents(known, shared, least), least), "verdicts")
+    shares = [materialize(verdicts(contents(known, shared, least, i), least), "verdicts") for i in range(SHARES)]
+    said = reduce(DataFrame.unionByName, shares)
     gone = places(known, shared, least).join(said, ["key", "mark"]).filter("doc_id > least_id")
     gone = gone.select("row", F.struct((F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + (least - 1)).alias("end")).alias("x"))
     spans = materialize(gone.groupBy("row").agg(F.collect_list("x").alias("spans")), "spans")
-    dropped(said)
+    dropped(*shares)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             n, spans, kept = [], [], []
             for text, gone in zip(b.column("text").to_pylist(), b.column("spans")):
                 raw = text.encode("utf-8", "surrogatepass")

@@ -9,11 +9,11 @@ from booktext.functions import css as C
 from booktext.functions import text as X
 from booktext.operators import assemble, extract, jobs, layout, notes
 from booktext.operators import sections as S
+from booktext.plans import archive_queries  # noqa: F401 - registers its queries
 from booktext.plans import convert
 from booktext.plans import fixtures as T
+from booktext.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 WS = X.WS
 
 
@@ -26,16 +26,6 @@ def _c(x: str) -> str:
     return f"regexp_replace(regexp_replace({inner}, '^{WS}+', ''), '{WS}+$', '')"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 BLOCK_TAGS = "|".join(sorted(extract.BLOCKS)) + "|br"
 PAGE_LINES = rf"""a as (select page_id, regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head>|<script\b.*?</script>|<style\b.*?</style>','','g'),'(?s)<!--.*?-->','','g') h from pages),
  b as (select page_id, unnest(s) t, generate_subscripts(s,1) n0 from (select page_id, string_split(regexp_replace(regexp_replace(h, '(?i)</?(?:{BLOCK_TAGS})\b[^>]*>',chr(1),'g'),'<[^>]*>','','g'),chr(1)) s from a)),
