@@ -175,10 +175,22 @@ def language_words(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", X.note_word(lang).alias("note"), X.caption_word(lang).alias("caption"), X.contents_word(lang).alias("contents"))
 
 
-@query(f"with {T.SD}, {T.SLINKS} select book_id, link_pos, regexp_matches(text, '^[0-9^*\\[\\]注]+$') and text <> '^' as marker, case when text = '^' then 'Note[^]' else 'Note[' || regexp_replace(text, '^注|^\\[|\\]$', '', 'g') || ']' end as label from slinks where text in ('^') or regexp_matches(text, '^[0-9\\[\\]注]+$')")
+def _core(x: str, rounds: int) -> str:
+    """marker_core() in SQL, for texts with at most so many words and brackets in front."""
+    solid, gap = "[^" + WS[1:], f"{WS}*"
+    x = f"regexp_replace(regexp_replace({x}, '^{gap}', ''), '{gap}$', '')"
+    for _ in range(rounds):
+        x = f"regexp_replace({x}, '(?s)^(?:註|注|주|Note|note){gap}({solid}.*)$', '\\1')"
+        for a, b in X.BRACKETS:
+            esc = "\\" if a in "[(<" else ""
+            x = f"regexp_replace({x}, '(?s)^{esc}{a}{gap}({solid}.*?){gap}{esc}{b}$', '\\1')"
+    return x
+
+
+@query(f"with {T.SD}, {T.SLINKS}, c as (select book_id, link_pos, {_core('text', 3)} as c from slinks) select book_id, link_pos, regexp_matches(c, '{X.MARKER}') as marker, 'Note[' || c || ']' as label from c")
 def note_markers(spark: SparkSession, sf: str) -> DataFrame:
-    """P9-P11 on numbers, bracketed numbers and prefixed numbers."""
-    rows = T.links(spark, sf).filter(F.col("text").rlike("^[0-9\\[\\]注]+$") | (F.col("text") == "^"))
+    """P9-P11 on numbers, bracketed numbers, prefixed numbers and the first characters of texts."""
+    rows = T.links(spark, sf)
     return rows.select("book_id", "link_pos", X.is_marker(F.col("text")).alias("marker"), X.note_label(F.lit("Note"), F.col("text")).alias("label"))
 
 
@@ -193,12 +205,12 @@ def toc_fences(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""with {T.SD} select doc_id, 'RTB-1' || chr(10) || 'Title: ' || case when doc_id % 3 = 0 then 'stem' || doc else 'T' || doc end || chr(10) || 'Author: a' || doc || chr(10) || 'Author: b'
- || case when doc_id % 2 = 0 then chr(10) || 'Publisher: ' || book_id else '' end || case when doc_id % 5 = 0 then chr(10) || 'Date: 1999' else '' end || chr(10) || 'Language: ' || language || chr(10) || 'Cover: ' || case when doc_id % 4 = 0 then 'True' else 'False' end as header
- from sd where language <> ''"""
+ || case when doc_id % 2 = 0 then chr(10) || 'Publisher: ' || book_id else '' end || case when doc_id % 5 = 0 then chr(10) || 'Date: 1999' else '' end || case when coalesce(language, '') <> '' then chr(10) || 'Language: ' || language else '' end || chr(10) || 'Cover: ' || case when doc_id % 4 = 0 then 'True' else 'False' end as header
+ from sd"""
 )
 def headers(spark: SparkSession, sf: str) -> DataFrame:
     """P22."""
-    d = T.documents(spark, sf).filter("language <> ''")
+    d = T.documents(spark, sf)
     n = F.col("doc_id")
     none = F.lit(None).cast("string")
     h = X.header_block(
@@ -486,14 +498,15 @@ def collapse_rules(spark: SparkSession, sf: str) -> DataFrame:
     return layout.collapse_rules(rows).drop("sub")
 
 
-_JOBS = """jb as (select '/lib/' || source || '/' || (doc_id % 300) || '/b' || (doc_id % 40) || '.epub' as book_id, doc_id from documents), j as (select book_id, min(doc_id) d from jb group by all)"""
+_JOBS = """j as (select '/lib/' || coalesce(source, 'none') || '/' || (doc_id % 3) || '/b' || (doc_id // 3) || '.epub' as book_id, min(doc_id) as d, min(length(text)) as n_chars from documents group by 1)"""
 
 
 def _jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """A book of each document: three by three they have one stem."""
     d = spark.read.parquet(f"{sf}/documents.parquet")
     s = lambda c: c.cast("string")
-    path = F.concat(F.lit("/lib/"), "source", F.lit("/"), s(F.col("doc_id") % 300), F.lit("/b"), s(F.col("doc_id") % 40), F.lit(".epub"))
-    return d.groupBy(path.alias("book_id")).agg(F.min("doc_id").alias("d"))
+    path = F.concat(F.lit("/lib/"), F.coalesce("source", F.lit("none")), F.lit("/"), s(F.col("doc_id") % 3), F.lit("/b"), s(F.expr("doc_id div 3")), F.lit(".epub"))
+    return d.groupBy(path.alias("book_id")).agg(F.min("doc_id").alias("d"), F.min(F.length("text")).alias("n_chars"))
 
 
 @query(f"""with {_JOBS}, t as (select book_id, '/out/' || regexp_extract(book_id, '([^/]*)\\.epub$', 1) || '.txt' as flat, '/out/' || substr(replace(book_id, '.epub', '.txt'), 6) as mirrored, replace(book_id, '.epub', '.txt') as beside from j),
@@ -507,8 +520,8 @@ def plan_targets(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(m, "book_id").join(f, "book_id", "left")
 
 
-_OUT = f"""with {_JOBS}, w as (select book_id, replace(book_id, '.epub', '.txt') as target, d from j), oc as (select book_id, target, case when d % 3 = 0 then 'skip' when d % 10 = 1 then 'fail' else 'ok' end as kind,
- case when d % 3 = 0 then '' when d % 10 = 1 then 'bad zip' else 'B' || d || ' (' || length('text' || d) || ' chars)' end as detail from w)"""
+_OUT = f"""with {_JOBS}, w as (select book_id, replace(book_id, '.epub', '.txt') as target, d, n_chars from j), oc as (select book_id, target, case when d % 3 = 0 then 'skip' when d % 10 = 1 or n_chars is null then 'fail' else 'ok' end as kind,
+ case when d % 3 = 0 then '' when d % 10 = 1 then 'bad zip' when n_chars is null then 'no text' else 'B' || d || ' (' || n_chars || ' chars)' end as detail from w)"""
 
 
 @query(f"{_OUT} select * from oc")
@@ -519,7 +532,7 @@ def job_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     there = work.join(b, "book_id").filter("d % 3 = 0").select("target")
     none = F.lit(None).cast("string")
     bad = F.col("d") % 10 == 1
-    texts = b.select("book_id", F.concat(F.lit("B"), F.col("d").cast("string")).alias("title"), F.when(~bad, F.concat(F.lit("text"), F.col("d").cast("string"))).alias("text"), F.when(bad, "bad zip").otherwise(none).alias("error"))
+    texts = b.select("book_id", F.concat(F.lit("B"), F.col("d").cast("string")).alias("title"), "n_chars", F.when(bad, "bad zip").otherwise(none).alias("error"))
     done = jobs.outcomes(jobs.pending_jobs(work, there), texts)
     return done.unionByName(jobs.kept_jobs(work, there))
 
@@ -545,11 +558,11 @@ def size_report(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.size_report(sizes)
 
 
-@query(r"""select doc_id, sha256('--==[ Cover ]==--' || chr(10) || rtrim(regexp_replace(base64(encode(text)), '(.{76})', '\1' || chr(10), 'g'), chr(10)) || chr(10) || '--==[ /Cover ]==--') as cover from documents where text <> ''""")
+@query(r"""select doc_id, sha256('--==[ Cover ]==--' || chr(10) || rtrim(regexp_replace(base64(encode(coalesce(text, ''))), '(.{76})', '\1' || chr(10), 'g'), chr(10)) || chr(10) || '--==[ /Cover ]==--') as cover from documents""")
 def cover_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """S15."""
-    d = spark.read.parquet(f"{sf}/documents.parquet").filter("text <> ''")
-    return d.select("doc_id", F.sha2(X.cover_block(F.encode("text", "UTF-8")), 256).alias("cover"))
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    return d.select("doc_id", F.sha2(X.cover_block(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), 256).alias("cover"))
 
 
 @query(f"with {T.SD}, {T.SL}, {T.SLINES} select doc_id, cast(line_idx as int) as line_idx, text from slines where line_idx < 8")
