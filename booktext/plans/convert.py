@@ -12,9 +12,9 @@ from booktext.operators import assemble, extract
 def text_books(docs: DataFrame) -> DataFrame:
     """docs(book_id, spine_pos, doc, language, html) to book_id, text, n_lines: every paragraph indented for its language,
     documents in reading order."""
-    found = extract.extract_documents(docs.select("book_id", "doc", "html"), scan=False, tables=("lines",))
-    lines = extract.table_of(found, "lines").select("book_id", "doc", "line_idx", "text", "blanks")
-    rows = lines.join(docs.select("book_id", "doc", "spine_pos", "language"), ["book_id", "doc"])
+    carry = ("spine_pos", "language")
+    found = extract.extract_documents(docs, scan=False, tables=("lines",), carry=carry)
+    rows = extract.table_of(found, "lines", carry).select("book_id", "doc", *carry, "line_idx", "text", "blanks")
     block = X.body_line(F.col("text"), X.indent(F.col("language")))
     blank = F.array_repeat(F.struct(F.lit(0).alias("sub"), F.lit("").alias("block")), F.col("blanks"))
     items = F.concat(blank, F.array(F.struct(F.lit(1).alias("sub"), block.alias("block"))))

@@ -49,8 +49,8 @@ def page_lines(spark: SparkSession, sf: str) -> DataFrame:
 def text_book_digests(spark: SparkSession, sf: str) -> DataFrame:
     """One text a host. Without the blanks that empty elements leave, which SQL cannot see."""
     docs = T.pages(spark, sf)
-    found = extract.extract_documents(docs.select("book_id", "doc", "html"), scan=False, tables=("lines",))
-    rows = extract.table_of(found, "lines").join(docs.select("book_id", "doc", "spine_pos", "language"), ["book_id", "doc"])
+    carry = ("spine_pos", "language")
+    rows = extract.table_of(extract.extract_documents(docs, scan=False, tables=("lines",), carry=carry), "lines", carry)
     blocks = rows.select("book_id", "spine_pos", "line_idx", X.body_line(F.col("text"), X.indent(F.col("language"))).alias("block"))
     order = ["spine_pos", "line_idx"]
     # a first paragraph counts as structural in the format; here the separator is one line feed throughout
