@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     (tests), and a cluster an error, since no machine-local folder is shared."""
     found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -76,6 +78,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shielded(docs: DataFrame, own: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(docs) whose other columns than own have names of their own inside, so that none can clash with what work uses. They come back
+    under their names, in their order, before what work adds; one that has the name of an added column gives way to it."""
+    others = [c for c in docs.columns if c not in own]
+    given = docs.select(*[F.col(f"`{c}`") for c in own], *[F.col(f"`{c}`").alias(f"_given{i}") for i, c in enumerate(others)])
+    out = work(given)
+    added = [c for c in out.columns if c not in own and not c.startswith("_given")]
+    names = {c: c for c in own if c in out.columns} | {c: f"_given{i}" for i, c in enumerate(others) if c not in added}
+    return out.select(*[F.col(names[c]).alias(c) for c in docs.columns if c in names], *added)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Remove the files of materialised tables that nothing reads any more."""
     for df in tables:

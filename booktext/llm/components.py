@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         before, e = e, materialize(small.filter("u <> v").distinct(), name)
         dropped(before)
-        row = e.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("s")).first()
+        row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if seen == (row["n"], row["s"]):
             return e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(
                 e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

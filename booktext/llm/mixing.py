@@ -8,7 +8,8 @@ shuffle order (or of the finish time), the buckets' sums are accumulated, and on
 inside a bucket is a window. So a source with a third of all rows is spread over its buckets.
 
 Nulls: a null text or size counts 0; a null source is a source of its own, sorted last. Documents of
-size 0 are never taken. Equal ids are ordered by the digest of the text, equal rows share one place.
+size 0 are never taken. Equal ids are ordered by the digest of the text, equal rows share one place. Empty tables give empty
+results. Other columns are kept, whatever their names; one called as a column that is added gives way to it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, shielded
 
 #: Rows that a bucket of the shuffle order or of the finish time should hold.
 BUCKET_ROWS = 20_000
@@ -60,7 +61,11 @@ def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float =
     """docs(doc_id, text, source, ...) with size, source_size, target, taken and epochs of each row.
 
     taken is size times the epochs in which the document comes before the cut."""
-    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "epochs")]
+    return shielded(docs, ["doc_id", "text", "source"], lambda d: _mixed(d, weights, share, most, seed))
+
+
+def _mixed(docs: DataFrame, weights: list[float], share: float, most: float, seed: str) -> DataFrame:
+    keep = docs.columns
     order_key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     rows = materialize(
         docs.select(

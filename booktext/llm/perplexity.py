@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, mix, shingles, slices, utf8
+from .common import Words, materialize, mix, shielded, shingles, slices, utf8
 
 ORDER = 5
 #: Ten-thousandths of a bit.
@@ -383,6 +383,11 @@ def score_held_out(docs: DataFrame, folds: int = FOLDS, **options) -> DataFrame:
 
 
 def judge(docs: DataFrame, **options) -> DataFrame:
-    """docs(doc_id, text, lang, ...) without text, with STATS, score, low, high, in_band, base_failed and kept."""
-    rows = banded(score_held_out(docs, **options)).withColumn("base_failed", base_failed())
-    return rows.withColumn("kept", ~F.col("base_failed") & F.col("in_band"))
+    """docs(doc_id, text, lang, ...) without text, with STATS, score, low, high, in_band, base_failed and kept. An empty table gives an empty
+    result; other columns are kept, whatever their names, and one called as a column that is added gives way to it."""
+
+    def work(d: DataFrame) -> DataFrame:
+        rows = banded(score_held_out(d, **options)).withColumn("base_failed", base_failed())
+        return rows.withColumn("kept", ~F.col("base_failed") & F.col("in_band"))
+
+    return shielded(docs, ["text", "lang"], work)

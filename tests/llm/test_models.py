@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from booktext.llm import fingerprint_queries, fingerprints, pii, secrets
+from booktext.llm import fingerprint_queries, fingerprints, mixing, perplexity, pii, secrets
 
 TABLES = ["/root/testdata/sf0.01", "/root/testdata/sf0.1"]
 
@@ -118,3 +118,23 @@ def test_repeated_rows_have_their_own_edited_text(spark, tmp_path):
     prints = {t: f"{f & (2**64 - 1):016x}" for t, f in fingerprints.simhash(spark.createDataFrame([(t,) for _, t in want], "text string").distinct(), ["text"]).collect()}
     assert sorted((str(r["doc_id"]), r["edited_fingerprint"]) for r in got) == sorted((str(d), prints[t]) for d, t in want)
     assert len({r["edited_fingerprint"] for r in got if r["doc_id"] == 5}) == 2
+
+
+def test_clashing_columns_of_quality_rules_and_mixing(spark):
+    """Any names of the caller do no harm; those of added columns give way."""
+    texts = [(i, f"word{i} " + "some more words of a text that is long enough " * 3, "en", "ab"[i % 2]) for i in range(8)]
+    plain = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string")
+    given = plain
+    for c in ("n_words", "_fold", "_lang", "_l", "_key", "gram", "_o", "_t", "_b", "_e", "size", "epochs", "_s", "own", "dotted.name", "_given0"):
+        given = given.withColumn(c, F.lit("x"))
+    judged, alone = perplexity.judge(given), perplexity.judge(plain)
+    assert len(set(judged.columns)) == len(judged.columns) and {"gram", "_fold", "dotted.name"} <= set(judged.columns)
+    key = lambda rows: sorted((r["doc_id"], r["n_words"], r["kept"], r["score"]) for r in rows)
+    got = judged.collect()
+    assert key(got) == key(alone.collect()) and {r["gram"] for r in got} == {"x"}
+    mixed = mixing.mix(given)
+    got = mixed.collect()
+    want = {r["doc_id"]: (r["size"], r["taken"], r["epochs"]) for r in mixing.mix(plain).collect()}
+    assert {r["doc_id"]: (r["size"], r["taken"], r["epochs"]) for r in got} == want and {r["_o"] for r in got} == {"x"}
+    for work in (perplexity.judge, mixing.mix):
+        assert work(given.limit(0)).count() == 0
