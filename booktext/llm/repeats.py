@@ -60,8 +60,12 @@ def keys(data: np.ndarray, least: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     data = np.ascontiguousarray(data)
     eight = np.ndarray((len(data) - 7,), "<u8", data.data, strides=(1,)).astype(np.uint64)
-    h = eight[:-8] * np.uint64(0x9E3779B97F4A7C15) + eight[8:] * np.uint64(0xD6E8FEB86659FD93)
-    h = mix(h)
+    h = eight[:-8] * np.uint64(0x9E3779B97F4A7C15)
+    eight *= np.uint64(0xD6E8FEB86659FD93)
+    h += eight[8:]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
     size, done = least - GRAM + 1, 1
     while 2 * done <= size:
         h = np.minimum(h[:-done], h[done:])
@@ -73,9 +77,9 @@ def runs(texts: pa.Array, least: int) -> tuple[np.ndarray, ...]:
     """Data, offsets, and of each piece: its text's number, first place, number of windows, and key."""
     data, offsets = utf8(texts)
     key = keys(data, least)
-    sizes = np.diff(offsets)
-    ends = np.repeat(offsets[1:], sizes)[: len(key)]
-    whole = ends - np.arange(len(key)) >= least
+    whole = np.ones(len(key), bool)  # windows that end in the text they begin in
+    for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        whole[max(begin, end - least + 1) : end] = False
     new = whole.copy()
     new[1:] &= ~whole[:-1] | (key[1:] != key[:-1])
     last = whole.copy()
@@ -223,20 +227,40 @@ def places(docs: DataFrame, shared, least: int) -> DataFrame:
 
 
 def suffix_order(text: np.ndarray, least: int) -> np.ndarray:
-    """Places of a circular text of symbols in the order of their suffixes' first `least` symbols (or more)."""
+    """Places of a circular text of symbols (uint8) in the order of their suffixes' first `least` symbols (or more).
+
+    Ranks are doubled: a suffix's rank and that of the suffix `done` places on make its next rank. Up to 2**21 places, two ranks and
+    a place fit one number, so that plain sorting gives the order."""
     n = len(text)
-    key, done = np.zeros(n, np.int64), 7
-    for i in range(done):  # nine bits a symbol
-        key = key << 9 | np.roll(text, -i)
+    place, width = max(1, (n - 1).bit_length()), max(1, int(text.max()).bit_length())
+    packed = 3 * place <= 63
+    done = (63 - place * packed) // width
+    key = np.zeros(n, np.int64)
+    for i in range(done):
+        key <<= width
+        key |= np.roll(text, -i)
     while True:
-        order = np.argsort(key)
-        sorted_ = key[order]
-        new = np.r_[False, sorted_[1:] != sorted_[:-1]]
+        if packed:
+            key <<= place
+            key |= np.arange(n)
+            key.sort()
+            order = key & ((1 << place) - 1)
+            key >>= place
+        else:
+            order = np.argsort(key)
+            key = key[order]
+        new = np.zeros(n, bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:])
         if done >= least or new.sum() == n - 1:
             return order
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        key, done = rank * n + np.roll(rank, -done), 2 * done
+        rank = np.empty(n, np.int32 if packed else np.int64)
+        rank[order] = np.cumsum(new, dtype=rank.dtype)
+        if packed:
+            key = rank.astype(np.int64) << place
+            key |= np.roll(rank, -done)
+        else:
+            key = rank * n + np.roll(rank, -done)
+        done *= 2
 
 
 def borders(bwt: np.ndarray, least: int) -> np.ndarray:
@@ -273,17 +297,16 @@ def least_ids(pieces: list[bytes], ids: np.ndarray, least: int) -> tuple[np.ndar
     """Of each window: its piece's number, its place there, and the least id of all pieces that hold the same window."""
     size = np.array([len(p) for p in pieces])
     first = np.r_[0, np.cumsum(size + 1)]
-    text = np.zeros(first[-1], np.int64)  # 0 is the end mark
     flat = np.frombuffer(b"".join(pieces), np.uint8)
-    of = np.repeat(np.arange(len(size)), size)
-    text[np.arange(len(flat)) + of] = flat.astype(np.int64) + 1
+    present = np.flatnonzero(np.bincount(flat, minlength=256))
+    if len(present) > 255:
+        raise ValueError("256 different bytes: not UTF-8")
+    small = np.zeros(256, np.uint8)
+    small[present] = np.arange(1, len(present) + 1)
+    text = np.zeros(first[-1], np.uint8)  # 0 is the end mark
+    text[np.arange(len(flat)) + np.repeat(np.arange(len(size)), size)] = small[flat]
     order = suffix_order(text, least)
-    present = np.flatnonzero(np.bincount(text, minlength=257))
-    if len(present) > 256:
-        raise ValueError("more than 255 different bytes: not UTF-8")
-    small = np.zeros(257, np.uint8)
-    small[present] = np.arange(len(present))
-    begin = borders(small[text[order - 1]], least)[:-1]
+    begin = borders(text[order - 1], least)[:-1]
     piece = np.repeat(np.arange(len(size)), size + 1)
     window = np.arange(len(text)) - first[piece] <= size[piece] - least
     value = np.where(window[order], ids[piece[order]], np.iinfo(np.int64).max)

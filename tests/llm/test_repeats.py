@@ -57,16 +57,27 @@ def test_table_of_the_driver(spark):
     assert sorted((tuple(r) for r in queries.op13_repeats(spark, sf).collect()), key=str) == brute(rows)
 
 
+def test_suffixes_of_long_texts(monkeypatch):
+    """Texts whose ranks do not fit one number are sorted in the other way, with the same order of prefixes."""
+    rng = np.random.default_rng(5)
+    text = np.r_[np.tile(rng.integers(1, 200, 700_000), 3), 0].astype(np.uint8)
+    assert len(text) > 1 << 21
+    order = repeats.suffix_order(text, 50)
+    twice = np.r_[text, text[:60]].tobytes()
+    at = np.r_[np.arange(0, len(order) - 1, 997), np.arange(3000)]
+    assert all(twice[order[i] : order[i] + 50] <= twice[order[i + 1] : order[i + 1] + 50] for i in at) and len(np.unique(order)) == len(text)
+
+
 def test_borders_are_where_common_prefixes_are_short():
     rng = np.random.default_rng(2)
     for n, letters, least in ((40, 2, 5), (200, 3, 8), (500, 4, 6), (300, 1, 9)):
-        text = np.r_[rng.integers(1, letters + 1, n), 0]
+        text = np.r_[rng.integers(1, letters + 1, n), 0].astype(np.uint8)
         order = repeats.suffix_order(text, least)
         twice = np.r_[text, text, text]
         prefix = [tuple(twice[i : i + least]) for i in order]
         assert prefix == sorted(prefix)
         want = [True] + [a != b for a, b in zip(prefix, prefix[1:])] + [True]
-        assert repeats.borders(text[order - 1].astype(np.uint8), least).tolist() == want
+        assert repeats.borders(text[order - 1], least).tolist() == want
 
 
 def test_equal_windows_have_equal_keys():
