@@ -306,3 +306,51 @@ def run_styles(spark: SparkSession, sf: str) -> DataFrame:
     elements = docs.select("book_id", "doc", F.explode(asked).alias("classes"))
     rows = extract.run_style(elements, extract.css_rules(docs))
     return rows.select("book_id", "doc", F.array_join("classes", " ").alias("classes"), "size", "indented", "heavier", "centred", "underlined")
+
+
+def _shaped_archive(rows: pd.DataFrame) -> bytes:
+    """A book of shaped() documents without pictures, with a nav entry for each."""
+    rows = rows.sort_values("spine_pos")
+    book = rows["book_id"].iloc[0]
+    items = "".join(f'<item id="i{n}" href="{d}" media-type="application/xhtml+xml"/>' for n, d in zip(rows["spine_pos"], rows["doc"]))
+    refs = "".join(f'<itemref idref="i{n}"/>' for n in rows["spine_pos"])
+    entries = "".join(f'<li><a href="{d}">{t}</a></li>' for d, t in zip(rows["doc"], rows["label"]))
+    opf = (
+        f'<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>{book}</dc:title><dc:creator>A. One</dc:creator><dc:language>en</dc:language></metadata>'
+        f'<manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>{items}</manifest><spine>{refs}</spine></package>'
+    )
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("META-INF/container.xml", CONTAINER)
+        z.writestr("O/p.opf", opf)
+        z.writestr("O/nav.xhtml", f'<nav epub:type="toc"><ol>{entries}</ol></nav>')
+        for d, html in zip(rows["doc"], rows["html"]):
+            z.writestr(f"O/{d}", html)
+    return out.getvalue()
+
+
+@query(
+    f"""with {SHAPED}, d as (select st.book_id, page_id, any_value(label) as label, string_agg(case line_idx when 1 then '' when 3 then chr(10) || chr(10) else chr(10) end || '    ' || text, '' order by line_idx) as body from st where line_idx > 0 group by st.book_id, page_id),
+ b as (select book_id, 'RTB-1' || chr(10) || 'Title: ' || book_id || chr(10) || 'Author: A. One' || chr(10) || 'Language: en' || chr(10) || 'Cover: False' || chr(10) || chr(10) || '--==# Contents #==--' || chr(10) || string_agg(label, chr(10) order by page_id)
+  || string_agg(chr(10) || chr(10) || '--==# ' || label || ' #==--' || chr(10) || chr(10) || body, '' order by page_id) || chr(10) as text from d group by book_id)
+ select replace(book_id, '/', '_') || '.txt' as target, 'ok' as kind, book_id || ' (' || length(text) || ' chars)' as detail, sha256(text) as text_sha256 from b"""
+)
+def library_books(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole job: archives of documents with notes, addresses and headings, converted and read again as whole files."""
+    folder = f"{shared_folder(spark)}/shelf-{uuid.uuid4().hex}"
+    html = F.regexp_replace("html", "<img[^>]*>", "")
+    docs = shaped(spark, sf).withColumn("html", html).withColumn("label", F.regexp_extract("html", "<h2[^>]*>([^<]*)</h2>", 1))
+
+    def save(rows: pd.DataFrame) -> pd.DataFrame:
+        store, root = opened(f"{folder}/in")
+        store.create_dir(root, recursive=True)
+        name = rows["book_id"].iloc[0].replace("/", "_") + ".epub"
+        with store.open_output_stream(f"{root}/{name}") as f:
+            f.write(_shaped_archive(rows))
+        return pd.DataFrame({"file": [name]})
+
+    docs.groupBy("book_id").applyInPandas(save, "file string").write.format("noop").mode("overwrite").save()
+    done = LB.library(spark, f"{folder}/in", f"{folder}/out")
+    texts = spark.read.text(f"{folder}/out", wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
+    texts = texts.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]*)$", 1).alias("target"), F.sha2(F.regexp_replace("value", "^\\x{FEFF}", ""), 256).alias("text_sha256"))
+    return done.select("target", "kind", "detail").join(texts, "target", "left")

@@ -28,7 +28,8 @@ def library(
     """Write the text book of every archive under path into outdir; book_id, target, kind (ok, skip, fail, image) and detail of each. Targets that
     are there are kept; the detail of a kept one is "changed" where its archive has changed since, and with refresh it is written anew."""
     books = A.scan_library(spark, path, recurse)
-    targets = J.plan_targets(books, path, "").withColumn("target", F.ltrim("target", F.lit("/"))).join(books, "book_id").checkpoint()
+    root = opened(path)[1] if path.startswith("file:") else path  # as the addresses of local books begin
+    targets = J.plan_targets(books, root, "").withColumn("target", F.ltrim("target", F.lit("/"))).join(books, "book_id").checkpoint()
     log = read_log(spark, outdir).filter("kind = 'ok'").select("target", F.col("book_id").alias("was"), F.col("n_bytes").alias("was_bytes"), F.col("changed").alias("was_changed"), F.col("mark").alias("was_mark"))
     there = log.select("target").unionByName(_written(spark, outdir)).distinct().checkpoint()
     # an archive of another size or time is looked at: it has changed if its central directory has

@@ -113,7 +113,7 @@ def made(spark, tmp_path_factory):
     (books / "zero.epub").write_bytes(b"")
     (books / "cut.epub").write_bytes(archive("Cut", PAGES)[:900])
     (books / "pictures.epub").write_bytes(archive("P", {f"p{i}.xhtml": '<body><img src="c.jpg"/></body>' for i in range(4)}))
-    first = library(spark, str(books), str(root / "out")).collect()
+    first = library(spark, f"file://{books}", str(root / "out")).collect()
     return root, first
 
 
