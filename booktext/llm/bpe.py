@@ -17,7 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -26,12 +26,41 @@ from pyspark.sql import types as T
 #: Entries that each of a worker's two token caches holds before it is emptied (about 200 bytes each).
 CACHE = 100_000
 #: Bytes of distinct pieces and their ids that a worker keeps; a piece longer than PIECE_BYTES is not kept.
-PIECES_BYTES = 24_000_000
+PIECES_BYTES = 48_000_000
 PIECE_BYTES = 256
+#: The longest bytes whose ids are kept as parts of pieces.
+SPAN_BYTES = 8
+#: The rank of a pair that is no token.
+NONE = 1 << 60
 #: Byte strings that a node of the decoding tree concatenates.
 FAN = 64
 
 
+class Pieces(dict):
+    """piece -> its ids in decimal, joined by commas; made when first asked for. A long piece is made but not kept. Those in use
+    before turn() are taken over when asked for again, the others go at the turn after it."""
+
+    def __init__(self, made: Callable[[bytes], tuple[int, ...]]) -> None:
+        self.made, self.held, self.old = made, 0, {}
+
+    def __missing__(self, piece: str) -> str:
+        found = self.old.get(piece)
+        if found is None:
+            found = ",".join(map(str, self.made(piece.encode())))
+        if len(piece) <= PIECE_BYTES:
+            self[piece] = found
+            self.held += 220 + len(piece) + len(found)
+        return found
+
+    def turn(self) -> None:
+        self.old, self.held = dict(self), 0
+        super().clear()
+
+    def clear(self) -> None:
+        self.old, self.held = {}, 0
+        super().clear()
+
+
 class TreeBpe:
     """Encoder and decoder over mergeable ranks. Bounded caches; otherwise stateless."""
 
@@ -43,8 +72,7 @@ class TreeBpe:
         self.split = regex.compile(pattern)
         self._spans: dict[bytes, tuple[int, ...]] = {}
         self._pairs: dict[tuple[int, int], tuple[int, ...]] = {}
-        self._pieces: dict[str, tuple[str, int]] = {}
-        self._held = 0
+        self._pieces = Pieces(self.piece)
         self._text_of = {str(i): b for b, i in ranks.items()}
 
     def _merge(self, span: bytes) -> tuple[int, ...]:
@@ -52,12 +80,16 @@ class TreeBpe:
         if len(span) > 64:
             return self._merge_long(span)
         ranks, parts = self.ranks, [span[i : i + 1] for i in range(len(span))]
-        while len(parts) > 1:
-            best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if best == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(ranks[p] for p in parts)
+        order = [ranks.get(span[i : i + 2], NONE) for i in range(len(span) - 1)]
+        while order and (best := min(order)) != NONE:
+            at = order.index(best)
+            parts[at : at + 2] = [both := parts[at] + parts[at + 1]]
+            del order[at]
+            if at:
+                order[at - 1] = ranks.get(parts[at - 1] + both, NONE)
+            if at < len(order):
+                order[at] = ranks.get(both + parts[at + 1], NONE)
+        return tuple([ranks[p] for p in parts])
 
     def _merge_long(self, span: bytes) -> tuple[int, ...]:
         """The same with a heap of pairs, for the rare wide window: n log n."""
@@ -120,50 +152,37 @@ class TreeBpe:
 
     def piece(self, span: bytes) -> tuple[int, ...]:
         """A whole piece: halves encoded recursively, then joined."""
-        found = self._spans.get(span)
+        spans, half = self._spans, len(span) // 2
+        found = spans.get(span)
         if found is not None:
             return found
         whole = self.ranks.get(span)
         if whole is not None:
-            return (whole,)
-        if len(span) <= 3:
+            found = (whole,)
+        elif len(span) <= 3:
             return self._short(span)
-        half = len(span) // 2
-        found = self.join(self.piece(span[:half]), self.piece(span[half:]))
-        if len(span) <= 8:
+        else:
+            a, b = span[:half], span[half:]
+            found = self.join(spans.get(a) or self.piece(a), spans.get(b) or self.piece(b))
+        if len(span) <= SPAN_BYTES:
             if len(self._spans) >= CACHE:
                 self._spans.clear()
             self._spans[span] = found
         return found
 
-    def _piece_text(self, piece: str) -> tuple[str, int]:
-        ids = self.piece(piece.encode())
-        return ",".join(map(str, ids)), len(ids)
-
     def encode_joined(self, text: str) -> tuple[str, int]:
         """Ids of the text joined by commas, and their number."""
         if not text:
             return "", 0
-        parts, seen = self.split.findall(text), self._pieces
-        if self._held > PIECES_BYTES:
-            self.forget()
-        long = {}
-        for p in set(parts):
-            if p not in seen:
-                made = self._piece_text(p)
-                if len(p) > PIECE_BYTES:
-                    long[p] = made
-                else:
-                    seen[p] = made
-                    self._held += 250 + len(p) + len(made[0])
-        found = [seen[p] if p in seen else long[p] for p in parts] if long else list(map(seen.__getitem__, parts))
-        return ",".join([x[0] for x in found]), sum(x[1] for x in found)
+        if 2 * self._pieces.held > PIECES_BYTES:
+            self._pieces.turn()
+        joined = ",".join(map(self._pieces.__getitem__, self.split.findall(text)))
+        return joined, joined.count(",") + 1
 
     def forget(self) -> None:
-        """Empty the caches: at the end of a task, and where they have grown to their bounds."""
-        for cache in (self._spans, self._pairs, self._pieces):
-            cache.clear()
-        self._held = 0
+        """Empty the caches of text at the end of a task; the tokens' pairs serve the next one."""
+        self._spans.clear()
+        self._pieces.clear()
 
     def decode(self, ids: list[int]) -> bytes:
         """The tokens' bytes, concatenated up the tree."""

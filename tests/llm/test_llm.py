@@ -553,6 +553,22 @@ def test_bpe_same_as_library(spark):
     assert all(bytes(r["decoded"]) == (EDGES[r["doc_id"]] or "").encode() for r in back)
 
 
+def test_bpe_full_piece_cache_leaves_the_tokens_caches(monkeypatch):
+    """Emptying the pieces' cache costs no merge anew, and gives the library's ids."""
+    ours, theirs, _, _ = coders()
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices(["th", "ei", "ng", "ble", "é", "x", "qu"], k=rng.randint(2, 6))) for _ in range(200)) for _ in range(5)]
+    merge, made = ours._merge, []
+    monkeypatch.setattr(ours, "_merge", lambda span: made.append(span) or merge(span))
+    monkeypatch.setattr(bpe, "PIECES_BYTES", 0)
+    for _ in range(2):
+        before = len(made)
+        for t in texts:
+            ids = theirs.encode_ordinary(t)
+            assert ours.encode_joined(t) == (",".join(map(str, ids)), len(ids))
+    assert before == len(made) > 0
+
+
 # op9
 
 
