@@ -78,6 +78,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(df: DataFrame) -> DataFrame:
+    """df, a table just written: the driver lets go of the plans, broadcast tables and generated classes behind it, as Spark's cleaner has
+    it do from time to time. Of a job of many small tables they would else fill its heap to the brim."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def shielded(docs: DataFrame, own: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """work(docs) whose other columns than own have names of their own inside, so that none can clash with what work uses. They come back
     under their names, in their order, before what work adds; one that has the name of an added column gives way to it."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, materialize
+from .common import dropped, materialize, released
 
 
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        before, e = e, materialize(small.filter("u <> v").distinct(), name)
+        before, e = e, released(materialize(small.filter("u <> v").distinct(), name))
         dropped(before)
         row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if seen == (row["n"], row["s"]):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, dropped, materialize, mix, shingles_of, slices
+from .common import Words, dropped, materialize, mix, released, shingles_of, slices
 from .components import connected_components
 
 K = 5
@@ -183,6 +183,7 @@ def link(docs: DataFrame, similarity: int = SIMILARITY, k: int = K, rounds: int
     some = rows.filter("n > 0")
     first = [F.first(c).alias(c) for c in ["n", "grp", *BITS]]
     classes = materialize(some.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), *first), "jac-classes")
+    released(classes)
     groups = classes.groupBy("grp").agg(F.min("cls").alias("head"), F.first("n").alias("n"), F.count("*").alias("members"))
     # all members of a group have its prefix
     each = some.select("grp", "prefix").dropDuplicates(["grp"]).select("grp", F.posexplode("prefix").alias("pos", "e"))
@@ -193,6 +194,7 @@ def link(docs: DataFrame, similarity: int = SIMILARITY, k: int = K, rounds: int
     posts = each.join(hot, "e").select("grp", "pos", "e").unionByName(own)
     posts = materialize(posts.join(groups.select("grp", "n", "head"), "grp"), "jac-posts")
     dropped(hot)
+    released(posts)
     near = posts.select("grp").distinct()
     members = materialize(classes.join(near, "grp", "left_semi").select("grp", "cls", "n", "row", *BITS), "jac-members")
     asked = members.select("grp", "cls", "n")
@@ -205,15 +207,16 @@ def link(docs: DataFrame, similarity: int = SIMILARITY, k: int = K, rounds: int
         cand = cand.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
             cand = cand.join(tried, ["a", "b"], "left_anti")
-        cand = materialize(cand, "jac-pairs")
+        cand = released(materialize(cand, "jac-pairs"))
+        if comp is not None and cand.isEmpty():  # nothing to verify or merge
+            continue
         tried = cand if tried is None else tried.unionByName(cand)
         used = cand.select(F.col("a").alias("cls")).unionByName(cand.select(F.col("b").alias("cls"))).distinct()
         wanted = materialize(members.select("row", "cls").join(used, "cls", "left_semi"), "jac-wanted")
-        good = materialize(verify(cand, set_table(docs, wanted, k), similarity), "jac-links")
+        good = released(materialize(verify(cand, set_table(docs, wanted, k), similarity), "jac-links"))
         dropped(wanted)
         comp = _merged(comp, good, asked)
-        # the driver lets go of the round's plans and generated classes, as Spark's cleaner has it do from time to time
-        docs.sparkSession.sparkContext._jvm.System.gc()
+        released(comp)
     named = classes.join(comp, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "doc_id")
     ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.select("cls", "root").join(ids, "root").select("cls", "component_id")

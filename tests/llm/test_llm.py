@@ -230,6 +230,16 @@ def test_jaccard_links_inside_groups(spark):
     assert [got[i] for i in range(len(texts))] == brute_components(texts)
 
 
+def test_jaccard_rounds_without_candidates_write_nothing_more(spark, monkeypatch):
+    """One pair of near copies is found in the first round; the others verify nothing."""
+    texts = [" ".join(f"{a}{i}" for i in range(60)) for a in "ab"]
+    verify, seen = jaccard.verify, []
+    monkeypatch.setattr(jaccard, "verify", lambda pairs, *more: seen.append(pairs.count()) or verify(pairs, *more))
+    rows = jaccard.link(docs(spark, [texts[0], texts[0] + " z", texts[1]])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(0, 0), (1, 0), (2, 2)]
+    assert seen == [1]
+
+
 def test_jaccard_empty(spark):
     assert jaccard.link(docs(spark, ["", None])).count() == 2
     assert jaccard.link(docs(spark, EDGES).limit(0)).count() == 0
