@@ -200,14 +200,21 @@ def link(docs: DataFrame, similarity: int = SIMILARITY, k: int = K, rounds: int
     asked = members.select("grp", "cls", "n")
     tried = comp = None
     for turn in range(rounds + 1):
+        # a round is written in steps, each a plan of a few joins: all that a plan's joins need lies on the driver while it runs
         if turn == 0:
-            cand = _alike_pairs(_central(posts, groups, asked, similarity), members, similarity)
+            met = materialize(_ordered(_central(posts, groups, asked, similarity)), "jac-met")
         else:
-            cand = _across(posts, members, comp, turn, turn == rounds, similarity)
-        cand = cand.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            cand = cand.join(tried, ["a", "b"], "left_anti")
-        cand = released(materialize(cand, "jac-pairs"))
+            mixed = _mixed(posts, asked, comp)
+            if mixed.isEmpty():  # nor is there any later
+                dropped(mixed)
+                break
+            across = released(materialize(_labelled(posts, members, comp, turn == rounds).join(mixed, "e"), "jac-across"))
+            met = _ordered(_across(across, turn, turn == rounds, similarity)).join(tried, ["a", "b"], "left_anti")
+            met = materialize(met, "jac-met")
+            dropped(mixed, across)
+        released(met)
+        cand = released(materialize(_alike_pairs(met, members, similarity), "jac-pairs"))
+        dropped(met)
         if comp is not None and cand.isEmpty():  # nothing to verify or merge
             continue
         tried = cand if tried is None else tried.unionByName(cand)
@@ -219,7 +226,7 @@ def link(docs: DataFrame, similarity: int = SIMILARITY, k: int = K, rounds: int
         released(comp)
     named = classes.join(comp, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "doc_id")
     ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.select("cls", "root").join(ids, "root").select("cls", "component_id")
+    named = released(materialize(named.select("cls", "root").join(ids, "root").select("cls", "component_id"), "jac-named"))
     out = rows.select("doc_id", "n", "cls").join(named, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -241,24 +248,38 @@ def _alike_pairs(pairs: DataFrame, members: DataFrame, similarity: int) -> DataF
     return pairs.join(left, "a").join(right, "b").filter(_alike(similarity)).select("a", "b")
 
 
-def _across(posts: DataFrame, members: DataFrame, comp: DataFrame, turn: int, last: bool, similarity: int) -> DataFrame:
-    """Pairs (a, b) of classes under one element and in different components: each with a pivot, or in the last round all."""
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """The different pairs, the lesser class first."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _mixed(posts: DataFrame, asked: DataFrame, comp: DataFrame) -> DataFrame:
+    """The elements e that classes of different components share, and the tiles that each is cut into; written."""
+    roots = asked.select("grp", "cls").join(comp, "cls").select("grp", "root")
+    mixed = posts.select("e", "grp").join(roots, "grp").groupBy("e").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("df"))
+    return released(materialize(mixed.filter("r1 <> r2").select("e", F.ceil(F.col("df") / TILE).cast("int").alias("tiles")), "jac-mixed"))
+
+
+def _labelled(posts: DataFrame, members: DataFrame, comp: DataFrame, last: bool) -> DataFrame:
+    """Postings of classes with their component; for the last round with their folded bitmap."""
     folded = [reduce(Column.bitwiseXOR, [F.col(c) for c in BITS[i :: len(FOLDED)]]).alias(f) for i, f in enumerate(FOLDED)] if last else []
     labelled = members.join(comp, "cls").select("grp", "cls", "n", "root", *folded)
-    p = posts.select("e", "pos", "grp").join(labelled, "grp").drop("grp")
-    mixed = p.groupBy("e").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("df"))
-    mixed = mixed.filter("r1 <> r2").select("e", F.ceil(F.col("df") / TILE).cast("int").alias("tiles"))
-    q = p.join(mixed, "e")
+    return posts.select("e", "pos", "grp").join(labelled, "grp").drop("grp")
+
+
+def _across(q: DataFrame, turn: int, last: bool, similarity: int) -> DataFrame:
+    """Pairs (a, b) of classes under one element and in different components: each with a pivot, or in the last round all.
+    q: the labelled postings of the mixed elements."""
     if last:
         left = q.withColumn("tile", F.pmod(F.hash("cls"), "tiles"))
         other = [F.col(c).alias(f"o{c}") for c in FOLDED]
         right = q.select("e", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("n").alias("m"), F.col("pos").alias("at"), *other)
         cand = left.join(right, ["e", "tile"]).filter((F.col("root") < F.col("rb")) & (F.col("cls") != F.col("b")) & _near(similarity) & _alike(similarity, FOLDED))
-        return _alike_pairs(cand.select(F.col("cls").alias("a"), "b").distinct(), members, similarity)
+        return cand.select(F.col("cls").alias("a"), "b")
     # another pivot each round: the class with the greatest hash for this round under each element
     best = q.groupBy("e").agg(F.max(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("n").alias("m"), F.col("pos").alias("at"))).alias("t"))
     cand = q.join(best.select("e", "t.b", "t.rb", "t.m", "t.at"), "e").filter("root <> rb").filter(_near(similarity))
-    return _alike_pairs(cand.select(F.col("cls").alias("a"), "b").distinct(), members, similarity)
+    return cand.select(F.col("cls").alias("a"), "b")
 
 
 def _merged(comp: DataFrame | None, good: DataFrame, asked: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from booktext.llm import bpe, jaccard, mixing, perplexity, secrets
-from booktext.llm.common import WORD, delete, scratch, shared_dir
+from booktext.llm.common import WORD, delete, materialize, released, scratch, shared_dir
 from booktext.llm.queries import VOCABULARY
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = jaccard.link(some.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id").distinct()
     ids = some.select("_row", "doc_id", "_mark").distinct()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_mark", "_row")).alias("first")
-    first = ids.join(found, "_row").groupBy("component_id").agg(first).select("first._row")
+    first = released(materialize(ids.join(found, "_row").groupBy("component_id").agg(first).select("first._row"), "kept-rows"))
     kept = some.join(first, "_row").groupBy("_row").agg(F.min(F.struct("doc_id", "lang", "source", "n_chars", "text")).alias("x")).select("x.*")
     return kept.select(*COLUMNS).unionByName(rows.filter(~worded).select(*COLUMNS))
 

@@ -240,6 +240,23 @@ def test_jaccard_rounds_without_candidates_write_nothing_more(spark, monkeypatch
     assert seen == [1]
 
 
+def test_jaccard_plans_stay_small(spark, monkeypatch):
+    """No table that the join writes, nor its result, takes a plan of more than four joins: all that a plan's joins need lies on the driver at once."""
+    rng, seen = random.Random(47), {}
+    word = lambda: f"y{rng.getrandbits(40)}"
+    common = [word() for _ in range(40)]
+    texts = [" ".join(common + [word() for _ in range(rng.choice([4, 9, 30]))]) for _ in range(40)]
+    joins = lambda df: sum("Join " in line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    for module in (jaccard, components):
+        write = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, name, write=write: seen.update({name: max(joins(df), seen.get(name, 0))}) or write(df, name))
+    out = jaccard.link(docs(spark, texts))
+    seen["result"] = joins(out)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)
+    assert max(seen.values()) <= 4, seen
+
+
 def test_jaccard_empty(spark):
     assert jaccard.link(docs(spark, ["", None])).count() == 2
     assert jaccard.link(docs(spark, EDGES).limit(0)).count() == 0
