@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -189,6 +190,27 @@ def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch
     yield batch.slice(begin)
 
 
+#: The C library's call that returns free memory to the system, where it has one.
+_TRIM = getattr(ctypes.pythonapi, "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Free memory goes back to the system; a worker process, which is used again, would else hold it from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow(), with give_back() when it has ended and its arrays are gone."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def _windows(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     out = np.zeros(n, dtype=np.uint64)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, dropped, materialize, mix, released, shingles_of, slices
+from .common import Words, dropped, give_back, giving_back, materialize, mix, released, shingles_of, slices
 from .components import connected_components
 
 K = 5
@@ -86,7 +86,7 @@ def sketch(docs: DataFrame, k: int = K, bits: int = SKETCH_BITS) -> np.ndarray:
             total += np.frombuffer(counts, dtype=f"u{width}").astype(np.int64)
         return pd.DataFrame({"at": rows["at"][:1], "counts": [total.tobytes()]})
 
-    parts = docs.select("text").mapInArrow(run, "at long, width int, counts binary")
+    parts = docs.select("text").mapInArrow(giving_back(run), "at long, width int, counts binary")
     out = np.zeros(n, np.int64)
     for row in parts.groupBy("at").applyInPandas(add, "at long, counts binary").collect():  # n slots
         out[row["at"] : row["at"] + SKETCH_CHUNK] = np.frombuffer(row["counts"], np.int64)
@@ -141,7 +141,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, similarity: int = SIMILARITY,
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(words[:, i].copy()) for i in range(BITMAP_WORDS)], ["doc_id", "row", "n", "cls", "grp", "prefix", *BITS])
 
     ident = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {ident}, row long, n long, cls long, grp long, prefix array<int>" + "".join(f", {b} long" for b in BITS))
+    return docs.select("doc_id", "row", "text").mapInArrow(giving_back(run), f"doc_id {ident}, row long, n long, cls long, grp long, prefix array<int>" + "".join(f", {b} long" for b in BITS))
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, k: int = K) -> DataFrame:
@@ -156,7 +156,7 @@ def set_table(docs: DataFrame, wanted: DataFrame, k: int = K) -> DataFrame:
 
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = docs.select("row", "text").join(F.broadcast(wanted) if few else wanted, "row").select("cls", "text")
-    return rows.mapInArrow(run, "cls long, items binary").dropDuplicates(["cls"])
+    return rows.mapInArrow(giving_back(run), "cls long, items binary").dropDuplicates(["cls"])
 
 
 def verify(pairs: DataFrame, items: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -169,6 +169,7 @@ def verify(pairs: DataFrame, items: DataFrame, similarity: int = SIMILARITY) ->
             p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(np.intersect1d(p, q, assume_unique=True))
             out.append(100 * both >= similarity * (len(p) + len(q) - both))
+        give_back()
         return pd.Series(out, dtype=bool)
 
     left = items.select(F.col("cls").alias("a"), F.col("items").alias("x"))

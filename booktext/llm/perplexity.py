@@ -26,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, mix, shielded, shingles, slices, utf8
+from .common import Words, giving_back, materialize, mix, shielded, shingles, slices, utf8
 
 ORDER = 5
 #: Ten-thousandths of a bit.
@@ -78,8 +79,8 @@ def _count(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, n
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def count(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """lang, gram LONG, n LONG over all docs(text, lang)."""
+def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """lang, gram LONG, n LONG over docs(text, lang), as each task counts them: a task has at most one row of an n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw: dict[str | None, list] = {}  # keys not yet counted
@@ -111,8 +112,18 @@ def count(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 a = k[i : i + 100_000].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), pa.array(a), pa.array(c[i : i + 100_000].astype(np.int64))], ["lang", "gram", "n"])
 
-    counted = docs.select("text", "lang").mapInArrow(run, "lang string, gram long, n long")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("text", "lang").mapInArrow(giving_back(run), "lang string, gram long, n long")
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    """lang, gram, n of counted() rows, summed after they are dealt out: adding up in each task before that would fill a hash table
+    with all its rows and merge none."""
+    return rows.repartition("lang", "gram").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def count(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """lang, gram LONG, n LONG over all docs(text, lang)."""
+    return summed(counted(docs, order))
 
 
 def model(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
@@ -181,7 +192,7 @@ def hashed(rows: DataFrame, value: str, context: bool) -> DataFrame:
                 h[at] = hashes(gram[at], int(k), mark[at], context)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(3)], ["h", value])
 
-    return rows.select("lang", "level", "gram", value).mapInArrow(run, f"h long, {value} int")
+    return rows.select("lang", "level", "gram", value).mapInArrow(giving_back(run), f"h long, {value} int")
 
 
 class HashArray:
@@ -259,8 +270,9 @@ def base_stats(texts: pa.Array, words: Words) -> list[np.ndarray]:
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def score(docs: DataFrame, probs: DataFrame, backs: DataFrame, order: int = ORDER, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
-    """docs(text, lang, ...) without text, with STATS, n_grams and bits (the sum, in units of bits / UNIT)."""
+def score(docs: DataFrame, probs: DataFrame, backs: DataFrame, order: int = ORDER, broadcast_entries: int = BROADCAST_ENTRIES, sent: list[Broadcast] | None = None) -> DataFrame:
+    """docs(text, lang, ...) without text, with STATS, n_grams and bits (the sum, in units of bits / UNIT). sent gets the broadcast
+    model, for a caller that destroys it when the rows are written."""
     sc = docs.sparkSession.sparkContext
     tables = [materialize(hashed(probs, "logp", False), "kn-probs"), materialize(hashed(backs, "back", True), "kn-backs")]
     if sum(t.count() for t in tables) > broadcast_entries:
@@ -268,6 +280,8 @@ def score(docs: DataFrame, probs: DataFrame, backs: DataFrame, order: int = ORDE
     cols = [t.toArrow() for t in tables]  # bounded by broadcast_entries
     arrays = [HashArray(c.column(0).to_numpy().astype(np.int64).view(np.uint64), c.column(1).to_numpy().astype(np.int32)) for c in cols]
     shared = sc.broadcast([(a.h, a.values, a.bits, a.index, a.longest) for a in arrays])
+    if sent is not None:
+        sent.append(shared)
     names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +303,7 @@ def score(docs: DataFrame, probs: DataFrame, backs: DataFrame, order: int = ORDE
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + extra, names + STATS + ["n_grams", "bits"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(run, schema + "".join(f", {c} long" for c in [*STATS, "n_grams", "bits"]))
+    return docs.mapInArrow(giving_back(run), schema + "".join(f", {c} long" for c in [*STATS, "n_grams", "bits"]))
 
 
 def _score_joined(docs: DataFrame, probs: DataFrame, backs: DataFrame, order: int) -> DataFrame:
@@ -360,12 +374,12 @@ def _key(fold: Column, rest: Column) -> Column:
     return F.concat(fold.cast("string"), rest)
 
 
-def held_out(counts: DataFrame, folds: int) -> DataFrame:
-    """From counts(lang, gram, n) whose lang names the fold counted, the counts of all other folds under each fold's name."""
+def held_out(rows: DataFrame, folds: int) -> DataFrame:
+    """From counted() rows whose lang names the fold counted, the counts of all other folds under each fold's name."""
     own, rest = F.regexp_extract("lang", "^[0-9]+", 0).cast("int"), F.regexp_replace("lang", "^[0-9]+", "")
-    rows = counts.select(own.alias("own"), rest.alias("rest"), "gram", "n")
+    rows = rows.select(own.alias("own"), rest.alias("rest"), "gram", "n")
     rows = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).filter("fold <> own")
-    return rows.groupBy(_key(F.col("fold"), F.col("rest")).alias("lang"), "gram").agg(F.sum("n").alias("n"))
+    return summed(rows.select(_key(F.col("fold"), F.col("rest")).alias("lang"), "gram", "n"))
 
 
 def score_held_out(docs: DataFrame, folds: int = FOLDS, **options) -> DataFrame:
@@ -373,11 +387,14 @@ def score_held_out(docs: DataFrame, folds: int = FOLDS, **options) -> DataFrame:
     fold = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(folds)).cast("int")
     rows = docs.withColumn("_fold", fold).withColumn("_lang", F.col("lang"))
     rows = rows.withColumn("lang", _key(F.col("_fold"), F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))))
-    probs, backs = model(materialize(held_out(count(rows), folds), "kn-counts"))
+    probs, backs = model(materialize(held_out(counted(rows), folds), "kn-counts"))
     out = None
     for i in range(folds):  # one fold's model at a time is broadcast
         mine = F.col("lang").rlike(f"^{i}(=|$)")
-        part = materialize(score(rows.filter(F.col("_fold") == i), probs.filter(mine), backs.filter(mine), **options), "kn-scored")
+        sent: list[Broadcast] = []
+        part = materialize(score(rows.filter(F.col("_fold") == i), probs.filter(mine), backs.filter(mine), sent=sent, **options), "kn-scored")
+        for model_sent in sent:  # else it stays in the executors' heaps beside the next one
+            model_sent.destroy()
         out = part if out is None else out.unionByName(part)
     return out.withColumn("lang", F.col("_lang")).drop("_fold", "_lang")
 
