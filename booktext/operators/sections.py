@@ -59,10 +59,11 @@ def title_page_cut(docs: DataFrame) -> DataFrame:
 
 def carry_toc_forward(docs: DataFrame, entries: DataFrame) -> DataFrame:
     """entries with land_pos: the place of the document that shows them, itself or the next kept one; null at the book's
-    end. docs(book_id, spine_pos, doc, has_text, skipped)."""
-    w = W.partitionBy("book_id").orderBy("spine_pos").rowsBetween(W.currentRow, W.unboundedFollowing)
+    end. docs(book_id, spine_pos, doc, has_text, skipped). Read from the book's end, so that the frame grows: one that shrinks is read
+    anew for each row."""
+    w = W.partitionBy("book_id").orderBy(F.desc("spine_pos")).rowsBetween(W.unboundedPreceding, W.currentRow)
     kept = F.when(F.col("has_text") & ~F.col("skipped"), F.col("spine_pos"))
-    landing = docs.select(*DOC, F.first(kept, ignorenulls=True).over(w).alias("land_pos"), "spine_pos")
+    landing = docs.select(*DOC, F.last(kept, ignorenulls=True).over(w).alias("land_pos"), "spine_pos")
     return entries.select(*DOC, "toc_pos", "depth", "fragment", "label").join(landing, DOC)
 
 

@@ -19,6 +19,8 @@ STOC = """stoc as (select book_id, doc, spine_pos*2 toc_pos, cast(1 + doc_id % 8
 SLINKS = """slinks as (select book_id, spine_pos*2 link_pos, concat('d',doc,'#n') target, case doc_id % 4 when 0 then doc when 1 then concat('[',doc,']') when 2 then substring(text,1,6) else concat('注',doc) end as text, doc_id % 13 = 0 declared, [concat('d',doc,'#r')] ids, doc_id % 11 = 0 whole from sd
  union all select book_id, 1000000000+spine_pos*2, concat('d',doc,'#r'), '^', false, [concat('d',doc,'#n')], true from sd where doc_id % 6 <> 5)"""
 DOCS = f"with {SD}, {SL}, {SLINES}, {STOC}"
+#: The first of lines(), null if there is none: read where the text is, since whole texts cut into lines cost more than all the rest of a table of contents.
+FIRST_LINE = r"""nullif(trim(regexp_replace(regexp_extract(text, r'^[ \t\r\n\f\x0B]*([^\n]*)', 1), r'[ \t\r\n\f\x0B]+', ' ')), '')"""
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,8 +32,9 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def documents(spark: SparkSession, sf: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf}/documents.parquet")
+def documents(spark: SparkSession, sf: str, text: str = "text") -> DataFrame:
+    """text: what is kept of each text, worked out before the documents are dealt out."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("source", "doc_id", "lang", F.expr(text).alias("text"))
     pos = (F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1).alias("spine_pos")
     return d.select(F.col("source").alias("book_id"), pos, F.col("doc_id").cast("string").alias("doc"), "doc_id", F.col("lang").alias("language"), "text")
 
@@ -52,10 +55,9 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def toc(spark: SparkSession, sf: str) -> DataFrame:
-    d = documents(spark, sf)
-    first = lines(spark, sf).filter("line_idx = 0").select("doc_id", F.col("text").alias("l0"))
-    a = d.join(first, "doc_id", "left").filter("doc_id % 3 <> 0")
-    label = F.when(F.col("doc_id") % 5 == 0, F.coalesce("l0", F.concat(F.lit("Plate "), "doc"))).otherwise(F.concat(F.lit("Chapter "), "doc"))
+    d = documents(spark, sf, f"case when doc_id % 5 = 0 then {FIRST_LINE} end")  # the only labels that show one
+    a = d.filter("doc_id % 3 <> 0")
+    label = F.when(F.col("doc_id") % 5 == 0, F.coalesce("text", F.concat(F.lit("Plate "), "doc"))).otherwise(F.concat(F.lit("Chapter "), "doc"))
     a = a.select("book_id", "doc", (F.col("spine_pos") * 2).alias("toc_pos"), (1 + F.col("doc_id") % 8).cast("int").alias("depth"), F.lit(None).cast("string").alias("fragment"), label.alias("label"))
     b = d.filter("doc_id % 5 = 1").select("book_id", "doc", (F.col("spine_pos") * 2 + 1).alias("toc_pos"), F.lit(2).alias("depth"), F.lit("mid").alias("fragment"), F.concat(F.lit("Part "), "doc").alias("label"))
     return a.unionByName(b)
