@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+from html.entities import html5
+
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
@@ -26,10 +29,27 @@ def _c(x: str) -> str:
     return f"regexp_replace(regexp_replace({inner}, '^{WS}+', ''), '{WS}+$', '')"
 
 
-BLOCK_TAGS = "|".join(sorted(extract.BLOCKS)) + "|br"
-PAGE_LINES = rf"""a as (select page_id, regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head>|<script\b.*?</script>|<style\b.*?</style>','','g'),'(?s)<!--.*?-->','','g') h from pages),
- b as (select page_id, unnest(s) t, generate_subscripts(s,1) n0 from (select page_id, string_split(regexp_replace(regexp_replace(h, '(?i)</?(?:{BLOCK_TAGS})\b[^>]*>',chr(1),'g'),'<[^>]*>','','g'),chr(1)) s from a)),
- c as (select page_id, n0, trim(regexp_replace(regexp_replace(replace(replace(replace(t,'&quot;','"'),'&copy;','©'),'&middot;','·'),'&amp;?','&','g'),'[ \t\r\n\f\v]+',' ','g')) t from b),
+def _texts(xs) -> str:
+    return "[" + ",".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+
+
+#: A character reference: HTML's names, some of which need no semicolon, and numbers, some of which stand for others or for nothing.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;\x02]{1,32};?)"
+_OTHERS = {n: html.unescape(f"&#{n};") for n in [*range(0xA0), *range(0xFDD0, 0xFDF0), *(p + e for p in range(0, 0x110000, 0x10000) for e in (0xFFFE, 0xFFFF))]}
+BLOCK_TAGS, TAG_END = "|".join(sorted(extract.BLOCKS - {"hr"})), r"(?:[\t\n\r\f /][^>]*)?>"
+# chr(1) stands between lines, chr(2) where a tag inside a line was: a reference does not reach over it
+PAGE_LINES = rf"""rn as (select unnest({_texts(html5)}) as name, unnest({_texts(html5.values())}) as said),
+ ro as (select unnest({[*_OTHERS]}) as n, unnest({_texts(_OTHERS.values())}) as said),
+ a as (select page_id, regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head>|<script\b.*?</script>|<style\b.*?</style>|<rt\b.*?</rt>|<rp\b.*?</rp>','','g'),'(?s)<!--.*?-->','','g') h from pages),
+ a2 as (select page_id, regexp_replace(regexp_replace(h, '(?i)<hr{TAG_END}', chr(1) || '{X.RULE}' || chr(1), 'g'), '(?i)</?(?:{BLOCK_TAGS}){TAG_END}|<br{TAG_END}', chr(1), 'g') h from a),
+ b as (select page_id, unnest(s) t, generate_subscripts(s,1) n0 from (select page_id, string_split(regexp_replace(h, '<[a-zA-Z/!?][^>]*>', chr(2), 'g'), chr(1)) s from a2)),
+ r0 as (select distinct unnest(regexp_extract_all(t, '{REFERENCE}')) as ref from b),
+ r1 as (select ref, case when starts_with(lower(ref), '&#x') then try_cast('0x0' || ltrim(rtrim(substr(ref, 4), ';'), '0') as bigint) else try_cast('0' || ltrim(rtrim(substr(ref, 3), ';'), '0') as bigint) end as n from r0 where starts_with(ref, '&#')),
+ rs as (select ref, case when r1.n is null or r1.n > 1114111 or r1.n between 55296 and 57343 then chr(65533) else coalesce(said, chr(cast(r1.n as int))) end as said from r1 left join ro on ro.n = r1.n
+ union all select ref, coalesce(arg_max(said || substr(ref, length(name) + 2), length(name)), ref) from r0 left join rn on starts_with(ref, '&' || name) where not starts_with(ref, '&#') group by ref),
+ b2 as (select page_id, n0, unnest(string_split_regex(t, '{REFERENCE}')) as part, unnest(regexp_extract_all(t, '{REFERENCE}')) as ref, generate_subscripts(string_split_regex(t, '{REFERENCE}'), 1) as k from b),
+ b3 as (select page_id, n0, replace(string_agg(part || coalesce(said, ''), '' order by k), chr(2), '') as t from b2 left join rs using (ref) group by page_id, n0),
+ c as (select page_id, n0, {_c('t')} as t from b3),
  plines as (select page_id, row_number() over (partition by page_id order by n0) - 1 line_idx, t as text from c where t <> '')"""
 
 

@@ -24,3 +24,17 @@ def test_star_numbers_of_words_that_are_markers(spark, tmp_path):
     at = {int(key[1:-2]): star for _, key, star in got if key.endswith("#n")}
     out = {t for i, t in enumerate(texts) if 26 + 52 * i not in at}
     assert out == {"94.182 a", "[*]", "（註1）", "【註 ①】", "[注[1]]", "†‡", "Note 7", "  1  ", " 12　", "注注注注注1", "<<1>>"}
+
+
+PAGES = "page_id long, url string, html string"
+
+
+def test_page_lines_of_cut_and_rare_references(spark, tmp_path):
+    """A text cut inside a reference: names that need no semicolon count, others stay; a reference does not reach over a tag."""
+    lines = {
+        "<p>token = &quot</p>": ['token = "'], "<p>&quo</p><p>&am<b>p;</b></p>": ["&quo", "&amp;"], "<p>&copyx &middot</p>": ["©x ·"], "<p>&lt;b&gt &#39;&#x27 &ampquot;</p>": ["<b> '' &quot;"],
+        "<p>&notit; &notin; &#128; &#0; &#xD800; &#1;.&#99999999999999999999;</p>": ["¬it; ∉ € � � .�"], "<p>\xa0a&nbsp;\x1c</p>&emsp;": ["a"],
+        "a<hr>b<br/>c<ruby>d<rt>e</rt></ruby> 1 < 2 > 1": ["a", "-" * 20, "b", "cd 1 < 2 > 1"], "": [], None: [],
+    }
+    got = both(spark, tmp_path, "page_lines", "pages", [(i, "http://h/", x) for i, x in enumerate(lines)], PAGES)
+    assert sorted(got) == [(i, n, t) for i, ts in enumerate(lines.values()) for n, t in enumerate(ts)]
