@@ -1,5 +1,7 @@
 """Queries against their SQL on few rows that the small tables do not hold."""
 
+from hashlib import sha256
+
 import duckdb
 
 from booktext.plans.queries import ORACLES, QUERIES
@@ -38,3 +40,12 @@ def test_page_lines_of_cut_and_rare_references(spark, tmp_path):
     }
     got = both(spark, tmp_path, "page_lines", "pages", [(i, "http://h/", x) for i, x in enumerate(lines)], PAGES)
     assert sorted(got) == [(i, n, t) for i, ts in enumerate(lines.values()) for n, t in enumerate(ts)]
+
+
+def test_text_book_digests_of_cut_references_and_no_address(spark, tmp_path):
+    rows = [(3, "http://h/b", "<p>x = &quot</p><p>&quo"), (1, "https://h/a", '<html lang="ja"><p>&copy h &middot'), (2, None, "<p>a</p>&nbsp;<p>b"), (4, None, None), (5, "no address", "<p>c &amp d"), (6, "http://empty/", "")]
+    got = both(spark, tmp_path, "text_book_digests", "pages", rows, PAGES)
+    digest = lambda text: sha256(text.encode()).hexdigest()
+    assert {(b, n, d) for b, n, d in got} == {
+        ("h", 3, digest('　　© h ·\n    x = "\n    &quo\n')), (None, 2, digest("    a\n    b\n")), ("", 1, digest("    c & d\n")),
+    }
